@@ -59,13 +59,24 @@ def _character_class(ranges):
 
 _BASE = _character_class(EMOJI_RANGES)
 _STYLED = _BASE + r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
+# The few wide spans that hold all base characters and flags.
+_SPANS = r"[\x{A9}\x{AE}\x{203C}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F004}-\x{1FAFA}]"
+
+
+def emoji_pattern(guard: str = "") -> str:
+    """One whole emoji: keycap, flag, or base characters with their variation selectors,
+    skin tones and tags, joined by zero-width joiners."""
+    tags = r"(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
+    joined = _STYLED + tags + r"(?:\x{200D}" + _STYLED + ")*"
+    return r"[#*0-9]\x{FE0F}?\x{20E3}|" + guard + r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|" + joined + ")"
+
+
+def emoji_character_pattern(guard: str = "") -> str:
+    """Any single character that marks its token as holding an emoji."""
+    return guard + _BASE[:-1] + r"\x{1F1E6}-\x{1F1FF}]"
 
-# One whole emoji: keycap, flag, or base characters with their variation selectors, skin
-# tones and tags, joined by zero-width joiners.
-EMOJI = (
-    r"[#*0-9]\x{FE0F}?\x{20E3}|[\x{1F1E6}-\x{1F1FF}]{2}|"
-    + _STYLED + r"(?:[\x{E0020}-\x{E007E}]+\x{E007F})?(?:\x{200D}" + _STYLED + ")*"
-)
 
-# Any single character that marks its token as holding an emoji.
-EMOJI_CHARACTER = _BASE[:-1] + r"\x{1F1E6}-\x{1F1FF}]"
+# Java tests a class of many ranges one by one; looking ahead for the wide spans first spares
+# that for nearly every character.
+EMOJI = emoji_pattern(guard=f"(?={_SPANS})")
+EMOJI_CHARACTER = emoji_character_pattern(guard=f"(?={_SPANS})")

@@ -15,7 +15,8 @@ def row_hash(key: Sequence[str], seed: int) -> Column:
 
 
 def leading_number(hashed: Column, digits: int) -> Column:
-    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("bigint")
+    number = F.conv(F.substring(hashed, 1, digits), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0))  # never NULL, so joins on it add no second hashing
 
 
 def below_fraction(hashed: Column, fraction: float) -> Column:

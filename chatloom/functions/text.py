@@ -1,5 +1,8 @@
 """Text as native column expressions; no Python worker is started."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from .fixed_values import (
@@ -21,13 +24,9 @@ def without_web_tokens(words: Column) -> Column:
 
 
 def letters_only(words: Column) -> Column:
-    """Keep the letters a-z of each token in lower case; drop tokens left empty.
-
-    The tokens are cleaned as one string, so the regex runs once per row inside generated
-    code instead of once per token in an interpreted lambda.
-    """
-    joined = F.lower(F.regexp_replace(F.array_join(words, " "), "[^a-zA-Z ]+", ""))
-    return F.array_remove(F.split(joined, " "), "")
+    """Keep the letters a-z of each token in lower case; drop tokens left empty."""
+    letters = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z]+", "")))
+    return F.filter(letters, lambda w: w != "")
 
 
 def without_stop_words(words: Column) -> Column:
@@ -36,18 +35,27 @@ def without_stop_words(words: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Tokenize, drop web tokens, keep letters, drop stop words."""
-    return without_stop_words(letters_only(without_web_tokens(tokens(text))))
+    words = tokens(text)
+    lowered = F.lower(text)
+    marks = [lowered.contains(mark) for mark in ("@", "#", "http", "www.")]
+    # Plain byte searches spare most texts the pattern match per token.
+    plain = F.when(reduce(or_, marks), without_web_tokens(words)).otherwise(words)
+    return without_stop_words(letters_only(plain))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, EMOJI, "")
+    return F.when(_is_ascii(text), text).otherwise(F.regexp_replace(text, EMOJI, ""))
 
 
 def drop_emoji_tokens(text: Column) -> Column:
     """Drop each white-space token that holds an emoji; join the rest by one blank."""
-    separators = f"[{WHITESPACE}]+"
+    words = F.split(text, f"[{WHITESPACE}]+")
     return F.array_join(
-        F.filter(F.split(text, separators), lambda w: (w != "") & ~w.rlike(EMOJI_CHARACTER)), " "
+        F.filter(words, lambda w: (w != "") & (_is_ascii(w) | ~w.rlike(EMOJI_CHARACTER))), " "
     )
 
 

@@ -9,15 +9,18 @@ def clean_messages(messages: DataFrame, strict: bool = True) -> DataFrame:
     """Clean ``body`` and drop messages left without text; every other column stays on its row.
 
     Emoji go first, then outer white space, then (``strict``) every message that is not made
-    of letters alone, then punctuation. A strict message thus is one word; ``strict=False``
-    keeps messages with blanks, digits and marks.
+    of letters alone, then punctuation. A strict message thus is one word, without any mark
+    left to remove; ``strict=False`` keeps messages with blanks, digits and marks.
+
+    The cleaned text is filtered as a list of one and then unnested: a filter and a projection
+    over the same expression would each run its patterns again.
     """
     body = text.strip_whitespace(text.strip_emoji(F.col("body")))
-    cleaned = messages.withColumn("body", body)
     if strict:
-        cleaned = cleaned.where(text.is_alphabetic(F.col("body")))
-    cleaned = cleaned.withColumn("body", F.nullif(text.remove_punctuation(F.col("body")), F.lit("")))
-    return cleaned.na.drop(subset=["body"])
+        kept = F.filter(F.array(body), text.is_alphabetic)
+    else:
+        kept = F.filter(F.array(text.remove_punctuation(body)), lambda b: b != "")
+    return messages.withColumn("body", F.explode(kept))
 
 
 def deduplicate(df: DataFrame) -> DataFrame:

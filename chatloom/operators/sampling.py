@@ -1,9 +1,10 @@
 """Repeatable splits and exact-size samples.
 
-Order comes from a hash of a row key and a seed, never from row positions or ``rand()``, so a
-sample is the same under any partitioning. ``key`` names columns that identify a row. Rows
-spread over 65,536 hash buckets; where a table has no unique key, give it one with
-``with_row_id`` first, so that copies of a row spread as well.
+Order comes from a hash of a row key and a seed, never from partitions or ``rand()``, so a
+sample is the same under any partitioning. ``key`` names columns that identify a row; its
+hashes spread the rows over 65,536 buckets. Where a table has no such key, take one from
+``sources.readers.with_file_rows`` for a scan, or from ``with_row_id`` for a computed table: then
+copies of a row spread as well.
 """
 
 from collections.abc import Sequence
@@ -34,21 +35,18 @@ def period_split(
     seed: int = 42,
     period: str = "period",
     name: str = "split",
+    months: DataFrame | None = None,
 ) -> DataFrame:
     """Hold out whole months: ``held_out`` of every ``out_of``, picked by hash.
 
-    The months are few whatever the table's size (dates span at most 120,000), so ranking
-    them in one task and broadcasting the marks stays cheap; rows without a period are train.
+    The months to pick from are those of ``df``, or of ``months`` where ``df`` is costly to
+    compute twice. They are few whatever the table's size (dates span at most 120,000), so
+    ranking them in one task and broadcasting the marks stays cheap. Other rows are train.
     """
     order = Window.orderBy(row_hash([period], seed), period)
-    months = df.select(period).where(F.col(period).isNotNull()).distinct()
-    marks = months.select(
-        period,
-        F.when(
-            F.row_number().over(order) * out_of <= F.count("*").over(Window.partitionBy()) * held_out,
-            "test",
-        ).otherwise("train").alias(name),
-    )
+    distinct = (df if months is None else months).select(period).where(F.col(period).isNotNull()).distinct()
+    held = F.row_number().over(order) * out_of <= F.count("*").over(Window.partitionBy()) * held_out
+    marks = distinct.select(period, F.when(held, "test").otherwise("train").alias(name))
     return df.join(F.broadcast(marks), period, "left").fillna("train", [name])
 
 

@@ -13,10 +13,11 @@ LABEL = "log10_superchats"
 def regression_data(chat: DataFrame, superchat: DataFrame, seed: int = 42) -> DataFrame:
     """Combined statistics with log targets, held-out months and assembled features.
 
-    The table is pinned: models read it many times, and it is small beside the chats.
+    The statistics are pinned: splitting and every fit read them again, and they are small
+    beside the chats.
     """
-    combined = stats.log_targets(stats.combined_stats(chat, superchat))
-    return pinned(features.assemble(sampling.period_split(combined, seed=seed)))
+    combined = pinned(stats.log_targets(stats.combined_stats(chat, superchat)))
+    return features.assemble(sampling.period_split(combined, seed=seed))
 
 
 def regression_scores(data: DataFrame, names: list[str], label: str = LABEL) -> DataFrame:
@@ -65,12 +66,16 @@ def classify_toxicity(documents: DataFrame, seed: int = 1234) -> DataFrame:
 def document_vectors(
     documents: DataFrame, words: DataFrame | None = None, size: int = 64, iterations: int = 1
 ) -> tuple[PipelineModel, DataFrame]:
-    """Train word vectors on ``words`` (all documents by default) and embed ``documents``."""
+    """Train word vectors on ``words`` (all documents by default) and embed ``documents``.
+
+    As many parts are trained side by side as the cluster has cores; each holds one copy of
+    the bounded vocabulary.
+    """
     def bucketed(df):
         return df.withColumn("buckets", features.word_buckets(F.col("words")))
 
     training = pinned(bucketed(words if words is not None else documents).select("buckets"))
-    partitions = max(1, training.rdd.getNumPartitions())
+    partitions = documents.sparkSession.sparkContext.defaultParallelism
     model = features.document_vectors(size, partitions=partitions, iterations=iterations).fit(
         training
     )

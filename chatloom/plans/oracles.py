@@ -1,6 +1,8 @@
 """SQL that DuckDB runs on the same tables; each entry must equal the query of its name."""
 
-from ..functions.fixed_values import EMOJI, EMOJI_CHARACTER, PUNCTUATION, STOP_WORDS, WEB_TOKEN, WHITESPACE
+from ..functions.fixed_values import (
+    PUNCTUATION, STOP_WORDS, WEB_TOKEN, WHITESPACE, emoji_character_pattern, emoji_pattern,
+)
 from .registry import _EMOJI_TEXT
 
 
@@ -86,7 +88,7 @@ def _strip(column):
 
 
 def _without_emoji(column):
-    return f"regexp_replace({column}, {_text(EMOJI)}, '', 'g')"
+    return f"regexp_replace({column}, {_text(emoji_pattern())}, '', 'g')"
 
 
 def _hash_split(hex_limit, seed):
@@ -180,7 +182,7 @@ ORACLES = {
     "strip_emoji": f"SELECT doc_id, {_without_emoji('text || ' + _text(_EMOJI_TEXT))} AS text FROM documents",
     "drop_emoji_tokens": f"""SELECT doc_id, array_to_string(list_filter(
   string_split_regex(text || {_text(_EMOJI_TEXT)}, {_text("[" + WHITESPACE + "]+")}),
-  lambda w: w <> '' AND NOT regexp_matches(w, {_text(EMOJI_CHARACTER)})), ' ') AS text FROM documents""",
+  lambda w: w <> '' AND NOT regexp_matches(w, {_text(emoji_character_pattern())})), ' ') AS text FROM documents""",
     "remove_punctuation": f"SELECT doc_id, translate(text, {_text(PUNCTUATION)}, '') AS text FROM documents",
     "split_sentences": f"""SELECT doc_id, cast(i - 1 AS int) AS position, list_extract(s, i) AS sentence FROM
   (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM

@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..functions import casts, text
+from ..functions.periods import period
 from ..operators import features, messages, metrics, models, sampling, series, stats
-from ..session import scratch_path
+from ..session import pinned, scratch_path
 from ..sources import readers, writers
 from . import bindings, jobs
 
@@ -230,7 +231,9 @@ def content_words(spark, sf_dir):
 
 @query
 def period_split(spark, sf_dir):
-    marked = sampling.period_split(stats.author_stats(bindings.chat(spark, sf_dir)))
+    chat = bindings.chat(spark, sf_dir)
+    months = chat.select(period(F.col("ts")).alias("period"))
+    marked = sampling.period_split(stats.author_stats(chat), months=months)
     return marked.groupBy("period", "split").agg(
         F.count("*").alias("n"), F.sum("chats").alias("chats")
     )
@@ -274,14 +277,10 @@ def balance_classes(spark, sf_dir):
 
 # Evaluation of fixed rules.
 
-def _marked_targets(spark, sf_dir):
-    targets = stats.log_targets(stats.superchat_stats(bindings.superchat(spark, sf_dir)))
-    return sampling.period_split(targets).withColumnRenamed(jobs.LABEL, "label")
-
-
 @query
 def mean_baseline(spark, sf_dir):
-    marked = _marked_targets(spark, sf_dir)
+    targets = pinned(stats.log_targets(stats.superchat_stats(bindings.superchat(spark, sf_dir))))
+    marked = sampling.period_split(targets).withColumnRenamed(jobs.LABEL, "label")
     predicted = stats.with_mean(marked, "label", marked.where("split = 'train'"), "prediction")
     scores = metrics.regression_metrics(predicted, by=["split"]).drop("r2")
     return _rounded(scores, "mse", "rmse", "mae")

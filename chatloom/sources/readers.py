@@ -33,6 +33,17 @@ def read_named(
     return reader.parquet(*chosen)
 
 
+def with_file_rows(scan: DataFrame) -> DataFrame:
+    """Add ``file`` and ``row``, which together identify each row of a parquet scan.
+
+    They stay the same however the scan is split or repeated, so they serve as sampling key
+    for tables without one, even where many rows are copies of each other.
+    """
+    return scan.select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+
+
 def read_chats(spark: SparkSession, folder: str, corrupt: Iterable[str] = ()) -> DataFrame:
     """Monthly chat files without the flagged ones, in the column names used here."""
     return chat_columns(read_named(spark, folder, "chats_", ["flagged", *corrupt]))
