@@ -25,8 +25,11 @@ def without_web_tokens(words: Column) -> Column:
 
 def letters_only(words: Column) -> Column:
     """Keep the letters a-z of each token in lower case; drop tokens left empty."""
-    letters = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z]+", "")))
-    return F.filter(letters, lambda w: w != "")
+    return F.filter(_letters(words), lambda w: w != "")
+
+
+def _letters(words: Column) -> Column:
+    return F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z]+", "")))
 
 
 def without_stop_words(words: Column) -> Column:
@@ -40,7 +43,7 @@ def content_words(text: Column) -> Column:
     marks = [lowered.contains(mark) for mark in ("@", "#", "http", "www.")]
     # Plain byte searches spare most texts the pattern match per token.
     plain = F.when(reduce(or_, marks), without_web_tokens(words)).otherwise(words)
-    return without_stop_words(letters_only(plain))
+    return F.filter(_letters(plain), lambda w: ~w.isin(["", *STOP_WORDS]))
 
 
 def _is_ascii(text: Column) -> Column:

@@ -16,7 +16,7 @@ from ..session import pinned
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Give each row a unique id, written to the checkpoint folder so that it never changes."""
+    """Give each row a unique id, written to the shared folder so that it never changes."""
     return pinned(df.withColumn(name, F.monotonically_increasing_id()))
 
 

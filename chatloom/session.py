@@ -1,4 +1,4 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings and the shared folder for intermediate tables."""
 
 import tempfile
 import uuid
@@ -23,7 +23,7 @@ def chat_session(builder: SparkSession.Builder = SparkSession.builder) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder every executor can reach.
+    """The folder for intermediate tables that every executor can reach.
 
     Taken from ``spark.checkpoint.dir``. Where the session names none, a temporary folder
     serves a local session; on a cluster that is an error, since executors share no disk.
@@ -34,7 +34,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chatloom-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
@@ -44,10 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/chatloom/{name}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once, for callers that read it many times.
+def pinned(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder once, for callers that read it many times.
 
-    A lost executor costs a re-read of the file, not a re-run of the lineage.
+    A lost executor costs a re-read of the files, not a re-run of the lineage, and each reader
+    takes only the columns it needs. The files stay until the folder is cleaned.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
