@@ -2,9 +2,9 @@
 
 Order comes from a hash of a row key and a seed, never from partitions or ``rand()``, so a
 sample is the same under any partitioning. ``key`` names columns that identify a row; its
-hashes spread the rows over 65,536 buckets. Where a table has no such key, take one from
-``sources.readers.with_file_rows`` for a scan, or from ``with_row_id`` for a computed table: then
-copies of a row spread as well.
+hashes spread the rows over 65,536 buckets. A parquet scan without such a key gets one from
+``sources.readers.with_file_rows``. Without any, rows are numbered by ``with_row_id``: copies of
+a row, however many, then spread as well.
 """
 
 from collections.abc import Sequence
@@ -51,7 +51,11 @@ def period_split(
 
 
 def row_index(
-    df: DataFrame, key: Sequence[str], seed: int, below: int | None = None, name: str = "row_index"
+    df: DataFrame,
+    key: Sequence[str] | None,
+    seed: int,
+    below: int | None = None,
+    name: str = "row_index",
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... in hash order without sorting them in one place.
 
@@ -59,6 +63,8 @@ def row_index(
     inside their bucket. With ``below``, buckets that start at or beyond it are dropped by the
     join with the histogram, before any row is shuffled.
     """
+    if key is None:
+        return row_index(with_row_id(df, "_id"), ["_id"], seed, below, name).drop("_id")
     hashed = df.withColumn("_hash", row_hash(key, seed))
     hashed = hashed.withColumn("_bucket", leading_number(F.col("_hash"), BUCKET_DIGITS))
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
@@ -77,12 +83,16 @@ def row_index(
     return numbered.drop("_hash", "_bucket", "_start")
 
 
-def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+def sample_n(
+    df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42
+) -> DataFrame:
     """Exactly n rows without replacement; all rows where the input has no more than n."""
     return row_index(df, key, seed, below=n).drop("row_index")
 
 
-def resample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+def resample_n(
+    df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42
+) -> DataFrame:
     """Exactly n rows with replacement: n draws of a row number, joined with the rows.
 
     An empty input gives no rows.
@@ -96,14 +106,24 @@ def resample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> Dat
 
 
 def downsample(
-    df: DataFrame, majority, n: int, key: Sequence[str], label: str = "label", seed: int = 42
+    df: DataFrame,
+    majority,
+    n: int,
+    key: Sequence[str] | None = None,
+    label: str = "label",
+    seed: int = 42,
 ) -> DataFrame:
     """n rows of the majority class, without replacement."""
     return sample_n(df.where(F.col(label) == majority), n, key, seed)
 
 
 def upsample(
-    df: DataFrame, minority, n: int, key: Sequence[str], label: str = "label", seed: int = 42
+    df: DataFrame,
+    minority,
+    n: int,
+    key: Sequence[str] | None = None,
+    label: str = "label",
+    seed: int = 42,
 ) -> DataFrame:
     """n rows of the minority class, with replacement."""
     return resample_n(df.where(F.col(label) == minority), n, key, seed)
@@ -112,7 +132,7 @@ def upsample(
 def balance_classes(
     df: DataFrame,
     n: int,
-    key: Sequence[str],
+    key: Sequence[str] | None = None,
     majority=0,
     minority=1,
     label: str = "label",

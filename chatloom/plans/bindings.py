@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.readers import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -82,8 +84,17 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """The documents, for queries that work hard on each text."""
+    return spread(documents(spark, sf_dir))
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def labelled_documents(spark, sf_dir) -> DataFrame:
-    return documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return texts(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 def reviews(spark, sf_dir) -> DataFrame:

@@ -1,11 +1,15 @@
 """Whole analyses: statistics to regression scores, text to classifier scores."""
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
 
+from pyspark.ml.feature import Word2VecModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .. import schemas
 from ..functions.text import content_words
 from ..operators import features, metrics, models, sampling, stats
 from ..session import pinned
+from ..sources import readers
 
 LABEL = "log10_superchats"
 
@@ -45,27 +49,34 @@ def _classifier_scores(predictions: DataFrame, label: str, train_rows: int) -> D
     )
 
 
-def classify_text(reviews: DataFrame, seed: int = 1234) -> DataFrame:
+def _split_words(df: DataFrame, label: str, key: Sequence[str], test: float, seed: int):
+    """Train and test rows with key, label and words, tokenized once."""
+    words = with_words(df).select(*key, label, "words")
+    data = pinned(sampling.hash_split(words, key, test, seed))
+    return data.where("split = 'train'"), data.where("split = 'test'")
+
+
+def classify_text(
+    reviews: DataFrame, key: Sequence[str] = ("doc_id",), seed: int = 1234
+) -> DataFrame:
     """Polarity from text: a 70/30 split, TF-IDF, logistic regression, AUC and accuracy."""
-    words = with_words(binary_labels(reviews)).select("doc_id", "label", "words")
-    data = pinned(sampling.hash_split(words, ["doc_id"], 0.3, seed))
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    train, test = _split_words(binary_labels(reviews), "label", key, 0.3, seed)
     model = models.text_classifier().fit(train)
     return _classifier_scores(model.transform(test), "label", train.count())
 
 
-def classify_toxicity(documents: DataFrame, seed: int = 1234) -> DataFrame:
+def classify_toxicity(
+    documents: DataFrame, key: Sequence[str] = ("doc_id",), seed: int = 1234
+) -> DataFrame:
     """The label ``toxic`` from text, by ridge-regularised logistic regression over TF-IDF."""
-    words = with_words(documents).select("doc_id", "toxic", "words")
-    data = pinned(sampling.hash_split(words, ["doc_id"], 0.3, seed))
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    train, test = _split_words(documents, "toxic", key, 0.3, seed)
     model = models.toxicity_classifier().fit(train)
     return _classifier_scores(model.transform(test), "toxic", train.count())
 
 
 def document_vectors(
     documents: DataFrame, words: DataFrame | None = None, size: int = 64, iterations: int = 1
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[Word2VecModel, DataFrame]:
     """Train word vectors on ``words`` (all documents by default) and embed ``documents``.
 
     As many parts are trained side by side as the cluster has cores; each holds one copy of
@@ -74,7 +85,7 @@ def document_vectors(
     def bucketed(df):
         return df.withColumn("buckets", features.word_buckets(F.col("words")))
 
-    training = pinned(bucketed(words if words is not None else documents).select("buckets"))
+    training = pinned(bucketed(documents if words is None else words).select("buckets"))
     partitions = documents.sparkSession.sparkContext.defaultParallelism
     model = features.document_vectors(size, partitions=partitions, iterations=iterations).fit(
         training
@@ -82,19 +93,37 @@ def document_vectors(
     return model, model.transform(bucketed(documents))
 
 
-def classify_vectors(messages: DataFrame, per_class: int, size: int = 64) -> DataFrame:
+def classify_vectors(
+    messages: DataFrame, per_class: int, size: int = 64, key: Sequence[str] = ("doc_id",)
+) -> DataFrame:
     """Toxic or not from document vectors: 80/20 split, balanced training rows, a small network.
 
-    messages: doc_id, text, toxic. Balancing follows the split, so no test message is among
-    the copies trained on.
+    Balancing follows the split, so no test message is among the copies trained on. Gives a
+    classification report.
     """
-    words = with_words(messages).select("doc_id", F.col("toxic").alias("label"), "words")
-    split = sampling.hash_split(words, ["doc_id"], 0.2, 42)
-    _, vectors = document_vectors(split, split.where("split = 'train'"), size)
-    data = pinned(vectors.select("doc_id", "label", "split", "features"))
-    train, test = data.where("split = 'train'"), data.where("split = 'test'")
-    balanced = pinned(sampling.balance_classes(train, per_class, ["doc_id"]))
-    model = models.vector_classifier(size, 2).fit(balanced)
+    train, test = _split_words(messages, "toxic", key, 0.2, 42)
+    vectors, embedded = document_vectors(train, size=size)
+    balanced = pinned(sampling.balance_classes(
+        embedded.select(*key, "toxic", "features"), per_class, key, label="toxic"
+    ))
+    model = models.vector_classifier(size, 2, label="toxic").fit(balanced)
+    buckets = features.word_buckets(F.col("words"))
+    predictions = model.transform(vectors.transform(test.withColumn("buckets", buckets)))
     return metrics.classification_report(
-        model.transform(test).select("label", F.col("prediction").cast("int").alias("prediction"))
+        predictions.select("toxic", F.col("prediction").cast("int").alias("prediction")), "toxic"
     )
+
+
+def combine_numbered(
+    spark: SparkSession, chat_stem: str, superchat_stem: str, numbers: Sequence[int], shift: int = 2
+) -> DataFrame:
+    """Combine statistics files that carry a month number in their name and no period inside.
+
+    Super chats began ``shift`` months later, so chat file i belongs to super chat file
+    i - shift. All months are read and joined at once.
+    """
+    chat = readers.read_numbered(spark, chat_stem, numbers, schemas.CHAT_STATS)
+    superchat = readers.read_numbered(
+        spark, superchat_stem, [n - shift for n in numbers], schemas.SUPERCHAT_STATS_NO_PERIOD
+    ).withColumn("number", F.col("number") + shift)
+    return chat.join(superchat, ["author", "number"]).drop("number")

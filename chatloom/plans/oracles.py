@@ -143,6 +143,9 @@ SENTENCES = r"""regexp_replace(regexp_replace(text, '([.!?]+)\s+', E'\\1\n', 'g'
 ORACLES = {
     "author_stats": _author_stats(),
     "author_stats_body": _author_stats(count="bodylength"),
+    "author_stats_sql": _author_stats(),
+    "member_filter_sql": f"""SELECT author, count(*) AS "memberChats",
+  count(DISTINCT channel) AS "uniqueMembers" FROM {CHAT} WHERE member GROUP BY 1""",
     "superchat_stats": SUPERCHAT_STATS,
     "combined_stats": COMBINED,
     "combined_stats_right": f"""SELECT s.author, s.period, c.chats, c."videoDays", c."uniqueChatters",

@@ -9,7 +9,7 @@ from ..functions.periods import period
 from ..operators import features, messages, metrics, models, sampling, series, stats
 from ..session import pinned, scratch_path
 from ..sources import readers, writers
-from . import bindings, jobs
+from . import bindings, jobs, views
 
 QUERIES = {}
 
@@ -35,6 +35,22 @@ def author_stats_body(spark, sf_dir):
     return stats.author_stats(bindings.chat(spark, sf_dir), count="bodylength")
 
 
+@query
+def author_stats_sql(spark, sf_dir):
+    views.register(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir))
+    return views.author_stats(spark)
+
+
+@query
+def member_filter_sql(spark, sf_dir):
+    """Member chats per author from the view, where membership is text."""
+    views.register(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir))
+    return spark.sql("""
+        SELECT authorChannelId AS author, count(*) AS memberChats,
+               count(DISTINCT channelId) AS uniqueMembers
+        FROM chat WHERE isMember = 'true' GROUP BY authorChannelId""")
+
+
 @query
 def superchat_stats(spark, sf_dir):
     return _rounded(stats.superchat_stats(bindings.superchat(spark, sf_dir)), "avgSignificance")
@@ -153,7 +169,7 @@ def clean_messages_loose(spark, sf_dir):
 
 @query
 def alpha_tokens(spark, sf_dir):
-    words = bindings.documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("token"))
+    words = bindings.texts(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("token"))
     return words.where(text.is_alphabetic(F.col("token"))).groupBy("token").agg(
         F.count("*").alias("n")
     )
@@ -163,7 +179,7 @@ _EMOJI_TEXT = " \U0001F600\U0001F44D\U0001F3FD! ok❤️ end"
 
 
 def _emoji_documents(spark, sf_dir):
-    return bindings.documents(spark, sf_dir).select(
+    return bindings.texts(spark, sf_dir).select(
         "doc_id", F.concat("text", F.lit(_EMOJI_TEXT)).alias("text")
     )
 
@@ -180,51 +196,51 @@ def drop_emoji_tokens(spark, sf_dir):
 
 @query
 def remove_punctuation(spark, sf_dir):
-    return bindings.documents(spark, sf_dir).select(
+    return bindings.texts(spark, sf_dir).select(
         "doc_id", text.remove_punctuation(F.col("text")).alias("text")
     )
 
 
 @query
 def split_sentences(spark, sf_dir):
-    return messages.sentences(bindings.documents(spark, sf_dir), "doc_id")
+    return messages.sentences(bindings.texts(spark, sf_dir), "doc_id")
 
 
 # Tokens. Lists are written as one text, tokens parted by a blank.
 
 @query
 def token_document_frequency(spark, sf_dir):
-    return features.document_frequency(bindings.documents(spark, sf_dir), text.tokens(F.col("text")))
+    return features.document_frequency(bindings.texts(spark, sf_dir), text.tokens(F.col("text")))
 
 
 @query
 def term_idf(spark, sf_dir):
-    documents = bindings.documents(spark, sf_dir)
+    documents = bindings.texts(spark, sf_dir)
     return _rounded(features.term_idf(documents, text.tokens(F.col("text"))), "idf")
 
 
 @query
 def web_token_filter(spark, sf_dir):
     words = text.without_web_tokens(text.tokens(F.col("html")))
-    return bindings.table(spark, sf_dir, "pages").select("page_id", F.array_join(words, " ").alias("words"))
+    return bindings.pages(spark, sf_dir).select("page_id", F.array_join(words, " ").alias("words"))
 
 
 @query
 def normalize_tokens(spark, sf_dir):
     words = text.letters_only(text.tokens(F.col("html")))
-    return bindings.table(spark, sf_dir, "pages").select("page_id", F.array_join(words, " ").alias("words"))
+    return bindings.pages(spark, sf_dir).select("page_id", F.array_join(words, " ").alias("words"))
 
 
 @query
 def remove_stopwords(spark, sf_dir):
     words = text.without_stop_words(text.tokens(F.col("text")))
-    return bindings.documents(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
+    return bindings.texts(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 @query
 def content_words(spark, sf_dir):
     words = text.content_words(F.col("text"))
-    return bindings.documents(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
+    return bindings.texts(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 # Splits and samples.
@@ -335,14 +351,14 @@ def mean_pool_vectors(spark, sf_dir):
 
 @query
 def tfidf_features(spark, sf_dir):
-    words = jobs.with_words(bindings.documents(spark, sf_dir)).select("doc_id", "words")
+    words = jobs.with_words(bindings.texts(spark, sf_dir)).select("doc_id", "words")
     vectors = features.tfidf().fit(words).transform(words)
     return vectors.select("doc_id", F.col("features").cast("string").alias("features"))
 
 
 @query
 def doc_vectors(spark, sf_dir):
-    words = jobs.with_words(bindings.documents(spark, sf_dir)).select("doc_id", "words")
+    words = jobs.with_words(bindings.texts(spark, sf_dir)).select("doc_id", "words")
     _, vectors = jobs.document_vectors(words, size=32)
     return vectors.select("doc_id", F.col("features").cast("string").alias("features"))
 

@@ -15,7 +15,7 @@ CHAT_STATS = _schema(
 )
 SUPERCHAT_STATS = _schema(author=_TEXT, period=_TEXT, superchats=_LONG, avgSignificance=_DOUBLE)
 # Superchat statistics in the older form that names no period.
-SUPERCHAT_STATS_NO_PERIOD = _schema(id=_TEXT, superchats=_LONG, avgSignificance=_DOUBLE)
+SUPERCHAT_STATS_NO_PERIOD = _schema(author=_TEXT, superchats=_LONG, avgSignificance=_DOUBLE)
 COMBINED_STATS = _schema(
     period=_TEXT, chats=_LONG, videoDays=_LONG, uniqueChatters=_LONG, totalBodyLength=_LONG,
     id=_TEXT, superchats=_DOUBLE, avgSignificance=_DOUBLE,

@@ -33,6 +33,18 @@ def read_named(
     return reader.parquet(*chosen)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan of fewer parts than cores, for work that is heavy per row.
+
+    One parquet row group is one task, however many cores stand idle. A scan that already
+    keeps the cores busy, as any large table does, is returned as it is; else adaptive
+    execution picks how many parts the data is worth.
+    """
+    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
+        return scan
+    return scan.hint("repartition")
+
+
 def with_file_rows(scan: DataFrame) -> DataFrame:
     """Add ``file`` and ``row``, which together identify each row of a parquet scan.
 
@@ -86,6 +98,15 @@ def read_csv(
     )
 
 
+def read_numbered(
+    spark: SparkSession, stem: str, numbers: Iterable[int], schema: StructType
+) -> DataFrame:
+    """Headerless CSV files or folders ``<stem><number>.csv`` as one scan, with their ``number``."""
+    rows = read_csv(spark, [f"{stem}{n}.csv" for n in numbers], schema)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.csv", 1)
+    return rows.withColumn("number", number.cast("int"))
+
+
 def read_text_columns(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """Header CSV read as text, then cast by name; unreadable values become NULL."""
     return cast_columns(spark.read.option("header", True).option("escape", '"').csv(path), types)

@@ -67,6 +67,20 @@ def test_header_csv_with_casts(spark, tmp_path):
     assert row["subscriptionCount"] == 3_000_000_000 and row["name"] == "n"
 
 
+def test_numbered_files_join_with_their_shift(spark, tmp_path):
+    from chatloom.plans.jobs import combine_numbered
+
+    (tmp_path / "chat_v2_2.csv").write_text("a,2021-03,5,2,1,50\nb,2021-03,1,1,1,5\n")
+    (tmp_path / "chat_v2_12.csv").write_text("a,2022-01,7,3,1,70\n")
+    (tmp_path / "superchat_0.csv").write_text("a,3,1.5\n")
+    (tmp_path / "superchat_10.csv").mkdir()
+    (tmp_path / "superchat_10.csv" / "part-00000-c000.csv").write_text("a,4,2.5\nb,9,1.0\n")
+    got = combine_numbered(spark, f"{tmp_path}/chat_v2_", f"{tmp_path}/superchat_", [2, 12]).collect()
+    assert {(r["author"], r["period"], r["chats"], r["superchats"], r["avgSignificance"]) for r in got} == {
+        ("a", "2021-03", 5, 3, 1.5), ("a", "2022-01", 7, 4, 2.5)
+    }
+
+
 def test_replace_overwrites_and_can_write_one_file(spark, tmp_path):
     path = str(tmp_path / "out")
     writers.replace(spark.range(10), path)

@@ -72,7 +72,10 @@ def test_copies_spread_with_a_row_key(spark, tmp_path):
     assert sample.count() == 900 and 200 < sample.where("v = -1").count() < 400
     owned = sampling.with_row_id(spark.read.parquet(path))
     assert owned.select("row_id").distinct().count() == 4000
-    assert sampling.sample_n(owned, 900, ["row_id"]).count() == 900
+    keyless = sampling.sample_n(spark.read.parquet(path), 900)
+    assert keyless.columns == ["v"] and keyless.count() == 900
+    assert 200 < keyless.where("v = -1").count() < 400
+    assert sampling.resample_n(spark.read.parquet(path), 5000).count() == 5000
 
 
 def test_downsample(rows):

@@ -7,7 +7,7 @@ from pyspark.ml.feature import StopWordsRemover, Tokenizer
 from pyspark.sql import functions as F
 
 from chatloom.functions import text
-from chatloom.functions.casts import cast_columns
+from chatloom.functions.casts import cast_columns, first_result
 from chatloom.functions.fixed_values import (
     EMOJI_RANGES, PUNCTUATION, STOP_WORDS, WHITESPACE,
 )
@@ -148,3 +148,8 @@ def test_cast_columns(spark):
     assert got.dtypes == [("i", "int"), ("d", "double"), ("keep", "string")]
     assert [r["i"] for r in got.collect()] == [12, 12, None, None, None, 7, -1]
     assert [r["d"] for r in got.collect()] == [12, 12.5, 3e9, None, None, 7, -1.9]
+
+
+def test_first_result(spark):
+    df = spark.createDataFrame([([{"result": "1"}, {"result": "0"}],), ([],), (None,)], "c array<struct<result:string>>")
+    assert [r[0] for r in df.select(first_result(F.col("c"))).collect()] == ["1", None, None]
