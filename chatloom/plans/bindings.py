@@ -1,4 +1,4 @@
-"""Chat tables as views of the driver's tables: column choice and renaming only, no operators."""
+"""The test tables under chat names; stand-ins for statistics that arrive ready-made."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 

@@ -39,15 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/chatloom/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, in a folder per application that can go after it."""
+    folder = f"{shared_folder(spark).rstrip('/')}/chatloom-{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder once, for callers that read it many times.
 
     A lost executor costs a re-read of the files, not a re-run of the lineage, and each reader
-    takes only the columns it needs. The files stay until the folder is cleaned.
+    takes only the columns it needs. The files stay until
+    the application's folder is removed.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

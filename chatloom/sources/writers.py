@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -22,10 +22,14 @@ def replace(
 ) -> None:
     """Write over whatever is at ``path``.
 
-    ``single_file`` sends all rows through one task; it is meant for small reports.
+    With ``partition_by`` rows of one folder are brought together first, so that tasks times
+    folders small files do not pile up; adaptive execution splits a folder that is too large
+    for one task. ``single_file`` sends all rows through one task; it is meant for small reports.
     """
     if single_file:
         df = df.coalesce(1)
+    elif partition_by:
+        df = df.hint("rebalance", *map(F.col, partition_by))
     df.write.mode("overwrite").partitionBy(*partition_by).format(format).options(**options).save(
         path
     )

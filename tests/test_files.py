@@ -89,6 +89,14 @@ def test_replace_overwrites_and_can_write_one_file(spark, tmp_path):
     assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 1
 
 
+def test_partitioned_writes_make_few_files(spark, tmp_path):
+    path = str(tmp_path / "by-period")
+    rows = spark.range(4000).repartition(16).select("id", F.concat(F.lit("2021-0"), F.col("id") % 4 + 1).alias("period"))
+    writers.replace(rows, path, partition_by=["period"])
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert spark.read.parquet(path).count() == 4000 and len(files) <= 8
+
+
 def test_write_once(spark, tmp_path):
     path = str(tmp_path / "documents")
     assert writers.write_once(spark.range(3), path)

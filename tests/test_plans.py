@@ -1,5 +1,7 @@
 """Plans that must hold at scale: what is scanned, shuffled, broadcast and expanded."""
 
+import re
+
 import pytest
 
 from chatloom.operators import sampling, stats
@@ -29,6 +31,7 @@ def test_statistics_need_no_expand_and_two_shuffles(spark):
         plan = plan_of(build(bindings.chat(spark, SF_DIR)))
         assert "Expand" not in plan
         assert plan.count("Exchange hashpartitioning") == 2
+        assert re.search(r"hashpartitioning\(author#\w+, _groupingexpression#\w+, channel#", plan)
 
 
 def test_statistics_read_only_their_columns(spark):
