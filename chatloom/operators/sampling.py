@@ -3,17 +3,21 @@
 Order comes from a hash of a row key and a seed, never from partitions or ``rand()``, so a
 sample is the same under any partitioning. ``key`` names columns that identify a row; its
 hashes spread the rows over 65,536 buckets. A parquet scan without such a key gets one from
-``sources.readers.with_file_rows``. Without any, rows are numbered by ``with_row_id``: copies of
-a row, however many, then spread as well.
+``sources.readers.with_file_rows``. Without any, and where a key turns out to repeat for a large
+part of the rows, they are numbered by ``with_row_id``: copies of a row then spread as well.
 """
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.hashing import BUCKET_DIGITS, below_fraction, leading_number, row_hash
+from ..functions.hashing import (
+    BUCKET_DIGITS, BUCKETS, below_fraction, leading_number, row_hash,
+)
 from ..session import pinned
 
+CROWD = 1_000_000  # rows of one bucket that a single task may well rank
+
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Give each row a unique id, written to the shared folder so that it never changes."""
@@ -56,26 +60,26 @@ def row_index(
     seed: int,
     below: int | None = None,
     name: str = "row_index",
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... in hash order without sorting them in one place.
 
     A histogram of the hash buckets gives each bucket's first number; rows are then ranked
     inside their bucket. With ``below``, buckets that start at or beyond it are dropped by the
-    join with the histogram, before any row is shuffled.
+    join with the histogram, before any row is shuffled. Should a bucket hold far more rows
+    than its share, and more than ``crowd``, then ``key`` does not identify rows: they are
+    numbered by a row id instead.
     """
     if key is None:
         return row_index(with_row_id(df, "_id"), ["_id"], seed, below, name).drop("_id")
     hashed = df.withColumn("_hash", row_hash(key, seed))
     hashed = hashed.withColumn("_bucket", leading_number(F.col("_hash"), BUCKET_DIGITS))
-    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    if below is not None:
-        starts = starts.where(F.col("_start") < below)
+    starts = _bucket_starts(hashed, below)
+    share = F.col("_total") / BUCKETS
+    if not starts.where(F.col("_size") > F.greatest(F.lit(crowd), 4 * share)).isEmpty():
+        return row_index(df, None, seed, below, name)
     # The histogram has at most 65,536 rows of two numbers, about 1 MB.
-    placed = hashed.join(F.broadcast(starts), "_bucket")
+    placed = hashed.join(F.broadcast(starts.select("_bucket", "_start")), "_bucket")
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *key))
     numbered = placed.withColumn(name, F.col("_start") + rank - 1)
     if below is not None:
@@ -83,6 +87,17 @@ def row_index(
     return numbered.drop("_hash", "_bucket", "_start")
 
 
+def _bucket_starts(hashed: DataFrame, below: int | None) -> DataFrame:
+    """Size of each bucket and number of rows in the buckets before it, for at most 65,536 rows."""
+    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pinned(sizes.select(
+        "_bucket", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.sum("_size").over(Window.partitionBy()).alias("_total"),
+    ), "buckets")
+    return starts if below is None else starts.where(F.col("_start") < below)
+
+
 def sample_n(
     df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42
 ) -> DataFrame:

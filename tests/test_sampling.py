@@ -63,6 +63,20 @@ def test_sample_n_with_equal_keys(spark):
     assert sampling.sample_n(same, 120, ["k"]).count() == 120
 
 
+def test_a_crowded_key_gives_way_to_row_ids(spark):
+    hot = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id"
+    )
+    numbered = sampling.row_index(hot, ["k"], 1, crowd=50)
+    assert numbered.columns == ["k", "id", "row_index"]
+    assert sorted(r["row_index"] for r in numbered.collect()) == list(range(6000))
+    spread_out = numbered.where("k = -1 and row_index < 600").count()
+    assert 120 < spread_out < 280
+    kept = sampling.row_index(hot.where("k >= 0"), ["k"], 1, crowd=50)
+    plain = sampling.row_index(hot.where("k >= 0"), ["k"], 1)
+    assert sorted(kept.collect()) == sorted(plain.collect())
+
+
 def test_copies_spread_with_a_row_key(spark, tmp_path):
     path = str(tmp_path / "copies")
     spark.range(4000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v")).write.parquet(path)
