@@ -1,8 +1,11 @@
 """Feature columns and vectors."""
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, IDF, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,6 +64,10 @@ def word_buckets(words: Column, buckets: int = WORD_BUCKETS) -> Column:
     )
 
 
+def with_buckets(df: DataFrame, words: str = "words") -> DataFrame:
+    return df.withColumn("buckets", word_buckets(F.col(words)))
+
+
 def document_vectors(
     size: int = 64, min_count: int = 5, partitions: int = 8, iterations: int = 1, seed: int = 42
 ) -> Word2Vec:
@@ -80,15 +87,18 @@ def vector_column(df: DataFrame, column: str, name: str = "features") -> DataFra
     return df.withColumn(name, array_to_vector(F.col(column)))
 
 
-def mean_pool(df: DataFrame, key: str, column: str, name: str = "vector") -> DataFrame:
-    """Mean vector per key.
+def mean_pool(
+    df: DataFrame, key: str | Sequence[str], column: str, name: str = "vector"
+) -> DataFrame:
+    """Mean vector per key, as an array, of an array or vector column.
 
     Vectors are summed before the shuffle, one buffer per key and task, so neither a hot key
     nor the number of dimensions multiplies the rows shuffled.
     """
-    vectors = df.where(F.col(column).isNotNull()).select(
-        key, array_to_vector(F.col(column)).alias("_vector")
-    )
-    return vectors.groupBy(key).agg(
-        vector_to_array(Summarizer.mean(F.col("_vector"))).alias(name)
-    )
+    keys = [key] if isinstance(key, str) else list(key)
+    vector = F.col(column)
+    if not isinstance(df.schema[column].dataType, VectorUDT):
+        vector = array_to_vector(vector)
+    vectors = df.where(F.col(column).isNotNull()).select(*keys, vector.alias("_vector"))
+    mean = vector_to_array(Summarizer.mean(F.col("_vector")))
+    return vectors.groupBy(*keys).agg(mean.alias(name))

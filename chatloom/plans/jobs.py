@@ -6,7 +6,7 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.text import content_words
+from ..functions.text import content_words, sentences
 from ..operators import features, metrics, models, sampling, stats
 from ..session import pinned
 from ..sources import readers
@@ -49,9 +49,11 @@ def _classifier_scores(predictions: DataFrame, label: str, train_rows: int) -> D
     )
 
 
-def _split_words(df: DataFrame, label: str, key: Sequence[str], test: float, seed: int):
-    """Train and test rows with key, label and words, tokenized once."""
-    words = with_words(df).select(*key, label, "words")
+def _split_words(
+    df: DataFrame, label: str, key: Sequence[str], test: float, seed: int, *more: str
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with key, label and words (and ``more`` columns), tokenized once."""
+    words = with_words(df).select(*key, label, "words", *more)
     data = pinned(sampling.hash_split(words, key, test, seed))
     return data.where("split = 'train'"), data.where("split = 'test'")
 
@@ -74,41 +76,66 @@ def classify_toxicity(
     return _classifier_scores(model.transform(test), "toxic", train.count())
 
 
-def document_vectors(
-    documents: DataFrame, words: DataFrame | None = None, size: int = 64, iterations: int = 1
-) -> tuple[Word2VecModel, DataFrame]:
-    """Train word vectors on ``words`` (all documents by default) and embed ``documents``.
+def train_word_vectors(words: DataFrame, size: int = 64, iterations: int = 1) -> Word2VecModel:
+    """Word vectors from the token lists in ``words``.
 
     As many parts are trained side by side as the cluster has cores; each holds one copy of
     the bounded vocabulary.
     """
-    def bucketed(df):
-        return df.withColumn("buckets", features.word_buckets(F.col("words")))
-
-    training = pinned(bucketed(documents if words is None else words).select("buckets"))
-    partitions = documents.sparkSession.sparkContext.defaultParallelism
-    model = features.document_vectors(size, partitions=partitions, iterations=iterations).fit(
+    training = pinned(features.with_buckets(words).select("buckets"))
+    partitions = words.sparkSession.sparkContext.defaultParallelism
+    return features.document_vectors(size, partitions=partitions, iterations=iterations).fit(
         training
     )
-    return model, model.transform(bucketed(documents))
+
+
+def document_vectors(words: DataFrame, model: Word2VecModel) -> DataFrame:
+    """Add ``features``, the mean vector of each row's words."""
+    return model.transform(features.with_buckets(words))
+
+
+def sentence_vectors(
+    documents: DataFrame, model: Word2VecModel, key: Sequence[str], column: str = "text"
+) -> DataFrame:
+    """Add ``features``, the mean over the sentences of a text of each sentence's vector.
+
+    ``key`` must identify rows. A text without any sentence gets a zero vector.
+    """
+    parts = documents.select(*key, F.explode(sentences(F.col(column))).alias("sentence"))
+    pooled = features.mean_pool(
+        document_vectors(with_words(parts, "sentence"), model), key, "features", "_mean"
+    )
+    zero = F.array_repeat(F.lit(0.0), model.getVectorSize())
+    joined = documents.join(pooled, list(key), "left")
+    joined = joined.withColumn("_mean", F.coalesce("_mean", zero))
+    return features.vector_column(joined, "_mean").drop("_mean")
 
 
 def classify_vectors(
-    messages: DataFrame, per_class: int, size: int = 64, key: Sequence[str] = ("doc_id",)
+    messages: DataFrame,
+    per_class: int,
+    size: int = 64,
+    key: Sequence[str] = ("doc_id",),
+    by_sentence: bool = False,
 ) -> DataFrame:
-    """Toxic or not from document vectors: 80/20 split, balanced training rows, a small network.
+    """Toxic or not from text vectors: 80/20 split, balanced training rows, a small network.
 
-    Balancing follows the split, so no test message is among the copies trained on. Gives a
-    classification report.
+    Texts are embedded whole or sentence by sentence. Balancing follows the split, so no test
+    message is among the copies trained on. Gives a classification report.
     """
-    train, test = _split_words(messages, "toxic", key, 0.2, 42)
-    vectors, embedded = document_vectors(train, size=size)
-    balanced = pinned(sampling.balance_classes(
-        embedded.select(*key, "toxic", "features"), per_class, key, label="toxic"
-    ))
+    more = ["text"] if by_sentence else []
+    train, test = _split_words(messages, "toxic", key, 0.2, 42, *more)
+    words = train_word_vectors(train, size)
+
+    def embedded(df):
+        vectors = sentence_vectors(df, words, key) if by_sentence else document_vectors(df, words)
+        return vectors.select(*key, "toxic", "features")
+
+    balanced = pinned(
+        sampling.balance_classes(embedded(train), per_class, key, label="toxic")
+    )
     model = models.vector_classifier(size, 2, label="toxic").fit(balanced)
-    buckets = features.word_buckets(F.col("words"))
-    predictions = model.transform(vectors.transform(test.withColumn("buckets", buckets)))
+    predictions = model.transform(embedded(test))
     return metrics.classification_report(
         predictions.select("toxic", F.col("prediction").cast("int").alias("prediction")), "toxic"
     )

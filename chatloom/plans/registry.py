@@ -359,7 +359,7 @@ def tfidf_features(spark, sf_dir):
 @query
 def doc_vectors(spark, sf_dir):
     words = jobs.with_words(bindings.texts(spark, sf_dir)).select("doc_id", "words")
-    _, vectors = jobs.document_vectors(words, size=32)
+    vectors = jobs.document_vectors(words, jobs.train_word_vectors(words, size=32))
     return vectors.select("doc_id", F.col("features").cast("string").alias("features"))
 
 
@@ -411,6 +411,12 @@ def vector_classifier(spark, sf_dir):
     return jobs.classify_vectors(bindings.labelled_documents(spark, sf_dir), per_class=500)
 
 
+@query
+def sentence_vector_classifier(spark, sf_dir):
+    labelled = bindings.labelled_documents(spark, sf_dir)
+    return jobs.classify_vectors(labelled, per_class=500, by_sentence=True)
+
+
 @query
 def model_reload(spark, sf_dir):
     """Predictions of a pipeline that was fitted, saved and loaded again."""

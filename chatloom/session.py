@@ -5,8 +5,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Shuffle widths are left to the cluster: adaptive execution joins small partitions and
-# splits skewed ones at run time.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -14,10 +12,25 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
+SHUFFLE_PARTITION_BYTES = 128 * 1024 ** 2
 
 
-def chat_session(builder: SparkSession.Builder = SparkSession.builder) -> SparkSession:
-    for name, value in SETTINGS.items():
+def shuffle_settings(shuffle_bytes: int) -> dict[str, str]:
+    """Shuffles wide enough that each part of the largest one fits an executor's memory.
+
+    Adaptive execution joins parts that turn out small but never widens a shuffle, so the
+    first width has to suit the largest shuffle to expect.
+    """
+    width = max(200, -(-shuffle_bytes // SHUFFLE_PARTITION_BYTES))
+    return {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(width)}
+
+
+def chat_session(
+    builder: SparkSession.Builder = SparkSession.builder, shuffle_bytes: int | None = None
+) -> SparkSession:
+    """A session with the settings used here; give ``shuffle_bytes`` on a large cluster."""
+    settings = SETTINGS | (shuffle_settings(shuffle_bytes) if shuffle_bytes else {})
+    for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

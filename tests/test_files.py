@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom import schemas
-from chatloom.session import pinned, scratch_path, shared_folder
+from chatloom.session import pinned, scratch_path, shared_folder, shuffle_settings
 from chatloom.sources import readers, writers
 
 
@@ -134,3 +134,9 @@ def test_score_records(spark):
 
     record = {name: 1.0 for name in schemas.SCORES.names} | {"model": "m", "label_col": "superchats"}
     assert score_records(spark, [record]).first()["Test MAE"] == 1.0
+
+
+def test_shuffle_width_follows_the_bytes():
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert shuffle_settings(10)[name] == "200"
+    assert shuffle_settings(20 * 2 ** 40)[name] == "163840"

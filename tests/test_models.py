@@ -158,12 +158,21 @@ def test_word_buckets_are_bounded(spark):
 
 
 def test_document_vectors(reviews):
-    model, vectors = jobs.document_vectors(jobs.with_words(reviews), size=8, iterations=2)
+    model = jobs.train_word_vectors(jobs.with_words(reviews), size=8, iterations=2)
+    vectors = jobs.document_vectors(jobs.with_words(reviews), model)
     sizes = vectors.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()
     assert [r["n"] for r in sizes] == [8]
     assert model.getVectors().count() <= features.WORD_BUCKETS
 
 
+def test_sentence_vectors_are_means_of_sentences(spark, reviews):
+    model = jobs.train_word_vectors(jobs.with_words(reviews), size=4)
+    texts = spark.createDataFrame([(1, "river stone. lamp"), (2, "river stone"), (3, "lamp"), (4, "")], "k int, text string")
+    got = {r["k"]: r["features"].toArray() for r in jobs.sentence_vectors(texts, model, ["k"]).collect()}
+    assert len(got) == 4 and not got[4].any()
+    assert abs(got[1] - (got[2] + got[3]) / 2).max() < 1e-12 and abs(got[1]).max() > 0
+
+
 def test_vector_classifier_learns_a_planted_signal(spark):
     draw = random.Random(2)
     rows = [(i, i % 2, [draw.gauss(2.0 if i % 2 else -2.0, 1.0) for _ in range(4)]) for i in range(300)]
@@ -172,8 +181,10 @@ def test_vector_classifier_learns_a_planted_signal(spark):
     assert metrics.accuracy(fitted.transform(df)).first()["accuracy"] > 0.95
 
 
-def test_classify_vectors_reports_each_class(reviews):
+@pytest.mark.parametrize("by_sentence", [False, True])
+def test_classify_vectors_reports_each_class(reviews, by_sentence):
     toxic = reviews.withColumn("toxic", (F.col("polarity") == 1).cast("int"))
-    report = {r["class"]: r for r in jobs.classify_vectors(toxic, per_class=100, size=8).collect()}
+    report = jobs.classify_vectors(toxic, per_class=100, size=8, by_sentence=by_sentence)
+    report = {r["class"]: r for r in report.collect()}
     assert {"0", "1", "accuracy", "macro avg", "weighted avg"} == set(report)
     assert report["accuracy"]["support"] == report["0"]["support"] + report["1"]["support"]

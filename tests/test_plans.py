@@ -11,7 +11,7 @@ from chatloom.plans.registry import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 # Queries that run Spark jobs while they are built: reading their plan would repeat the tests above.
 EAGER = {name for name in QUERIES if name.startswith("model_")} | {
-    "text_classifier", "toxicity_classifier", "vector_classifier", "doc_vectors", "tfidf_features",
+    "text_classifier", "toxicity_classifier", "vector_classifier", "sentence_vector_classifier", "doc_vectors", "tfidf_features",
 }
 
 
