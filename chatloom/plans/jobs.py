@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.text import content_words, sentences
-from ..operators import features, metrics, models, sampling, stats
+from ..operators import features, metrics, models, sampling, series, stats
+from ..operators.messages import clean_messages
 from ..session import pinned
-from ..sources import readers
+from ..sources import readers, writers
 
 LABEL = "log10_superchats"
 
 
-def regression_data(chat: DataFrame, superchat: DataFrame, seed: int = 42) -> DataFrame:
+def regression_table(combined: DataFrame, seed: int = 42) -> DataFrame:
     """Combined statistics with log targets, held-out months and assembled features.
 
-    The statistics are pinned: splitting and every fit read them again, and they are small
-    beside the chats.
+    Splitting and every fit read ``combined`` again: pass a stored or pinned table.
     """
-    combined = pinned(stats.log_targets(stats.combined_stats(chat, superchat)))
-    return features.assemble(sampling.period_split(combined, seed=seed))
+    return features.assemble(sampling.period_split(stats.log_targets(combined), seed=seed))
+
+
+def regression_data(chat: DataFrame, superchat: DataFrame, seed: int = 42) -> DataFrame:
+    """``regression_table`` from chats; the statistics, small beside the chats, are pinned."""
+    return regression_table(pinned(stats.combined_stats(chat, superchat)), seed)
 
 
 def regression_scores(data: DataFrame, names: list[str], label: str = LABEL) -> DataFrame:
@@ -41,8 +45,9 @@ def with_words(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _classifier_scores(predictions: DataFrame, label: str, train_rows: int) -> DataFrame:
-    area = metrics.area_under_roc(predictions, label)
-    scores = metrics.accuracy(predictions, label)
+    scored = pinned(predictions.select(label, "rawPrediction", "prediction"))
+    area = metrics.area_under_roc(scored, label)
+    scores = metrics.accuracy(scored, label)
     return scores.select(
         F.lit(train_rows).cast("bigint").alias("train_rows"), F.col("n").alias("test_rows"),
         F.lit(area).alias("area_under_roc"), "accuracy",
@@ -141,6 +146,32 @@ def classify_vectors(
     )
 
 
+def write_samples(
+    messages: DataFrame,
+    folder: str,
+    sizes: Sequence[int] = (20_000, 50_000, 100_000),
+    seed: int = 42,
+) -> list[str]:
+    """Clean labelled messages once and write a CSV sample of each size; gives their paths."""
+    cleaned = sampling.with_row_id(clean_messages(messages))
+    paths = []
+    for n in sizes:
+        paths.append(f"{folder.rstrip('/')}/sample_{n}")
+        sample = sampling.sample_n(cleaned, n, ["row_id"], seed).drop("row_id")
+        writers.replace_csv(sample, paths[-1], header=True)
+    return paths
+
+
+def channel_documents(
+    spark: SparkSession, channels: str, chat_stats: str, superchat_stats: str
+) -> tuple[DataFrame, DataFrame]:
+    """Chat and super chat documents per channel from header CSV files, ready for ``write_once``."""
+    facts = readers.read_header_csv(spark, channels, schemas.CHANNELS)
+    chat = readers.read_header_csv(spark, chat_stats, schemas.CHANNEL_CHAT_STATS)
+    superchat = readers.read_header_csv(spark, superchat_stats, schemas.CHANNEL_SUPERCHAT_STATS)
+    return series.chat_series(facts, chat), series.superchat_series(facts, superchat)
+
+
 def combine_numbered(
     spark: SparkSession, chat_stem: str, superchat_stem: str, numbers: Sequence[int], shift: int = 2
 ) -> DataFrame:

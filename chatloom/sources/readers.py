@@ -3,7 +3,7 @@
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.casts import cast_columns
 from ..functions.text import label_of_source
@@ -112,6 +112,12 @@ def read_text_columns(spark: SparkSession, path: str, types: dict[str, str]) ->
     return cast_columns(spark.read.option("header", True).option("escape", '"').csv(path), types)
 
 
+def read_header_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Header CSV whose columns are found by name and cast to ``schema``; others are dropped."""
+    types = {f.name: f.dataType.simpleString() for f in schema if f.dataType != StringType()}
+    return read_text_columns(spark, path, types).select(*schema.names)
+
+
 def read_labelled(
     spark: SparkSession, nonflagged: str, flagged: str, schema: StructType | None = None
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chatloom import schemas
 from chatloom.operators import models, series, stats
 from chatloom.plans import bindings, jobs
 from chatloom.sources import readers, writers
@@ -55,6 +56,40 @@ def test_raw_files_to_scores(spark, tmp_path):
     assert stored.count() == 15 and set(stored.columns) == set(board.columns)
 
 
+def test_csv_statistics_to_documents(spark, tmp_path):
+    (tmp_path / "channels.csv").write_text(
+        "photo,channelId,name,englishName,affiliation,subscriptionCount,videoCount\n"
+        "p,c1,n,e,o,12.5,many\n"
+    )
+    (tmp_path / "chat.csv").write_text(
+        "channelId,period,chats,memberChats,uniqueChatters,uniqueMembers,bannedChatters,deletedChats\n"
+        "c1,2021-02,5,,3,1,0,0\nc1,2021-01,4,2,2,1,0,x\n"
+    )
+    (tmp_path / "superchat.csv").write_text(
+        "channelId,period,superChats,uniqueSuperChatters,totalSC,averageSC,totalMessageLength,"
+        "averageMessageLength,mostFrequentCurrency,mostFrequentColor\n"
+        "c1,2021-01,1,1,500,500,7,7.5,JPY,blue\nc2,2021-01,1,1,500,500,7,7.5,JPY,blue\n"
+    )
+    chat, superchat = jobs.channel_documents(
+        spark, *(str(tmp_path / f"{n}.csv") for n in ("channels", "chat", "superchat"))
+    )
+    row = chat.first()
+    assert row["subscriptionCount"] == 12 and row["videoCount"] is None
+    assert row["period"] == ["2021-01", "2021-02"] and row["chats"] == [4, 5]
+    assert row["memberChats"] == [2, None] and row["deletedChats"] == [None, 0]
+    assert [r["mostFrequentColor"] for r in superchat.collect()] == [["blue"]]
+    assert superchat.first()["averageMessageLength"] == ["7.5"]
+
+
+def test_message_samples(spark, tmp_path):
+    rows = [(f"word\U0001F600" if i % 3 else "two words", str(i % 2)) for i in range(300)]
+    messages = spark.createDataFrame(rows, schemas.MESSAGES)
+    paths = jobs.write_samples(messages, str(tmp_path), sizes=(20, 150))
+    read = [readers.read_csv(spark, p, schemas.MESSAGES, header=True) for p in paths]
+    assert [df.count() for df in read] == [20, 150]
+    assert {r["body"] for r in read[1].collect()} == {"word"}
+
+
 def test_channel_documents_are_written_once(spark, tmp_path):
     channels = bindings.channels(spark, SF_DIR)
     documents = series.chat_series(channels, bindings.channel_chat_stats(spark, SF_DIR))

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import Row
 
 from chatloom.operators import series, stats
 
