@@ -1,12 +1,5 @@
 """Fixed values that results depend on: word lists, character classes, patterns, columns."""
 
-# The token patterns for handles, hashtags and web addresses. The class
-# of the handle pattern really reads "0-a9", which also spans : ; < = > ? @ [ \ ] ^ and
-# the backtick; it only decides whether a token is dropped.
-HANDLE = r"@[A-Za-z0-a9_]+"
-HASHTAG = r"#[A-Za-z0-9_]+"
-WEB_ADDRESS = r"""https?://[^\s<>"]+|www\.[^\s<>"]+"""
-
 # The 32 ASCII punctuation marks.
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
@@ -16,6 +9,13 @@ WHITESPACE = (
     "\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The token patterns for handles, hashtags and web addresses. The class
+# of the handle pattern really reads "0-a9", which also spans : ; < = > ? @ [ \ ] ^ and
+# the backtick; it only decides whether a token is dropped. An address ends at any white space.
+HANDLE = r"@[A-Za-z0-a9_]+"
+HASHTAG = r"#[A-Za-z0-9_]+"
+WEB_ADDRESS = rf"""https?://[^{WHITESPACE}<>"]+|www\.[^{WHITESPACE}<>"]+"""
+
 # The code points with the Unicode property Emoji, without the digits, #, *
 # and the regional indicators, which are emoji only in sequences.
 EMOJI_RANGES = """

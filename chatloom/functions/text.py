@@ -1,8 +1,5 @@
 """Text as native column expressions; no Python worker is started."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, functions as F
 
 from .fixed_values import (
@@ -39,10 +36,12 @@ def without_stop_words(words: Column) -> Column:
 def content_words(text: Column) -> Column:
     """Tokenize, drop web tokens, keep letters, drop stop words."""
     words = tokens(text)
-    lowered = F.lower(text)
-    marks = [lowered.contains(mark) for mark in ("@", "#", "http", "www.")]
     # Plain byte searches spare most texts the pattern match per token.
-    plain = F.when(reduce(or_, marks), without_web_tokens(words)).otherwise(words)
+    suspect = (
+        text.contains("@") | text.contains("#") | text.contains("://")
+        | F.lower(text).contains("www.")
+    )
+    plain = F.when(suspect, without_web_tokens(words)).otherwise(words)
     return F.filter(_letters(plain), lambda w: ~w.isin(["", *STOP_WORDS]))
 
 

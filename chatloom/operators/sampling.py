@@ -32,25 +32,39 @@ def hash_split(
     return df.withColumn(name, F.when(test, "test").otherwise("train"))
 
 
-def period_split(
+def period_marks(
     df: DataFrame,
     held_out: int = 5,
     out_of: int = 16,
     seed: int = 42,
     period: str = "period",
     name: str = "split",
-    months: DataFrame | None = None,
 ) -> DataFrame:
-    """Hold out whole months: ``held_out`` of every ``out_of``, picked by hash.
+    """Mark the months of ``df``: 'test' for ``held_out`` of every ``out_of``, picked by hash.
 
-    The months to pick from are those of ``df``, or of ``months`` where ``df`` is costly to
-    compute twice. They are few whatever the table's size (dates span at most 120,000), so
-    ranking them in one task and broadcasting the marks stays cheap. Other rows are train.
+    The months are few whatever the table's size (dates span at most 120,000), so they are
+    ranked in one task.
     """
     order = Window.orderBy(row_hash([period], seed), period)
-    distinct = (df if months is None else months).select(period).where(F.col(period).isNotNull()).distinct()
     held = F.row_number().over(order) * out_of <= F.count("*").over(Window.partitionBy()) * held_out
-    marks = distinct.select(period, F.when(held, "test").otherwise("train").alias(name))
+    months = df.select(period).where(F.col(period).isNotNull()).distinct()
+    return months.select(period, F.when(held, "test").otherwise("train").alias(name))
+
+
+def period_split(
+    df: DataFrame,
+    marks: DataFrame | None = None,
+    period: str = "period",
+    name: str = "split",
+    **choice,
+) -> DataFrame:
+    """Hold out whole months, as marked by ``marks`` or by ``period_marks`` of ``df`` itself.
+
+    Give ``marks`` where ``df`` is costly to compute twice. They are broadcast, being at most
+    120,000 short rows; rows without a marked month are train.
+    """
+    if marks is None:
+        marks = period_marks(df, period=period, name=name, **choice)
     return df.join(F.broadcast(marks), period, "left").fillna("train", [name])
 
 

@@ -18,9 +18,10 @@ LABEL = "log10_superchats"
 def regression_table(combined: DataFrame, seed: int = 42) -> DataFrame:
     """Combined statistics with log targets, held-out months and assembled features.
 
-    Splitting and every fit read ``combined`` again: pass a stored or pinned table.
+    Marking months and every fit read ``combined`` again: pass a stored or pinned table.
     """
-    return features.assemble(sampling.period_split(stats.log_targets(combined), seed=seed))
+    marks = pinned(sampling.period_marks(combined, seed=seed), "months")
+    return features.assemble(sampling.period_split(stats.log_targets(combined), marks))
 
 
 def regression_data(chat: DataFrame, superchat: DataFrame, seed: int = 42) -> DataFrame:

@@ -248,8 +248,8 @@ def content_words(spark, sf_dir):
 @query
 def period_split(spark, sf_dir):
     chat = bindings.chat(spark, sf_dir)
-    months = chat.select(period(F.col("ts")).alias("period"))
-    marked = sampling.period_split(stats.author_stats(chat), months=months)
+    marks = sampling.period_marks(chat.select(period(F.col("ts")).alias("period")))
+    marked = sampling.period_split(stats.author_stats(chat), marks)
     return marked.groupBy("period", "split").agg(
         F.count("*").alias("n"), F.sum("chats").alias("chats")
     )

@@ -24,7 +24,7 @@ def read_named(
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{prefix}*")
     files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    entries = [entry.getPath() for entry in files.globStatus(pattern)]
+    entries = [entry.getPath() for entry in files.globStatus(pattern) or ()]
     unwanted = tuple(exclude)
     chosen = [p.toString() for p in entries if not any(x in p.getName() for x in unwanted)]
     if not chosen:

@@ -33,6 +33,8 @@ def test_read_chats_by_name(spark, folder):
     assert [r["authorChannelId"] for r in named.collect()] == ["a5"]
     with pytest.raises(FileNotFoundError):
         readers.read_named(spark, folder, "bans_")
+    with pytest.raises(FileNotFoundError):
+        readers.read_named(spark, f"{folder}/nowhere", "chats_")
 
 
 def test_read_labelled(spark, folder):

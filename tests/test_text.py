@@ -1,3 +1,4 @@
+import random
 import re
 import string
 
@@ -129,6 +130,27 @@ def test_clean_messages_keeps_the_label_of_its_row(spark):
     assert loose == {**got, 2: "a b", 3: "a1", 10: "don’t"}
 
 
+def python_words(body):
+    """The token chain written in plain Python."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]", body.lower()) if w]
+    letters = [re.sub("[^a-zA-Z]+", "", w).lower() for w in words if not re.search(WEB_TOKEN, w)]
+    return [w for w in letters if w and w not in STOP_WORDS]
+
+
+def test_random_texts_like_python(spark):
+    draw = random.Random(11)
+    pool = list(string.printable + WHITESPACE + "éñß草ー日本١「」。ａ１@@##:/\u200d") + [
+        "http://", "https://", "www.", "the ", "don't", "a", "b"
+    ]
+    values = ["".join(draw.choices(pool, k=draw.randint(0, 30))) for _ in range(3000)]
+    assert apply(spark, text.strip_whitespace, values) == [v.strip() for v in values]
+    assert apply(spark, text.is_alphabetic, values) == [v.isalpha() for v in values]
+    no_marks = str.maketrans("", "", string.punctuation)
+    assert apply(spark, text.remove_punctuation, values) == [v.translate(no_marks) for v in values]
+    assert apply(spark, text.content_words, values) == [python_words(v) for v in values]
+    assert apply(spark, text.strip_emoji, values) == values
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("chats_nonflagged_1",), ("chats_flagged_1",)], "label string")
     assert [r["label"] for r in with_label(df).collect()] == [0, 1]
