@@ -6,6 +6,7 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions.periods import period
 from ..functions.text import content_words, sentences
 from ..operators import features, metrics, models, sampling, series, stats
 from ..operators.messages import clean_messages
@@ -15,18 +16,25 @@ from ..sources import readers, writers
 LABEL = "log10_superchats"
 
 
-def regression_table(combined: DataFrame, seed: int = 42) -> DataFrame:
+def regression_table(
+    combined: DataFrame, marks: DataFrame | None = None, seed: int = 42
+) -> DataFrame:
     """Combined statistics with log targets, held-out months and assembled features.
 
-    Marking months and every fit read ``combined`` again: pass a stored or pinned table.
+    The split table is pinned, since every fit reads it many times. Months are marked by
+    ``marks`` or from ``combined`` itself, which then should be a stored table.
     """
-    marks = pinned(sampling.period_marks(combined, seed=seed), "months")
-    return features.assemble(sampling.period_split(stats.log_targets(combined), marks))
+    if marks is None:
+        marks = sampling.period_marks(combined, seed=seed)
+    return features.assemble(pinned(sampling.period_split(stats.log_targets(combined), marks)))
 
 
 def regression_data(chat: DataFrame, superchat: DataFrame, seed: int = 42) -> DataFrame:
-    """``regression_table`` from chats; the statistics, small beside the chats, are pinned."""
-    return regression_table(pinned(stats.combined_stats(chat, superchat)), seed)
+    """``regression_table`` from chats; months are held out among those with super chats."""
+    months = superchat.select(period(F.col("ts")).alias("period"))
+    return regression_table(
+        stats.combined_stats(chat, superchat), sampling.period_marks(months, seed=seed)
+    )
 
 
 def regression_scores(data: DataFrame, names: list[str], label: str = LABEL) -> DataFrame:

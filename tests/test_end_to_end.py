@@ -45,6 +45,8 @@ def test_raw_files_to_scores(spark, tmp_path):
     assert combined.count() == wanted.count() > 0
     assert combined.select(*wanted.columns).exceptAll(wanted).isEmpty()
 
+    stored = jobs.regression_table(combined)
+    assert stored.count() == combined.count()
     data = jobs.regression_data(chat, superchat)
     assert {r["split"] for r in data.select("split").distinct().collect()} == {"train", "test"}
     held = data.select("period", "split").distinct()
@@ -52,8 +54,8 @@ def test_raw_files_to_scores(spark, tmp_path):
     board = models.leaderboard(data, ["superchats", jobs.LABEL])
     assert writers.write_once(board, f"{folder}/scores")
     assert not writers.write_once(board, f"{folder}/scores")
-    stored = spark.read.json(f"{folder}/scores")
-    assert stored.count() == 15 and set(stored.columns) == set(board.columns)
+    published = spark.read.json(f"{folder}/scores")
+    assert published.count() == 15 and set(published.columns) == set(board.columns)
 
 
 def test_csv_statistics_to_documents(spark, tmp_path):
