@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.casts import cast_columns
@@ -62,21 +62,36 @@ def read_chats(spark: SparkSession, folder: str, corrupt: Iterable[str] = ()) ->
 
 
 def read_superchats(spark: SparkSession, folder: str, corrupt: Iterable[str] = ()) -> DataFrame:
-    return read_named(spark, folder, "superchats_", corrupt).select(
-        F.col("authorChannelId").alias("author"), F.col("timestamp").alias("ts"),
-        F.col("significance").cast("double").alias("significance"),
-    )
+    return superchat_columns(read_named(spark, folder, "superchats_", corrupt))
 
 
 def chat_columns(raw: DataFrame) -> DataFrame:
-    """author, channel, ts, bodylength, member of raw chats; ``isMember`` may be text."""
+    """author, channel, ts, bodylength, member of raw chats.
+
+    Times, lengths and membership may be text; what cannot be read becomes NULL.
+    """
     return raw.select(
-        F.col("authorChannelId").alias("author"), F.col("channelId").alias("channel"),
-        F.col("timestamp").alias("ts"), F.col("bodylength").cast("bigint").alias("bodylength"),
+        F.col("authorChannelId").alias("author"), F.col("channelId").alias("channel"), _time(raw),
+        F.col("bodylength").try_cast("bigint").alias("bodylength"),
         (F.col("isMember").cast("string") == "true").alias("member"),
     )
 
 
+def superchat_columns(raw: DataFrame) -> DataFrame:
+    """author, ts, significance of raw super chats."""
+    return raw.select(
+        F.col("authorChannelId").alias("author"), _time(raw),
+        F.col("significance").try_cast("double").alias("significance"),
+    )
+
+
+def _time(raw: DataFrame) -> Column:
+    time = F.col("timestamp")
+    if raw.schema["timestamp"].dataType == StringType():
+        time = time.try_cast("timestamp")
+    return time.alias("ts")
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],

@@ -37,6 +37,18 @@ def test_read_chats_by_name(spark, folder):
         readers.read_named(spark, f"{folder}/nowhere", "chats_")
 
 
+def test_raw_text_columns_that_cannot_be_read_become_null(spark):
+    raw = spark.createDataFrame(
+        [("a", "c", "2021-03-01 10:00:00", "5", "true"), ("a", "c", "soon", "long", None)],
+        "authorChannelId string, channelId string, timestamp string, bodylength string, isMember string",
+    )
+    rows = readers.chat_columns(raw).collect()
+    assert rows[0]["ts"].month == 3 and rows[0]["bodylength"] == 5 and rows[0]["member"]
+    assert rows[1]["ts"] is None and rows[1]["bodylength"] is None and rows[1]["member"] is None
+    superchat = raw.withColumn("significance", F.lit("x"))
+    assert readers.superchat_columns(superchat).first()["significance"] is None
+
+
 def test_read_labelled(spark, folder):
     stacked = readers.read_labelled(spark, f"{folder}/chats_2021-0[34]*", f"{folder}/chats_flagged_*")
     assert {(r["authorChannelId"], r["label"]) for r in stacked.collect()} == {
