@@ -201,6 +201,11 @@ ORACLES = {
     "content_words": _words(_no_stops(_letters(_no_web(TOKENS.format("text")))), "doc_id", "documents"),
     "period_split": f"""SELECT period, split, count(*) AS n, cast(sum(chats) AS bigint) AS chats
   FROM ({_author_stats()}) JOIN {MONTHS.format("")} USING (period) GROUP BY 1, 2""",
+    "assembled_features": f"""SELECT author, period, split, round(log10(superchats), 6) AS log10_superchats,
+  cast(chats AS double) AS f_chats, cast("videoDays" AS double) AS "f_videoDays",
+  cast("uniqueChatters" AS double) AS "f_uniqueChatters",
+  cast("totalBodyLength" AS double) AS "f_totalBodyLength"
+  FROM ({COMBINED}) JOIN {MONTHS.format("WHERE l_returnflag = 'R'")} USING (period)""",
     "hash_split": _hash_split("4ccccccc", 1234),
     "hash_split_80_20": _hash_split("33333333", 42),
     "sample_n": """SELECT * FROM documents

@@ -1,6 +1,7 @@
 """Named queries: ``(spark, sf_dir) -> DataFrame`` over the driver's whole tables."""
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
@@ -369,6 +370,15 @@ def _regression_data(spark, sf_dir):
     return jobs.regression_data(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir))
 
 
+@query
+def assembled_features(spark, sf_dir):
+    """The regression table with its feature vector taken apart again."""
+    data = _regression_data(spark, sf_dir)
+    vector = vector_to_array("features")
+    parts = [F.get(vector, F.lit(i)).alias(f"f_{c}") for i, c in enumerate(features.STATS_FEATURES)]
+    return _rounded(data.select("author", "period", "split", jobs.LABEL, *parts), jobs.LABEL)
+
+
 def _register_regressor(name, model, label=jobs.LABEL):
     def run(spark, sf_dir):
         return jobs.regression_scores(_regression_data(spark, sf_dir), [model], label)
