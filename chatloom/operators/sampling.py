@@ -42,12 +42,12 @@ def period_marks(
 ) -> DataFrame:
     """Mark the months of ``df``: 'test' for ``held_out`` of every ``out_of``, picked by hash.
 
-    The months are few whatever the table's size (dates span at most 120,000), so they are
-    ranked in one task.
+    Only values written yyyy-MM are months, so there are few whatever the table's size (dates
+    span at most 120,000), and they are ranked in one task.
     """
     order = Window.orderBy(row_hash([period], seed), period)
     held = F.row_number().over(order) * out_of <= F.count("*").over(Window.partitionBy()) * held_out
-    months = df.select(period).where(F.col(period).isNotNull()).distinct()
+    months = df.select(period).where(F.col(period).rlike(r"\A\d{4}-\d{2}\z")).distinct()
     return months.select(period, F.when(held, "test").otherwise("train").alias(name))
 
 

@@ -30,12 +30,12 @@ def test_hash_split_is_complete_disjoint_and_close(rows, rows_under):
 
 def test_period_split_holds_out_whole_months(spark):
     months = [f"2021-{m:02}" for m in range(1, 13)] + [f"2022-{m:02}" for m in range(1, 5)]
-    df = spark.createDataFrame([(m, i) for m in months for i in range(3)] + [(None, 0)], "period string, i int")
+    df = spark.createDataFrame([(m, i) for m in months for i in range(3)] + [(None, 0), ("soon", 0)], "period string, i int")
     got = sampling.period_split(df).collect()
     sides = {(r["period"], r["split"]) for r in got}
-    assert len(got) == 49 and len(sides) == 17
+    assert len(got) == 50 and len(sides) == 18
     assert sum(side == "test" for _, side in sides) == 5
-    assert (None, "train") in sides
+    assert (None, "train") in sides and ("soon", "train") in sides
     assert got and sampling.period_split(df, seed=7).collect() != got
 
 
