@@ -134,3 +134,12 @@ def test_series_stay_aligned(spark, channels):
     assert row["memberChats"] == [None, 2, 1]
     assert row["deletedChats"] == [0, 5, 0]
     assert row["name"] == "名" and row["subscriptionCount"] == 10
+
+
+def test_a_month_given_twice_is_an_error(spark, channels):
+    columns = "channelId string, period string, " + ", ".join(
+        f"{m} long" for m in series.CHAT_MEASURES
+    )
+    twice = spark.createDataFrame([("c1", "2021-03", 3, 1, 2, None, 0, 0)] * 2, columns)
+    with pytest.raises(Exception, match="channel c1 has 2 rows for 2021-03"):
+        series.chat_series(channels, twice).collect()
