@@ -154,3 +154,12 @@ def test_shuffle_width_follows_the_bytes():
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert shuffle_settings(10)[name] == "200"
     assert shuffle_settings(20 * 2 ** 40)[name] == "163840"
+
+
+def test_spread_leaves_busy_scans_alone(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    small = spark.read.parquet(path)
+    assert readers.spread(small) is not small and readers.spread(small).count() == 1000
+    busy = spark.range(0, 1000, 1, 64)
+    assert readers.spread(busy) is busy
