@@ -1,6 +1,5 @@
 """Session settings and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,16 +37,13 @@ def chat_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor can reach.
 
-    Taken from ``spark.checkpoint.dir``. Where the session names none, a temporary folder
-    serves a local session; on a cluster that is an error, since executors share no disk.
+    Taken from ``spark.checkpoint.dir``. Where the session names none, a folder beside the
+    session's tables serves, since the warehouse is shared like they are.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="chatloom-")
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
