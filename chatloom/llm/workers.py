@@ -28,3 +28,11 @@ def group_map(spark: SparkSession, groups: GroupedData, function, schema: str) -
     """``function`` takes and gives the pandas rows of one group."""
     _reachable(spark)
     return groups.applyInPandas(function, schema)
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``rows`` has no such column."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
