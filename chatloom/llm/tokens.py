@@ -13,11 +13,12 @@ import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids are kept in a worker; beyond that the memory starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 1_500_000
 #: Missing words that are encoded as one text.
 WORDS_A_CALL = 64
 
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+_BLANK = "\u0120"  # how the vocabulary writes a blank
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -39,6 +40,9 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        vocabulary = self._tokenizer.get_vocab()
+        self._blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._blank_first[[i for token, i in vocabulary.items() if token.startswith(_BLANK)]] = True
         self._kept = kept
         self._after_blank: dict[str, bytes | None] = {}  # None: no boundary before or after it
         self._alone: dict[str, bytes] = {}
@@ -52,38 +56,36 @@ class PieceEncoder:
         self._alone.update(zip(new, self._ids(new), strict=True))
 
     def _learn_words(self, words: list[str]) -> None:
-        """Words of letters only: many of them in one call, parted again by word number."""
+        """Words of letters only: many of them in one call, parted again at ids that hold their blanks."""
         for i in range(0, len(words), WORDS_A_CALL):
             some = words[i:i + WORDS_A_CALL]
-            found = self._tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            number, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            if len(number) and number[-1] + 1 == len(some):
-                ends = np.searchsorted(number, np.arange(len(some)), side="right")
-                parts = (x.tobytes() for x in np.split(ids, ends[:-1]))
-            else:  # a letter that the tokenizer's tables do not know as one
-                parts = self._ids([" " + w for w in some])
+            found = self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            starts = [*(4 * np.flatnonzero(self._blank_first[ids])).tolist(), ids.nbytes]
+            ids = ids.tobytes()
+            parts = [ids[a:b] for a, b in zip(starts, starts[1:], strict=False)]
             self._after_blank.update(zip(some, parts, strict=True))
 
     def _learn_after_blank(self, pieces) -> None:
-        known, marked, other, words = self._after_blank, [], [], set()
-        for piece in dict.fromkeys(pieces):
-            if piece in known:
-                continue
-            if not piece or piece[0].isspace() or piece[-1].isspace():
+        """Distinct pieces not met before."""
+        known, marked, other, words = self._after_blank, [], [], []
+        for piece in pieces:
+            if piece.isalpha():
+                words.append(piece)
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
                 known[piece] = None
-                continue
-            word = piece.rstrip(_MARKS)
-            if word.isalpha():
-                if word not in known:
-                    words.add(word)
-                if len(word) < len(piece):
-                    marked.append((piece, word, piece[len(word):]))
             else:
-                other.append(piece)
-        self._learn_words(list(words))
-        self._learn_alone(tail for _, _, tail in marked)
+                word = piece.rstrip(_MARKS)
+                if word.isalpha():
+                    marked.append((piece, word, piece[len(word):]))
+                else:
+                    other.append(piece)
+        words += {word for _, word, _ in marked}.difference(known, words)
+        self._learn_words(words)
+        self._learn_alone({tail for _, _, tail in marked})
+        alone = self._alone
         for piece, word, tail in marked:
-            known[piece] = known[word] + self._alone[tail]
+            known[piece] = known[word] + alone[tail]
         known.update(zip(other, self._ids([" " + p for p in other]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -92,7 +94,7 @@ class PieceEncoder:
             self._alone.clear()
         split = [(text or "").split(" ") for text in texts]
         known = self._after_blank
-        self._learn_after_blank({p for pieces in split for p in pieces[1:]}.difference(known))
+        self._learn_after_blank({p for pieces in split for p in pieces[1:] if p not in known})
         out, rest = [None] * len(texts), []
         firsts = []
         for i, pieces in enumerate(split):
@@ -113,7 +115,7 @@ class PieceEncoder:
         """A text with runs of white space: parted only where a boundary is sure."""
         pieces = _BOUNDARY.split(text)
         blank = [len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in pieces]
-        self._learn_after_blank(p[1:] for p, b in zip(pieces, blank, strict=True) if b)
+        self._learn_after_blank({p[1:] for p, b in zip(pieces, blank, strict=True) if b}.difference(self._after_blank))
         self._learn_alone(p for p, b in zip(pieces, blank, strict=True) if not b)
         return b"".join(
             self._after_blank[p[1:]] if b else self._alone[p] for p, b in zip(pieces, blank, strict=True)
