@@ -8,6 +8,7 @@ that pass both bounds are compared.
 """
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -126,6 +127,7 @@ class Templates:
         self.templates.sort(key=lambda t: t[:2])
         self.known = {b for _, _, found in self.templates for b in found}
         ratio = threshold / (2 - threshold)
+        self.one_word = any(second == "" for _, second in self.known)
         sizes = [n for n, _, _ in self.templates] or [0]
         self.ratio, self.least, self.most = ratio, min(sizes) * ratio - 1e-9, max(sizes) / ratio + 1e-9
 
@@ -153,10 +155,9 @@ class Templates:
         spots = [(m.start(), m.end(), m[0].replace("licence", "license")) for m in _WORD.finditer(lower)] if len(lower) == len(text) else \
             [(m.start(), m.end(), w) for m in _WORD.finditer(text) for w in words(m[0])]
         hits = [i for i in range(len(spots) - 1) if (spots[i][2], spots[i + 1][2]) in self.known]
-        if len(spots) != 1 and not hits:
+        if not hits and not self.one_word:
             return
         starts, at = [s for s, _, _ in spots], 0
-        from bisect import bisect_left
         for a, b in self.units(text):
             first, last = bisect_left(starts, a), bisect_left(starts, b)
             size = max(1, last - first - 1) if last > first else 0
