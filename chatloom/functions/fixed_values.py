@@ -9,12 +9,11 @@ WHITESPACE = (
     "\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The token patterns for handles, hashtags and web addresses. The class
-# of the handle pattern really reads "0-a9", which also spans : ; < = > ? @ [ \ ] ^ and
-# the backtick; it only decides whether a token is dropped. An address ends at any white space.
-HANDLE = r"@[A-Za-z0-a9_]+"
-HASHTAG = r"#[A-Za-z0-9_]+"
-WEB_ADDRESS = rf"""https?://[^{WHITESPACE}<>"]+|www\.[^{WHITESPACE}<>"]+"""
+# The pattern of tokens that hold a handle, a hashtag or a web address. The class
+# of the handle really reads "0-a9", which also spans : ; < = > ? @ [ \ ] ^ and the backtick; it
+# only decides whether a token is dropped. White space is written out, since it has to be Unicode's
+# both in Java and in SQL engines, whose \s is ASCII's.
+WEB_TOKEN = rf"""(@[A-Za-z0-a9_]+)|(#[A-Za-z0-9_]+)|(https?://[^{WHITESPACE}<>"]+|www\.[^{WHITESPACE}<>"]+)"""
 
 # The code points with the Unicode property Emoji, without the digits, #, *
 # and the regional indicators, which are emoji only in sequences.
@@ -49,9 +48,6 @@ couldn't cannot could here's how's let's ought that's there's what's when's wher
 would
 """.split()
 
-WEB_TOKEN = f"({HANDLE})|({HASHTAG})|({WEB_ADDRESS})"
-
-
 def _character_class(ranges):
     spans = (r.split("-") for r in ranges)
     return "[" + "".join("-".join(f"\\x{{{c}}}" for c in span) for span in spans) + "]"

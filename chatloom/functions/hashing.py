@@ -2,10 +2,8 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
-
-BUCKET_DIGITS = 4  # hex digits of a row hash that name its bucket
-BUCKETS = 16 ** BUCKET_DIGITS
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType
 
 
 def row_hash(key: Sequence[str], seed: int) -> Column:
@@ -14,6 +12,20 @@ def row_hash(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def content_hash(df: DataFrame) -> Column:
+    """32 hex digits from all columns, each hashed by itself; NULL differs from every value."""
+    return F.md5(F.concat(*(_value_hash(field) for field in df.schema)))
+
+
+def _value_hash(field) -> Column:
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType)):
+        value = F.to_json(F.struct(value))
+    elif not isinstance(field.dataType, BinaryType):
+        value = value.cast("string")
+    return F.coalesce(F.md5(value), F.lit("-"))
+
+
 def leading_number(hashed: Column, digits: int) -> Column:
     number = F.conv(F.substring(hashed, 1, digits), 16, 10).cast("bigint")
     return F.coalesce(number, F.lit(0))  # never NULL, so joins on it add no second hashing

@@ -10,9 +10,14 @@ from .fixed_values import (
 def tokens(text: Column) -> Column:
     """Lower-cased text cut at each white-space character; a missing text has no words.
 
-    Neighbouring separators leave empty tokens, as in ``pyspark.ml.feature.Tokenizer``.
+    As in ``pyspark.ml.feature.Tokenizer``, neighbouring separators leave empty tokens and
+    separators at the end leave none; a text without any other character gives one empty token
+    if it is empty, else none.
     """
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s")
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    body = F.regexp_replace(lowered, r"\s+\z", "")
+    blank = (body == "") & (lowered != "")
+    return F.when(blank, F.array().cast("array<string>")).otherwise(F.split(body, r"\s"))
 
 
 def without_web_tokens(words: Column) -> Column:

@@ -3,21 +3,22 @@
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, IDF, VectorAssembler, Word2Vec
+from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The feature columns and the number of term buckets.
 STATS_FEATURES = ["chats", "videoDays", "uniqueChatters", "totalBodyLength"]
 TERM_BUCKETS = 100_000
-WORD_BUCKETS = 65_536
+HASH_BITS = 128  # of md5, so a token's vector has at most so many dimensions
 
 
 def assemble(stats: DataFrame, columns: list[str] = STATS_FEATURES) -> DataFrame:
-    """Numeric columns as one vector ``features``; rows with a NULL among them are left out."""
+    """Numeric columns as one vector ``features``; a NULL among them is an error, as no row may vanish."""
     return VectorAssembler(
-        inputCols=columns, outputCol="features", handleInvalid="skip"
+        inputCols=columns, outputCol="features", handleInvalid="error"
     ).transform(stats)
 
 
@@ -57,28 +58,51 @@ def term_idf(df: DataFrame, words: Column, min_documents: int = 2) -> DataFrame:
     )
 
 
-def word_buckets(words: Column, buckets: int = WORD_BUCKETS) -> Column:
-    """Words as hash buckets written as text: a vocabulary that cannot outgrow ``buckets``."""
-    return F.transform(
-        words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("string")
-    )
-
+def _token_bits(token: Column, size: int) -> list[Column]:
+    """The first ``size`` bits of the token's md5, highest first."""
+    words = [
+        F.conv(F.substring(F.md5(token), 1 + 8 * i, 8), 16, 10).cast("bigint")
+        for i in range(-(-size // 32))
+    ]
+    return [F.shiftright(words[i // 32], 31 - i % 32).bitwiseAND(F.lit(1)) for i in range(size)]
 
-def with_buckets(df: DataFrame, words: str = "words") -> DataFrame:
-    return df.withColumn("buckets", word_buckets(F.col(words)))
 
+def hashed_vectors(
+    df: DataFrame, key: str | Sequence[str], words: str = "words", size: int = 64, name: str = "vector"
+) -> DataFrame:
+    """Mean token vector per key, as an array; keys without tokens get zeros.
 
-def document_vectors(
-    size: int = 64, min_count: int = 5, partitions: int = 8, iterations: int = 1, seed: int = 42
-) -> Word2Vec:
-    """Document vectors: the mean of trained word vectors, over ``word_buckets`` in ``buckets``.
+    A token's vector is fixed: +1 or -1 by each of the first ``size`` bits of its md5. There is no
+    vocabulary, no token is too rare, and nothing is trained. Bits are summed before the
+    shuffle, one row of sums per key and task.
+    """
+    if not 0 < size <= HASH_BITS:
+        raise ValueError(f"size must lie in [1, {HASH_BITS}], got {size}")
+    keys = [key] if isinstance(key, str) else list(key)
+    tokens = df.select(*keys, F.explode_outer(words).alias("_token"))
+    bits = [F.sum(bit).alias(f"_bit{i}") for i, bit in enumerate(_token_bits(F.col("_token"), size))]
+    sums = tokens.groupBy(*keys).agg(F.count("_token").alias("_tokens"), *bits)
+    mean = [
+        F.when(F.col("_tokens") > 0, 2 * F.col(f"_bit{i}") / F.col("_tokens") - 1).otherwise(0.0)
+        for i in range(size)
+    ]
+    return sums.select(*keys, F.array(*mean).alias(name))
+
+
+def term_tfidf(
+    df: DataFrame, key: str | Sequence[str], words: Column, min_documents: int = 2
+) -> DataFrame:
+    """``tf`` and ``tfidf`` of each token of each row, without hashing.
 
-    Word2Vec keeps its vocabulary on the driver; hashed words bound it to 65,536 vectors.
-    ``partitions`` parts are trained side by side.
+    ``key`` must identify rows. The result is as long as the rows' distinct tokens, and the
+    join with the tokens' weights is on the token.
     """
-    return Word2Vec(
-        inputCol="buckets", outputCol="features", vectorSize=size, minCount=min_count,
-        numPartitions=partitions, maxIter=iterations, seed=seed,
+    keys = [key] if isinstance(key, str) else list(key)
+    tokens = df.select(*keys, F.explode(words).alias("token")).where(F.col("token") != "")
+    counts = tokens.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    weights = term_idf(df, words, min_documents).select("token", "idf")
+    return counts.join(weights, "token").select(
+        *keys, "token", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
     )
 
 

@@ -1,7 +1,8 @@
 """Evaluation: one aggregate per report, no driver loops."""
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import pinned
 
 SPLITS = {"Train": "train", "Test": "test"}
 
@@ -96,12 +97,32 @@ def classification_report(
 
 
 def area_under_roc(
-    predictions: DataFrame, label: str = "label", score: str = "rawPrediction"
-) -> float:
-    """Exact area under the ROC curve: no score is binned away."""
-    return BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol=score, metricName="areaUnderROC", numBins=0
-    ).evaluate(predictions)
+    predictions: DataFrame, label: str = "label", score: str = "score"
+) -> DataFrame:
+    """``n`` and the exact ``area_under_roc``: the share of (positive, negative) pairs in order.
+
+    Rows are counted by score first; equal scores count half. Running counts are taken inside
+    ranges of scores and over the ranges' sums, so no task holds all scores. Without rows of both
+    classes the area is NULL.
+    """
+    positive = F.col(label) == 1
+    by_score = predictions.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(positive).alias("hits"), F.count_if(~positive).alias("misses")
+    )
+    ranged = by_score.repartitionByRange("score").withColumn("_part", F.spark_partition_id())
+    ranged = pinned(ranged, "scores")  # part numbers stay as they are
+    running = F.sum("misses").over(Window.orderBy("_part")) - F.col("misses")
+    parts = ranged.groupBy("_part").agg(F.sum("misses").alias("misses")).select("_part", running.alias("_before"))
+    inside = F.sum("misses").over(Window.partitionBy("_part").orderBy("score")) - F.col("misses")
+    below = F.col("_before") + F.col("_inside")
+    pairs = ranged.withColumn("_inside", inside).join(parts, "_part").select(
+        "hits", "misses", (F.col("hits") * (below + F.col("misses") / 2)).alias("ordered")
+    )
+    total = F.sum("hits") * F.sum("misses")
+    return pairs.agg(
+        F.coalesce(F.sum(F.col("hits") + F.col("misses")), F.lit(0)).alias("n"),
+        (F.sum("ordered") / F.nullif(total, F.lit(0))).alias("area_under_roc"),
+    )
 
 
 def _ratio(part: Column, whole: Column) -> Column:

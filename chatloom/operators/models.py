@@ -1,6 +1,6 @@
 """Supervised models: estimators, fitting, scores of many models in one pass."""
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, regression
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
@@ -12,6 +12,7 @@ from . import features
 from .metrics import SPLITS, error_metrics
 from .stats import with_mean
 
+# The families compared and the settings of the models below.
 GLM_FAMILIES = ["gaussian", "poisson", "gamma", "tweedie"]
 
 
@@ -93,14 +94,31 @@ def score_regressors(
     return data.agg(*errors).select(F.inline(F.array(*rows)))
 
 
-def leaderboard(data: DataFrame, labels: list[str], seed: int = 42) -> DataFrame:
+def model_path(folder: str, label: str, name: str) -> str:
+    """Where the model of a name and label is kept."""
+    return f"{folder.rstrip('/')}/{label}/{name.replace(' ', '_')}"
+
+
+def load_regressor(folder: str, label: str, name: str) -> Model:
+    """A saved regressor, ready to score further months."""
+    kind = type(regressors(label)[name]).__name__.replace("Regressor", "Regression")
+    return getattr(regression, f"{kind}Model").load(model_path(folder, label, name))
+
+
+def leaderboard(
+    data: DataFrame, labels: list[str], seed: int = 42, folder: str | None = None
+) -> DataFrame:
     """Scores of all regressors and the baseline for each label, on assembled, split ``data``.
 
-    Fits read ``data`` many times: pass a ``pinned`` or stored table.
+    Fits read ``data`` many times: pass a ``pinned`` or stored table. With ``folder`` every
+    fitted model is saved at its ``model_path``.
     """
     boards = []
     for label in labels:
         models = {name: fit_regressor(e, data) for name, e in regressors(label, seed).items()}
+        if folder:
+            for name, model in models.items():
+                model.write().save(model_path(folder, label, name))
         boards.append(score_regressors(models, data, label, baseline=True))
     board = boards[0]
     for other in boards[1:]:
@@ -123,13 +141,13 @@ def coefficients(model: Model, columns: list[str]) -> DataFrame:
 def text_classifier(words: str = "words", label: str = "label") -> Pipeline:
     """Logistic regression over TF-IDF of a token column."""
     stages = features.tfidf(words).getStages()
-    return Pipeline(stages=[*stages, LogisticRegression(labelCol=label, maxIter=20)])
+    return Pipeline(stages=[*stages, LogisticRegression(labelCol=label, maxIter=20, aggregationDepth=3)])
 
 
 def toxicity_classifier(words: str = "words", label: str = "toxic") -> Pipeline:
     """Ridge-regularised logistic regression over TF-IDF."""
     stages = features.tfidf(words).getStages()
-    return Pipeline(stages=[*stages, LogisticRegression(labelCol=label, regParam=0.1)])
+    return Pipeline(stages=[*stages, LogisticRegression(labelCol=label, regParam=0.1, aggregationDepth=3)])
 
 
 def vector_classifier(

@@ -1,27 +1,21 @@
 """Repeatable splits and exact-size samples.
 
-Order comes from a hash of a row key and a seed, never from partitions or ``rand()``, so a
-sample is the same under any partitioning. ``key`` names columns that identify a row; its
-hashes spread the rows over 65,536 buckets. A parquet scan without such a key gets one from
-``sources.readers.with_file_rows``. Without any, and where a key turns out to repeat for a large
-part of the rows, they are numbered by ``with_row_id``: copies of a row then spread as well.
+The order of a sample comes from hashes of the rows' own content, never from partitions, arrival
+or ``rand()``: equal rows are counted first, and the i-th copy of a row has the hash of (row, i).
+So hashes are unique and even, whatever repeats in the table; a sample is the same under any
+partitioning, and a smaller sample of a table is part of a larger one.
 """
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.hashing import (
-    BUCKET_DIGITS, BUCKETS, below_fraction, leading_number, row_hash,
-)
+from ..functions.hashing import below_fraction, content_hash, leading_number, row_hash
 from ..session import pinned
 
-CROWD = 1_000_000  # rows of one bucket that a single task may well rank
-
-
-def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Give each row a unique id, written to the shared folder so that it never changes."""
-    return pinned(df.withColumn(name, F.monotonically_increasing_id()))
+DIGITS = 4  # hex digits looked at in one pass of a selection
+ROWS_A_BUCKET = 1_000_000
 
 
 def hash_split(
@@ -32,6 +26,43 @@ def hash_split(
     return df.withColumn(name, F.when(test, "test").otherwise("train"))
 
 
+def _copies(df: DataFrame) -> DataFrame:
+    """Each distinct row of ``df`` as its hash ``_row``, and how many copies there are."""
+    return pinned(
+        df.select(content_hash(df).alias("_row")).groupBy("_row").agg(F.count("*").alias("_copies")),
+        "copies",
+    )
+
+
+def _ordered(copies: DataFrame, seed: int) -> DataFrame:
+    """Every copy of every row with its place in the order, the hash ``_order``."""
+    each = copies.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("_copy"))
+    return each.withColumn("_order", F.md5(F.concat_ws("|", "_row", "_copy", F.lit(str(seed)))))
+
+
+def cut(ordered: DataFrame, n: int, order: str = "_order") -> str | None:
+    """The n-th smallest hash; None where there are fewer than n rows.
+
+    Found digit by digit: each pass counts the rows by their next four hex digits, at most
+    65,536 counts, and goes on inside the one group that holds the n-th row. The number of
+    passes follows the number of rows.
+    """
+    before, left = "", n
+    while True:
+        group = F.substring(order, 1, len(before) + DIGITS).alias("digits")
+        sizes = ordered.where(F.col(order).startswith(before)).groupBy(group).agg(
+            F.count("*").alias("rows"), F.min(order).alias("low"), F.max(order).alias("high")
+        )
+        upto = sizes.withColumn("upto", F.sum("rows").over(Window.orderBy("digits")))
+        found = upto.where(F.col("upto") >= left).orderBy("digits").limit(1).collect()
+        if not found:
+            return None
+        group = found[0]
+        if group["low"] == group["high"] or group["upto"] == left:
+            return group["high"]
+        before, left = group["digits"], left - (group["upto"] - group["rows"])
+
+
 def period_marks(
     df: DataFrame,
     held_out: int = 5,
@@ -40,15 +71,16 @@ def period_marks(
     period: str = "period",
     name: str = "split",
 ) -> DataFrame:
-    """Mark the months of ``df``: 'test' for ``held_out`` of every ``out_of``, picked by hash.
+    """Mark the periods of ``df``: 'test' for ``held_out`` of every ``out_of``, picked by hash.
 
-    Only values written yyyy-MM are months, so there are few whatever the table's size (dates
-    span at most 120,000), and they are ranked in one task.
+    Any distinct value is a period, however it is written; a missing one is not marked.
     """
-    order = Window.orderBy(row_hash([period], seed), period)
-    held = F.row_number().over(order) * out_of <= F.count("*").over(Window.partitionBy()) * held_out
-    months = df.select(period).where(F.col(period).rlike(r"\A\d{4}-\d{2}\z")).distinct()
-    return months.select(period, F.when(held, "test").otherwise("train").alias(name))
+    periods = df.select(period).where(F.col(period).isNotNull()).distinct()
+    marks = pinned(periods.withColumn("_order", row_hash([period], seed)), "periods")
+    held = marks.count() * held_out // out_of
+    last = cut(marks, held) if held else None
+    test = F.col("_order") <= last if last else F.lit(False)
+    return marks.select(period, F.when(test, "test").otherwise("train").alias(name))
 
 
 def period_split(
@@ -58,117 +90,84 @@ def period_split(
     name: str = "split",
     **choice,
 ) -> DataFrame:
-    """Hold out whole months, as marked by ``marks`` or by ``period_marks`` of ``df`` itself.
+    """Hold out whole periods, as marked by ``marks`` or by ``period_marks`` of ``df`` itself.
 
-    Give ``marks`` where ``df`` is costly to compute twice. They are broadcast, being at most
-    120,000 short rows; rows without a marked month are train.
+    Give ``marks`` where ``df`` is costly to compute twice. Rows without a mark are train.
     """
     if marks is None:
         marks = period_marks(df, period=period, name=name, **choice)
-    return df.join(F.broadcast(marks), period, "left").fillna("train", [name])
+    return df.join(marks, period, "left").fillna("train", [name])
 
 
-def row_index(
-    df: DataFrame,
-    key: Sequence[str] | None,
-    seed: int,
-    below: int | None = None,
-    name: str = "row_index",
-    crowd: int = CROWD,
-) -> DataFrame:
-    """Number rows 0, 1, 2, ... in hash order without sorting them in one place.
+def _repeated(df: DataFrame, chosen: DataFrame, times: str) -> DataFrame:
+    """Each row of ``df`` whose hash is in ``chosen``, as often as ``times`` says."""
+    rows = df.withColumn("_row", content_hash(df)).join(chosen, "_row").dropDuplicates(["_row"])
+    return rows.withColumn("_time", F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*_names(df))
 
-    A histogram of the hash buckets gives each bucket's first number; rows are then ranked
-    inside their bucket. With ``below``, buckets that start at or beyond it are dropped by the
-    join with the histogram, before any row is shuffled. Should a bucket hold far more rows
-    than its share, and more than ``crowd``, then ``key`` does not identify rows: they are
-    numbered by a row id instead.
-    """
-    if key is None:
-        return row_index(with_row_id(df, "_id"), ["_id"], seed, below, name).drop("_id")
-    hashed = df.withColumn("_hash", row_hash(key, seed))
-    hashed = hashed.withColumn("_bucket", leading_number(F.col("_hash"), BUCKET_DIGITS))
-    starts = _bucket_starts(hashed, below)
-    share = F.col("_total") / BUCKETS
-    if not starts.where(F.col("_size") > F.greatest(F.lit(crowd), 4 * share)).isEmpty():
-        return row_index(df, None, seed, below, name)
-    # The histogram has at most 65,536 rows of two numbers, about 1 MB.
-    placed = hashed.join(F.broadcast(starts.select("_bucket", "_start")), "_bucket")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *key))
-    numbered = placed.withColumn(name, F.col("_start") + rank - 1)
-    if below is not None:
-        numbered = numbered.where(F.col(name) < below)
-    return numbered.drop("_hash", "_bucket", "_start")
-
-
-def _bucket_starts(hashed: DataFrame, below: int | None) -> DataFrame:
-    """Size of each bucket and number of rows in the buckets before it, for at most 65,536 rows."""
-    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pinned(sizes.select(
-        "_bucket", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.sum("_size").over(Window.partitionBy()).alias("_total"),
-    ), "buckets")
-    return starts if below is None else starts.where(F.col("_start") < below)
-
-
-def sample_n(
-    df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42
-) -> DataFrame:
-    """Exactly n rows without replacement; all rows where the input has no more than n."""
-    return row_index(df, key, seed, below=n).drop("row_index")
 
+def _names(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{name}`") for name in df.columns]
 
-def resample_n(
-    df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42
-) -> DataFrame:
-    """Exactly n rows with replacement: n draws of a row number, joined with the rows.
 
-    An empty input gives no rows.
+def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Exactly n rows without replacement; all rows where the input has no more than n."""
+    if n <= 0:
+        return df.limit(0)
+    ordered = _ordered(_copies(df), seed)
+    last = cut(ordered, n)
+    if last is None:
+        return df
+    kept = ordered.where(F.col("_order") <= last).groupBy("_row").agg(F.count("*").alias("_times"))
+    return _repeated(df, kept, "_times")
+
+
+def resample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Exactly n rows with replacement: n draws of a place in the order, joined with the rows.
+
+    Places are found by bucket, a bucket being the rows whose hashes begin alike: draws are dealt
+    to buckets by the buckets' sizes, and only the buckets that were drawn are ranked, on hashes
+    alone. An empty input gives no rows.
     """
-    numbered = row_index(df, key, seed)
-    size = df.agg(F.count("*").alias("size")).scalar()
-    draws = df.sparkSession.range(n).withColumn("_size", size).where(F.col("_size") > 0)
+    copies = _copies(df)
+    total = copies.agg(F.sum("_copies").alias("n")).head()["n"] or 0
+    if not total or n <= 0:
+        return df.limit(0)
+    digits = max(1, math.ceil(math.log(total / ROWS_A_BUCKET, 16))) if total > ROWS_A_BUCKET else 1
+    ordered = _ordered(copies, seed).withColumn("_bucket", F.substring("_order", 1, digits))
+    sizes = ordered.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    start = F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")
+    # A stretch of places is one bucket's mean size long, so it meets about two buckets.
+    stretch = F.lit(max(1, total // 16 ** digits)).cast("bigint")
+    whole = lambda place: F.floor(place / stretch).cast("bigint")
+    buckets = pinned(sizes.withColumn("_start", start), "buckets")
+    last = F.col("_start") + F.col("_size") - 1
+    stretches = buckets.withColumn("_stretch", F.explode(F.sequence(whole(F.col("_start")), whole(last))))
     point = leading_number(F.md5(F.concat_ws("|", F.col("id"), F.lit("draw"), F.lit(seed))), 15)
-    draws = draws.select((point % F.col("_size")).alias("row_index"))
-    return draws.join(numbered, "row_index").select(*df.columns)
+    draws = df.sparkSession.range(n).select((point % total).alias("_place"))
+    inside = (F.col("_place") >= F.col("_start")) & (F.col("_place") <= last)
+    drawn = (
+        draws.withColumn("_stretch", whole(F.col("_place"))).join(stretches, "_stretch").where(inside)
+        .groupBy("_bucket", (F.col("_place") - F.col("_start")).alias("_rank")).agg(F.count("*").alias("_times"))
+    )
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order")).cast("bigint") - 1
+    ranked = ordered.join(drawn.select("_bucket").distinct(), "_bucket", "left_semi").withColumn("_rank", rank)
+    chosen = ranked.join(drawn, ["_bucket", "_rank"]).groupBy("_row").agg(F.sum("_times").alias("_times"))
+    return _repeated(df, chosen, "_times")
 
 
-def downsample(
-    df: DataFrame,
-    majority,
-    n: int,
-    key: Sequence[str] | None = None,
-    label: str = "label",
-    seed: int = 42,
-) -> DataFrame:
+def downsample(df: DataFrame, majority, n: int, label: str = "label", seed: int = 42) -> DataFrame:
     """n rows of the majority class, without replacement."""
-    return sample_n(df.where(F.col(label) == majority), n, key, seed)
+    return sample_n(df.where(F.col(label) == majority), n, seed)
 
 
-def upsample(
-    df: DataFrame,
-    minority,
-    n: int,
-    key: Sequence[str] | None = None,
-    label: str = "label",
-    seed: int = 42,
-) -> DataFrame:
+def upsample(df: DataFrame, minority, n: int, label: str = "label", seed: int = 42) -> DataFrame:
     """n rows of the minority class, with replacement."""
-    return resample_n(df.where(F.col(label) == minority), n, key, seed)
+    return resample_n(df.where(F.col(label) == minority), n, seed)
 
 
 def balance_classes(
-    df: DataFrame,
-    n: int,
-    key: Sequence[str] | None = None,
-    majority=0,
-    minority=1,
-    label: str = "label",
-    seed: int = 42,
+    df: DataFrame, n: int, majority=0, minority=1, label: str = "label", seed: int = 42
 ) -> DataFrame:
     """n rows of each class. Split first and balance the training part only: copies made
     before a split would put the same message on both sides."""
-    return downsample(df, majority, n, key, label, seed).unionByName(
-        upsample(df, minority, n, key, label, seed)
-    )
+    return downsample(df, majority, n, label, seed).unionByName(upsample(df, minority, n, label, seed))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+# The columns of a channel and its measures.
 CHANNEL_FACTS = ["name", "englishName", "affiliation", "subscriptionCount", "videoCount"]
 CHAT_MEASURES = [
     "chats", "memberChats", "uniqueChatters", "uniqueMembers", "bannedChatters", "deletedChats",
@@ -19,19 +20,11 @@ def channel_series(channels: DataFrame, stats: DataFrame, measures: list[str]) -
     entry of each list belongs to the n-th period. Channel facts are joined after nesting,
     once per channel instead of once per month.
 
-    A second row for a channel and month is an error. It is found by an aggregate that is
-    combined before its shuffle, so no more rows than there are months ever meet in one list.
+    Every row of the statistics becomes an entry: rows of one month follow one another, ordered
+    by their measures.
     """
-    monthly = stats.groupBy("channelId", "period").agg(
-        F.count("*").alias("rows"), F.max(F.struct(*measures)).alias("month")
-    )
-    repeated = F.raise_error(F.format_string(
-        "channel %s has %d rows for %s", F.col("channelId").cast("string"), "rows", "period"
-    ))
-    month = F.when(F.col("rows") == 1, F.col("month")).otherwise(repeated)
-    months = monthly.select("channelId", "period", month.alias("month"))
-    entry = F.struct("period", *(F.col(f"month.{c}").alias(c) for c in measures))
-    nested = months.groupBy("channelId").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    entry = F.struct("period", *measures)
+    nested = stats.groupBy("channelId").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     lists = [F.col(f"rows.{c}").alias(c) for c in ["period", *measures]]
     return (
         channels.select("channelId", *CHANNEL_FACTS)

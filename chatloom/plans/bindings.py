@@ -2,8 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.readers import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -12,7 +10,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chat(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("author"), F.col("l_partkey").alias("channel"),
-        F.col("l_shipdate").alias("ts"), F.col("l_quantity").cast("int").alias("bodylength"),
+        F.col("l_shipdate").alias("ts"),
+        F.when(F.col("l_quantity") % 10 != 0, F.col("l_quantity").cast("int")).alias("bodylength"),
         (F.col("l_linestatus") == "F").alias("member"),
     )
 
@@ -24,6 +23,16 @@ def superchat(spark, sf_dir) -> DataFrame:
     )
 
 
+def ordered_superchat(spark, sf_dir) -> DataFrame:
+    """Super chats at the time of the order: an author may have no chats in that month."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    joined = lines.where(F.col("l_returnflag") == "R").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(
+        F.col("l_suppkey").alias("author"), F.col("o_orderdate").alias("ts"),
+        (F.col("l_discount") * 100).alias("significance"),
+    )
+
+
 def channels(spark, sf_dir) -> DataFrame:
     suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
@@ -84,17 +93,12 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def texts(spark, sf_dir) -> DataFrame:
-    """The documents, for queries that work hard on each text."""
-    return spread(documents(spark, sf_dir))
-
-
 def pages(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def labelled_documents(spark, sf_dir) -> DataFrame:
-    return texts(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 def reviews(spark, sf_dir) -> DataFrame:
@@ -113,7 +117,8 @@ def flagged_messages(spark, sf_dir) -> DataFrame:
 
 
 def word_messages(spark, sf_dir) -> DataFrame:
-    """Each white-space token of the labelled documents as one message with an emoji."""
+    """Each white-space token of the labelled documents as one message, some with an emoji."""
     words = F.explode(F.split("text", r"\s+"))
     rows = labelled_documents(spark, sf_dir).select(words.alias("word"), F.col("toxic").alias("label"))
-    return rows.select(F.concat(F.lit(" "), "word", F.lit("\U0001F600 ")).alias("body"), "label")
+    mark = F.when(F.length("word") % 8 == 0, "\U0001F600 ").otherwise(" ")
+    return rows.select(F.concat(F.lit(" "), "word", mark).alias("body"), "label")

@@ -2,11 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2VecModel
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.periods import period
 from ..functions.text import content_words, sentences
 from ..operators import features, metrics, models, sampling, series, stats
 from ..operators.messages import clean_messages
@@ -21,27 +21,38 @@ def regression_table(
 ) -> DataFrame:
     """Combined statistics with log targets, held-out months and assembled features.
 
-    The split table is pinned, since every fit reads it many times. Months are marked by
-    ``marks`` or from ``combined`` itself, which then should be a stored table.
+    The combined table is pinned, since its months are marked (unless ``marks`` are given) and
+    every fit reads it many times; the few marks are joined on each read. Messages of which no
+    length is known count no letters; any other NULL among the features is an error.
     """
+    combined = pinned(stats.log_targets(combined).fillna(0, ["totalBodyLength"]), "combined")
     if marks is None:
         marks = sampling.period_marks(combined, seed=seed)
-    return features.assemble(pinned(sampling.period_split(stats.log_targets(combined), marks)))
+    return features.assemble(sampling.period_split(combined, marks))
 
 
 def regression_data(chat: DataFrame, superchat: DataFrame, seed: int = 42) -> DataFrame:
-    """``regression_table`` from chats; months are held out among those with super chats."""
-    months = superchat.select(period(F.col("ts")).alias("period"))
-    return regression_table(
-        stats.combined_stats(chat, superchat), sampling.period_marks(months, seed=seed)
-    )
+    """``regression_table`` from chats; months are held out among those of the combined table."""
+    return regression_table(stats.combined_stats(chat, superchat), seed=seed)
 
 
-def regression_scores(data: DataFrame, names: list[str], label: str = LABEL) -> DataFrame:
-    """Fit the named regressors on the training months and score them on both parts."""
+def regression_models(
+    data: DataFrame, names: Sequence[str], label: str = LABEL, folder: str | None = None
+) -> dict[str, Model]:
+    """The named regressors, fitted on the training months; saved under ``folder``/label/name."""
     estimators = models.regressors(label)
     fitted = {name: models.fit_regressor(estimators[name], data) for name in names}
-    return models.score_regressors(fitted, data, label)
+    if folder:
+        for name, model in fitted.items():
+            model.write().save(models.model_path(folder, label, name))
+    return fitted
+
+
+def regression_scores(
+    data: DataFrame, names: Sequence[str], label: str = LABEL, folder: str | None = None
+) -> DataFrame:
+    """Fit the named regressors on the training months and score them on both parts."""
+    return models.score_regressors(regression_models(data, names, label, folder), data, label)
 
 
 def binary_labels(reviews: DataFrame) -> DataFrame:
@@ -53,76 +64,72 @@ def with_words(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("words", content_words(F.col(column)))
 
 
-def _classifier_scores(predictions: DataFrame, label: str, train_rows: int) -> DataFrame:
-    scored = pinned(predictions.select(label, "rawPrediction", "prediction"))
-    area = metrics.area_under_roc(scored, label)
-    scores = metrics.accuracy(scored, label)
-    return scores.select(
-        F.lit(train_rows).cast("bigint").alias("train_rows"), F.col("n").alias("test_rows"),
-        F.lit(area).alias("area_under_roc"), "accuracy",
+def _classifier_scores(predictions: DataFrame, label: str, train: DataFrame) -> DataFrame:
+    scored = pinned(predictions.select(label, vector_to_array("rawPrediction")[1].alias("score"), "prediction"))
+    area, scores = metrics.area_under_roc(scored, label, "score"), metrics.accuracy(scored, label)
+    rows = train.agg(F.count("*").alias("train_rows")).withColumn("_one", F.lit(1))
+    return (
+        rows.join(area.select("area_under_roc", F.lit(1).alias("_one")), "_one")
+        .join(scores.select(F.col("n").alias("test_rows"), "accuracy", F.lit(1).alias("_one")), "_one")
+        .select("train_rows", "test_rows", "area_under_roc", "accuracy")
     )
 
 
-def _split_words(
-    df: DataFrame, label: str, key: Sequence[str], test: float, seed: int, *more: str
+def _term_counts(
+    df: DataFrame, label: str, key: Sequence[str], test: float, seed: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows with key, label and words (and ``more`` columns), tokenized once."""
-    words = with_words(df).select(*key, label, "words", *more)
-    data = pinned(sampling.hash_split(words, key, test, seed))
+    """Train and test rows with their label and sparse term counts, counted once and stored."""
+    counted = features.term_frequency().transform(with_words(df)).select(*key, label, "termCounts")
+    data = pinned(sampling.hash_split(counted, key, test, seed), "term-counts")
     return data.where("split = 'train'"), data.where("split = 'test'")
 
 
+def _classify(pipeline, rows: DataFrame, label: str, key: Sequence[str], seed: int) -> DataFrame:
+    train, test = _term_counts(rows, label, key, 0.3, seed)
+    stages = pipeline.getStages()[1:]  # the terms are counted already
+    fitted = []
+    for stage in stages:
+        fitted.append(stage.fit(train))
+        train = fitted[-1].transform(train) if stage is not stages[-1] else train
+    return _classifier_scores(PipelineModel(fitted).transform(test), label, train)
+
+
 def classify_text(
     reviews: DataFrame, key: Sequence[str] = ("doc_id",), seed: int = 1234
 ) -> DataFrame:
     """Polarity from text: a 70/30 split, TF-IDF, logistic regression, AUC and accuracy."""
-    train, test = _split_words(binary_labels(reviews), "label", key, 0.3, seed)
-    model = models.text_classifier().fit(train)
-    return _classifier_scores(model.transform(test), "label", train.count())
+    return _classify(models.text_classifier(), binary_labels(reviews), "label", key, seed)
 
 
 def classify_toxicity(
     documents: DataFrame, key: Sequence[str] = ("doc_id",), seed: int = 1234
 ) -> DataFrame:
     """The label ``toxic`` from text, by ridge-regularised logistic regression over TF-IDF."""
-    train, test = _split_words(documents, "toxic", key, 0.3, seed)
-    model = models.toxicity_classifier().fit(train)
-    return _classifier_scores(model.transform(test), "toxic", train.count())
+    return _classify(models.toxicity_classifier(), documents, "toxic", key, seed)
 
 
-def train_word_vectors(words: DataFrame, size: int = 64, iterations: int = 1) -> Word2VecModel:
-    """Word vectors from the token lists in ``words``.
+def document_vectors(
+    documents: DataFrame, key: Sequence[str], size: int = 64, column: str = "text"
+) -> DataFrame:
+    """``key`` and ``vector``, the mean vector of the words of each text.
 
-    As many parts are trained side by side as the cluster has cores; each holds one copy of
-    the bounded vocabulary.
+    ``key`` must identify rows.
     """
-    training = pinned(features.with_buckets(words).select("buckets"))
-    partitions = words.sparkSession.sparkContext.defaultParallelism
-    return features.document_vectors(size, partitions=partitions, iterations=iterations).fit(
-        training
-    )
-
-
-def document_vectors(words: DataFrame, model: Word2VecModel) -> DataFrame:
-    """Add ``features``, the mean vector of each row's words."""
-    return model.transform(features.with_buckets(words))
+    return features.hashed_vectors(with_words(documents, column), key, "words", size)
 
 
 def sentence_vectors(
-    documents: DataFrame, model: Word2VecModel, key: Sequence[str], column: str = "text"
+    documents: DataFrame, key: Sequence[str], size: int = 64, column: str = "text"
 ) -> DataFrame:
-    """Add ``features``, the mean over the sentences of a text of each sentence's vector.
+    """``key`` and ``vector``, the mean over the sentences of a text of each sentence's vector.
 
     ``key`` must identify rows. A text without any sentence gets a zero vector.
     """
-    parts = documents.select(*key, F.explode(sentences(F.col(column))).alias("sentence"))
-    pooled = features.mean_pool(
-        document_vectors(with_words(parts, "sentence"), model), key, "features", "_mean"
-    )
-    zero = F.array_repeat(F.lit(0.0), model.getVectorSize())
-    joined = documents.join(pooled, list(key), "left")
-    joined = joined.withColumn("_mean", F.coalesce("_mean", zero))
-    return features.vector_column(joined, "_mean").drop("_mean")
+    parts = documents.select(*key, F.posexplode(sentences(F.col(column))).alias("position", "sentence"))
+    each = features.hashed_vectors(with_words(parts, "sentence"), [*key, "position"], "words", size)
+    zero = F.array_repeat(F.lit(0.0), size)
+    pooled = documents.select(*key).join(features.mean_pool(each, key, "vector"), list(key), "left")
+    return pooled.select(*key, F.coalesce("vector", zero).alias("vector"))
 
 
 def classify_vectors(
@@ -134,22 +141,24 @@ def classify_vectors(
 ) -> DataFrame:
     """Toxic or not from text vectors: 80/20 split, balanced training rows, a small network.
 
-    Texts are embedded whole or sentence by sentence. Balancing follows the split, so no test
+    ``per_class`` training rows of each class are learned from, whatever the size of the table;
+    the test rows are all others of the split. Keys are balanced first and only the chosen
+    texts are embedded, whole or sentence by sentence. Balancing follows the split, so no test
     message is among the copies trained on. Gives a classification report.
     """
-    more = ["text"] if by_sentence else []
-    train, test = _split_words(messages, "toxic", key, 0.2, 42, *more)
-    words = train_word_vectors(train, size)
+    split = sampling.hash_split(messages.select(*key, "toxic", "text"), key, 0.2, 42)
+    train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+    embed = sentence_vectors if by_sentence else document_vectors
+    chosen = pinned(sampling.balance_classes(train.select(*key, "toxic"), per_class, label="toxic"), "balanced")
 
-    def embedded(df):
-        vectors = sentence_vectors(df, words, key) if by_sentence else document_vectors(df, words)
-        return vectors.select(*key, "toxic", "features")
+    def embedded(rows, labels):
+        vectors = features.vector_column(embed(rows, key, size), "vector")
+        return labels.join(vectors, list(key)).select("toxic", "features")
 
-    balanced = pinned(
-        sampling.balance_classes(embedded(train), per_class, key, label="toxic")
-    )
+    texts = train.join(chosen.select(*key).distinct(), list(key), "left_semi")
+    balanced = pinned(embedded(texts, chosen), "balanced-vectors")
     model = models.vector_classifier(size, 2, label="toxic").fit(balanced)
-    predictions = model.transform(embedded(test))
+    predictions = model.transform(embedded(test, test.select(*key, "toxic")))
     return metrics.classification_report(
         predictions.select("toxic", F.col("prediction").cast("int").alias("prediction")), "toxic"
     )
@@ -162,12 +171,11 @@ def write_samples(
     seed: int = 42,
 ) -> list[str]:
     """Clean labelled messages once and write a CSV sample of each size; gives their paths."""
-    cleaned = sampling.with_row_id(clean_messages(messages))
+    cleaned = pinned(clean_messages(messages), "messages")
     paths = []
     for n in sizes:
         paths.append(f"{folder.rstrip('/')}/sample_{n}")
-        sample = sampling.sample_n(cleaned, n, ["row_id"], seed).drop("row_id")
-        writers.replace_csv(sample, paths[-1], header=True)
+        writers.replace_csv(sampling.sample_n(cleaned, n, seed), paths[-1], header=True)
     return paths
 
 

@@ -11,9 +11,12 @@ def _text(value: str) -> str:
 
 
 CHAT = """(SELECT l_suppkey AS author, l_partkey AS channel, l_shipdate AS ts,
-  cast(l_quantity AS int) AS bodylength, l_linestatus = 'F' AS member FROM lineitem)"""
+  CASE WHEN l_quantity % 10 <> 0 THEN cast(l_quantity AS int) END AS bodylength,
+  l_linestatus = 'F' AS member FROM lineitem)"""
 SUPERCHAT = """(SELECT l_suppkey AS author, l_shipdate AS ts, l_discount * 100 AS significance
   FROM lineitem WHERE l_returnflag = 'R')"""
+ORDERED_SUPERCHAT = """(SELECT l_suppkey AS author, o_orderdate AS ts, l_discount * 100 AS significance
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"""
 CHANNELS = """(SELECT s_suppkey AS "channelId", s_name AS name, s_name AS "englishName",
   n_name AS affiliation, cast(floor(s_acctbal) AS int) AS "subscriptionCount",
   cast(0 AS int) AS "videoCount" FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
@@ -41,8 +44,12 @@ def _author_stats(chat=CHAT, count="ts", extra=""):
   cast(sum(bodylength) AS bigint) AS "totalBodyLength"{extra} FROM {chat} GROUP BY 1, 2"""
 
 
-SUPERCHAT_STATS = f"""SELECT author, strftime(ts, '%Y-%m') AS period, count(ts) AS superchats,
-  round(avg(significance), 6) AS "avgSignificance" FROM {SUPERCHAT} GROUP BY 1, 2"""
+def _superchat_stats(superchat):
+    return f"""SELECT author, strftime(ts, '%Y-%m') AS period, count(ts) AS superchats,
+  round(avg(significance), 6) AS "avgSignificance" FROM {superchat} GROUP BY 1, 2"""
+
+
+SUPERCHAT_STATS = _superchat_stats(SUPERCHAT)
 COMBINED = f"""SELECT author, period, chats, "videoDays", "uniqueChatters", "totalBodyLength",
   superchats, "avgSignificance"
   FROM ({_author_stats()}) JOIN ({SUPERCHAT_STATS}) USING (author, period)"""
@@ -75,7 +82,7 @@ SUPERCHAT_LISTS = [
 
 FLAGGED = """(SELECT doc_id, text AS body, CASE WHEN toxic = 0 THEN 'nonflagged' ELSE 'flagged' END
   AS label FROM documents JOIN labels USING (doc_id))"""
-TOKENS = r"string_split_regex(lower({}), '\s')"
+TOKENS = r"string_split_regex(regexp_replace(lower({}), '\s+\z', ''), '\s')"
 HEX = "cast('0x' || substr({}, 1, {}) AS bigint)"
 IDS = "(SELECT doc_id, toxic AS label FROM labels)"
 MONTHS = """(SELECT period, CASE WHEN row_number() OVER (ORDER BY md5(period || '|42'), period) * 16
@@ -96,19 +103,35 @@ def _hash_split(hex_limit, seed):
   THEN 'test' ELSE 'train' END AS split FROM documents"""
 
 
+def _order(columns):
+    """The hash by which samples are ordered, of rows that all differ."""
+    parts = " || ".join(f"coalesce(md5(cast({c} AS varchar)), '-')" for c in columns.split())
+    return f"md5(md5({parts}) || '|1|42')"
+
+
 def _down(n):
     return f"""SELECT doc_id, label FROM {IDS} WHERE label = 0
-  QUALIFY row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) <= {n}"""
+  QUALIFY row_number() OVER (ORDER BY {_order("doc_id label")}) <= {n}"""
 
 
 def _up(n):
     return f"""SELECT doc_id, label FROM
   (SELECT {HEX.format("md5(i || '|draw|42')", 15)} % (SELECT count(*) FROM labels WHERE toxic = 1) AS x
    FROM range({n}) r(i))
-  JOIN (SELECT *, row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) - 1 AS x
+  JOIN (SELECT *, row_number() OVER (ORDER BY {_order("doc_id label")}) - 1 AS x
         FROM {IDS} WHERE label = 1) USING (x)"""
 
 
+def _vectors(tokens_of, size=8):
+    """Mean of +1/-1 by the leading bits of each token's md5, for (doc_id, part, token) rows; mean over parts."""
+    bits = f"cast('0x' || substr(md5(token), 1, 8) AS bigint) >> (31 - i) & 1"
+    return f"""WITH t AS ({tokens_of}), p AS (
+    SELECT doc_id, part, i, coalesce(avg(CASE WHEN token IS NOT NULL THEN 2 * ({bits}) - 1 END), 0) AS v
+    FROM t, range({size}) r(i) GROUP BY 1, 2, 3)
+  SELECT doc_id, cast(i AS int) AS i, round(coalesce(avg(v), 0), 6) + 0.0 AS value
+  FROM (SELECT doc_id, i FROM documents, range({size}) r(i)) LEFT JOIN p USING (doc_id, i) GROUP BY 1, 2"""
+
+
 def _words(expression, key, table):
     return f"SELECT {key}, coalesce(array_to_string({expression}, ' '), '') AS words FROM {table}"
 
@@ -150,8 +173,8 @@ ORACLES = {
     "combined_stats": COMBINED,
     "combined_stats_right": f"""SELECT s.author, s.period, c.chats, c."videoDays", c."uniqueChatters",
   c."totalBodyLength", s.superchats, s."avgSignificance"
-  FROM ({_author_stats(f"(SELECT * FROM {CHAT} WHERE member)")}) c
-  RIGHT JOIN ({SUPERCHAT_STATS}) s ON c.author = s.author AND c.period = s.period""",
+  FROM ({_author_stats()}) c
+  RIGHT JOIN ({_superchat_stats(ORDERED_SUPERCHAT)}) s ON c.author = s.author AND c.period = s.period""",
     "member_stats": _member_stats('m."uniqueMembers"'),
     "member_stats_filled": _member_stats('coalesce(m."uniqueMembers", 0)'),
     "channel_stats": f'SELECT * FROM {CHANNELS} JOIN {CHANNEL_CHAT} USING ("channelId")',
@@ -171,7 +194,7 @@ ORACLES = {
     "dedup_messages": "SELECT DISTINCT text, lang FROM documents",
     "class_counts": f"SELECT label, count(*) AS count FROM {FLAGGED} GROUP BY 1",
     "clean_messages": f"""SELECT translate(body, {_text(PUNCTUATION)}, '') AS body, label, count(*) AS n FROM
-  (SELECT {_strip(_without_emoji("' ' || word || '" + chr(0x1F600) + " '"))} AS body, label FROM
+  (SELECT {_strip(_without_emoji("' ' || word || CASE WHEN length(word) % 8 = 0 THEN '" + chr(0x1F600) + " ' ELSE ' ' END"))} AS body, label FROM
    (SELECT unnest(string_split_regex(text, '\\s+')) AS word, toxic AS label
     FROM documents JOIN labels USING (doc_id)))
   WHERE regexp_full_match(body, '\\p{{L}}+') GROUP BY 1, 2""",
@@ -204,12 +227,12 @@ ORACLES = {
     "assembled_features": f"""SELECT author, period, split, round(log10(superchats), 6) AS log10_superchats,
   cast(chats AS double) AS f_chats, cast("videoDays" AS double) AS "f_videoDays",
   cast("uniqueChatters" AS double) AS "f_uniqueChatters",
-  cast("totalBodyLength" AS double) AS "f_totalBodyLength"
+  cast(coalesce("totalBodyLength", 0) AS double) AS "f_totalBodyLength"
   FROM ({COMBINED}) JOIN {MONTHS.format("WHERE l_returnflag = 'R'")} USING (period)""",
     "hash_split": _hash_split("4ccccccc", 1234),
     "hash_split_80_20": _hash_split("33333333", 42),
-    "sample_n": """SELECT * FROM documents
-  QUALIFY row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) <= 200""",
+    "sample_n": f"""SELECT * FROM documents
+  QUALIFY row_number() OVER (ORDER BY {_order("doc_id text lang source n_chars")}) <= 200""",
     "downsample_majority": _down(100),
     "upsample_minority": _up(500),
     "balance_classes": f"({_down(300)}) UNION ALL ({_up(300)})",
@@ -252,6 +275,52 @@ ORACLES = {
     "csv_header_cast": f"""SELECT * REPLACE (cast("channelId" AS varchar) AS "channelId") FROM {CHANNEL_CHAT}""",
     "csv_reviews": """SELECT cast(quality + 1 AS int) AS polarity, source AS title, text
   FROM documents JOIN labels USING (doc_id)""",
+    "channel_series_positions": f"""SELECT "channelId", cast(row_number() OVER (PARTITION BY "channelId" ORDER BY period) - 1 AS int)
+  AS position, period, chats, "memberChats", "uniqueChatters", "uniqueMembers", "bannedChatters", "deletedChats"
+  FROM {CHANNEL_CHAT} SEMI JOIN {CHANNELS} USING ("channelId")""",
+    "header_csv_typed": f"""SELECT cast("channelId" AS varchar) AS "channelId", period, chats, "memberChats",
+  "uniqueChatters", "uniqueMembers", "bannedChatters", "deletedChats" FROM {CHANNEL_CHAT}""",
+    "messages_csv": f"SELECT body, label FROM {FLAGGED}",
+    "labelled_files": f"""SELECT doc_id, body,
+  cast(CASE WHEN label = 'nonflagged' THEN 0 ELSE 1 END AS int) AS label FROM {FLAGGED}""",
+    "combined_positional": f"""SELECT period, chats, "videoDays", "uniqueChatters", "totalBodyLength",
+  cast(author AS varchar) AS author, cast(superchats AS double) AS superchats, "avgSignificance" FROM ({COMBINED})""",
+    "numbered_files": f"""WITH c AS (SELECT author, year(ts) AS y, count(ts) AS chats,
+    count(DISTINCT cast(ts AS date)) AS days, count(DISTINCT channel) AS channels,
+    cast(sum(bodylength) AS bigint) AS body FROM {CHAT} GROUP BY 1, 2),
+  s AS (SELECT author, year(ts) AS y, count(ts) AS superchats, round(avg(significance), 6) AS sig
+    FROM {SUPERCHAT} GROUP BY 1, 2)
+  SELECT cast(author AS varchar) AS author, cast(y AS varchar) AS period, chats, days AS "videoDays",
+  channels AS "uniqueChatters", body AS "totalBodyLength", superchats, sig AS "avgSignificance"
+  FROM c JOIN s USING (author, y)""",
+    "split_files": _hash_split("4ccccccc", 1234),
+    "predictions_json": QUALITY_RULE[1:-1],
+    "score_documents": f"""WITH y AS (SELECT label, split, (SELECT avg(label) FROM {TARGETS} WHERE split = 'train') AS p
+    FROM {TARGETS}), e AS (SELECT split, label - p AS e FROM y)
+  SELECT 'baseline' AS model, 'log10_superchats' AS label_col,
+  round(avg(e * e) FILTER (split = 'train'), 6) AS "Train MSE",
+  round(sqrt(avg(e * e) FILTER (split = 'train')), 6) AS "Train RMSE",
+  round(avg(abs(e)) FILTER (split = 'train'), 6) AS "Train MAE",
+  round(avg(e * e) FILTER (split = 'test'), 6) AS "Test MSE",
+  round(sqrt(avg(e * e) FILTER (split = 'test')), 6) AS "Test RMSE",
+  round(avg(abs(e)) FILTER (split = 'test'), 6) AS "Test MAE" FROM e""",
+    "first_annotation": f"SELECT doc_id, list_extract({TOKENS.format('text')}, 1) AS first FROM documents",
+    "term_tfidf": f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents),
+  d AS ({DOCUMENT_FREQUENCY}), i AS (SELECT token, CASE WHEN df >= 2 THEN
+    ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) ELSE 0.0 END AS idf FROM d)
+  SELECT doc_id, token, count(*) AS tf, round(count(*) * any_value(idf), 6) AS tfidf
+  FROM t JOIN i USING (token) GROUP BY 1, 2""",
+    "doc_vectors": _vectors(f"""SELECT doc_id, 0 AS part,
+    unnest({_no_stops(_letters(_no_web(TOKENS.format('text'))))}) AS token FROM documents"""),
+    "sentence_vectors": _vectors(f"""SELECT doc_id, part, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS token FROM
+    (SELECT doc_id, part, {_no_stops(_letters(_no_web(TOKENS.format('sentence'))))} AS w FROM
+    (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS part FROM
+    (SELECT doc_id, list_filter(list_transform(string_split_regex({SENTENCES}, '[\\r\\n]+'),
+      lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM documents)))"""),
+    "model_reload": "SELECT count(*) AS n, count(*) AS equal FROM documents JOIN labels USING (doc_id)",
+    "pipeline_reload": "SELECT count(*) AS n, count(*) AS equal FROM documents JOIN labels USING (doc_id)",
+    "saved_regressors": f"""SELECT model, n, n AS equal FROM (SELECT count(*) AS n FROM ({COMBINED})),
+  (VALUES ('linear regression'), ('glm gaussian'), ('dtr')) v(model)""",
     "json_documents": _series(CHANNEL_CHAT, CHAT_LISTS),
     "materialized_stats": COMBINED,
 }

@@ -1,12 +1,11 @@
 """Named queries: ``(spark, sf_dir) -> DataFrame`` over the driver's whole tables."""
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..functions import casts, text
-from ..functions.periods import period
 from ..operators import features, messages, metrics, models, sampling, series, stats
 from ..session import pinned, scratch_path
 from ..sources import readers, writers
@@ -38,18 +37,20 @@ def author_stats_body(spark, sf_dir):
 
 @query
 def author_stats_sql(spark, sf_dir):
-    views.register(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir))
-    return views.author_stats(spark)
+    names = ("query_chat", "query_superchat")
+    views.register(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir), names)
+    return views.author_stats(spark, names[0])
 
 
 @query
 def member_filter_sql(spark, sf_dir):
     """Member chats per author from the view, where membership is text."""
-    views.register(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir))
+    names = ("query_chat", "query_superchat")
+    views.register(bindings.chat(spark, sf_dir), bindings.superchat(spark, sf_dir), names)
     return spark.sql("""
         SELECT authorChannelId AS author, count(*) AS memberChats,
                count(DISTINCT channelId) AS uniqueMembers
-        FROM chat WHERE isMember = 'true' GROUP BY authorChannelId""")
+        FROM query_chat WHERE isMember = 'true' GROUP BY authorChannelId""")
 
 
 @query
@@ -65,9 +66,9 @@ def combined_stats(spark, sf_dir):
 
 @query
 def combined_stats_right(spark, sf_dir):
-    members = bindings.chat(spark, sf_dir).where("member")
-    superchat = bindings.superchat(spark, sf_dir)
-    return _rounded(stats.combined_stats(members, superchat, how="right"), "avgSignificance")
+    chat = bindings.chat(spark, sf_dir)
+    superchat = bindings.ordered_superchat(spark, sf_dir)
+    return _rounded(stats.combined_stats(chat, superchat, how="right"), "avgSignificance")
 
 
 @query
@@ -114,6 +115,18 @@ def channel_series_superchat(spark, sf_dir):
     ))
 
 
+@query
+def channel_series_positions(spark, sf_dir):
+    """One row per channel and place in its lists, values in their own types."""
+    documents = series.chat_series(
+        bindings.channels(spark, sf_dir), bindings.channel_chat_stats(spark, sf_dir)
+    )
+    entries = F.arrays_zip("period", *series.CHAT_MEASURES)
+    return documents.select("channelId", F.posexplode(entries).alias("position", "entry")).select(
+        "channelId", "position", "entry.*"
+    )
+
+
 @query
 def cast_map(spark, sf_dir):
     raw = bindings.table(spark, sf_dir, "events").select(
@@ -134,9 +147,7 @@ def log_target(spark, sf_dir):
 
 @query
 def label_from_source(spark, sf_dir):
-    rows = bindings.flagged_messages(spark, sf_dir)
-    quiet, flagged = rows.where("label = 'nonflagged'"), rows.where("label = 'flagged'")
-    return readers.with_label(quiet.unionByName(flagged))
+    return readers.with_label(bindings.flagged_messages(spark, sf_dir))
 
 
 @query
@@ -170,7 +181,7 @@ def clean_messages_loose(spark, sf_dir):
 
 @query
 def alpha_tokens(spark, sf_dir):
-    words = bindings.texts(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("token"))
+    words = bindings.documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("token"))
     return words.where(text.is_alphabetic(F.col("token"))).groupBy("token").agg(
         F.count("*").alias("n")
     )
@@ -180,7 +191,7 @@ _EMOJI_TEXT = " \U0001F600\U0001F44D\U0001F3FD! ok❤️ end"
 
 
 def _emoji_documents(spark, sf_dir):
-    return bindings.texts(spark, sf_dir).select(
+    return bindings.documents(spark, sf_dir).select(
         "doc_id", F.concat("text", F.lit(_EMOJI_TEXT)).alias("text")
     )
 
@@ -197,26 +208,26 @@ def drop_emoji_tokens(spark, sf_dir):
 
 @query
 def remove_punctuation(spark, sf_dir):
-    return bindings.texts(spark, sf_dir).select(
+    return bindings.documents(spark, sf_dir).select(
         "doc_id", text.remove_punctuation(F.col("text")).alias("text")
     )
 
 
 @query
 def split_sentences(spark, sf_dir):
-    return messages.sentences(bindings.texts(spark, sf_dir), "doc_id")
+    return messages.sentences(bindings.documents(spark, sf_dir), "doc_id")
 
 
 # Tokens. Lists are written as one text, tokens parted by a blank.
 
 @query
 def token_document_frequency(spark, sf_dir):
-    return features.document_frequency(bindings.texts(spark, sf_dir), text.tokens(F.col("text")))
+    return features.document_frequency(bindings.documents(spark, sf_dir), text.tokens(F.col("text")))
 
 
 @query
 def term_idf(spark, sf_dir):
-    documents = bindings.texts(spark, sf_dir)
+    documents = bindings.documents(spark, sf_dir)
     return _rounded(features.term_idf(documents, text.tokens(F.col("text"))), "idf")
 
 
@@ -235,22 +246,20 @@ def normalize_tokens(spark, sf_dir):
 @query
 def remove_stopwords(spark, sf_dir):
     words = text.without_stop_words(text.tokens(F.col("text")))
-    return bindings.texts(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
+    return bindings.documents(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 @query
 def content_words(spark, sf_dir):
     words = text.content_words(F.col("text"))
-    return bindings.texts(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
+    return bindings.documents(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 # Splits and samples.
 
 @query
 def period_split(spark, sf_dir):
-    chat = bindings.chat(spark, sf_dir)
-    marks = sampling.period_marks(chat.select(period(F.col("ts")).alias("period")))
-    marked = sampling.period_split(stats.author_stats(chat), marks)
+    marked = sampling.period_split(pinned(stats.author_stats(bindings.chat(spark, sf_dir)), "author-stats"))
     return marked.groupBy("period", "split").agg(
         F.count("*").alias("n"), F.sum("chats").alias("chats")
     )
@@ -270,7 +279,7 @@ def hash_split_80_20(spark, sf_dir):
 
 @query
 def sample_n(spark, sf_dir):
-    return sampling.sample_n(bindings.documents(spark, sf_dir), 200, ["doc_id"])
+    return sampling.sample_n(bindings.documents(spark, sf_dir), 200)
 
 
 def _labelled_ids(spark, sf_dir):
@@ -279,17 +288,17 @@ def _labelled_ids(spark, sf_dir):
 
 @query
 def downsample_majority(spark, sf_dir):
-    return sampling.downsample(_labelled_ids(spark, sf_dir), 0, 100, ["doc_id"])
+    return sampling.downsample(_labelled_ids(spark, sf_dir), 0, 100)
 
 
 @query
 def upsample_minority(spark, sf_dir):
-    return sampling.upsample(_labelled_ids(spark, sf_dir), 1, 500, ["doc_id"])
+    return sampling.upsample(_labelled_ids(spark, sf_dir), 1, 500)
 
 
 @query
 def balance_classes(spark, sf_dir):
-    return sampling.balance_classes(_labelled_ids(spark, sf_dir), 300, ["doc_id"])
+    return sampling.balance_classes(_labelled_ids(spark, sf_dir), 300)
 
 
 # Evaluation of fixed rules.
@@ -337,8 +346,7 @@ def binary_auc(spark, sf_dir):
     scored = bindings.labelled_documents(spark, sf_dir).select(
         F.col("toxic").cast("double").alias("label"), F.col("n_chars").cast("double").alias("score")
     )
-    area = metrics.area_under_roc(scored, score="score")
-    return scored.agg(F.count("*").alias("n")).withColumn("area_under_roc", F.round(F.lit(area), 6))
+    return _rounded(metrics.area_under_roc(scored), "area_under_roc")
 
 
 # Features.
@@ -352,16 +360,37 @@ def mean_pool_vectors(spark, sf_dir):
 
 @query
 def tfidf_features(spark, sf_dir):
-    words = jobs.with_words(bindings.texts(spark, sf_dir)).select("doc_id", "words")
+    words = jobs.with_words(bindings.documents(spark, sf_dir)).select("doc_id", "words")
     vectors = features.tfidf().fit(words).transform(words)
     return vectors.select("doc_id", F.col("features").cast("string").alias("features"))
 
 
+@query
+def term_tfidf(spark, sf_dir):
+    words = text.tokens(F.col("text"))
+    return _rounded(features.term_tfidf(bindings.documents(spark, sf_dir), "doc_id", words), "tfidf")
+
+
+def _places(vectors):
+    rows = _rounded(vectors.select("doc_id", F.posexplode("vector").alias("i", "value")), "value")
+    return rows.withColumn("value", F.col("value") + 0.0)  # no negative zero
+
+
 @query
 def doc_vectors(spark, sf_dir):
-    words = jobs.with_words(bindings.texts(spark, sf_dir)).select("doc_id", "words")
-    vectors = jobs.document_vectors(words, jobs.train_word_vectors(words, size=32))
-    return vectors.select("doc_id", F.col("features").cast("string").alias("features"))
+    return _places(jobs.document_vectors(bindings.documents(spark, sf_dir), ["doc_id"], size=8))
+
+
+@query
+def sentence_vectors(spark, sf_dir):
+    return _places(jobs.sentence_vectors(bindings.documents(spark, sf_dir), ["doc_id"], size=8))
+
+
+@query
+def first_annotation(spark, sf_dir):
+    """The first token of each text, out of an array of annotations."""
+    words = F.transform(text.tokens(F.col("text")), lambda w: F.struct(F.length(w).alias("end"), w.alias("result")))
+    return bindings.documents(spark, sf_dir).select("doc_id", casts.first_result(words).alias("first"))
 
 
 # Models.
@@ -427,13 +456,47 @@ def sentence_vector_classifier(spark, sf_dir):
     return jobs.classify_vectors(labelled, per_class=500, by_sentence=True)
 
 
+def _agreement(before, after, keys):
+    """How many rows there are, and on how many both predictions agree."""
+    both = before.select(*keys, F.col("prediction").alias("before")).join(
+        after.select(*keys, F.col("prediction").alias("after")), keys
+    )
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("before") == F.col("after")).alias("equal"))
+
+
 @query
 def model_reload(spark, sf_dir):
     """Predictions of a pipeline that was fitted, saved and loaded again."""
     words = jobs.with_words(jobs.binary_labels(bindings.reviews(spark, sf_dir)))
     path = scratch_path(spark, "text-model")
-    models.text_classifier().fit(words).write().overwrite().save(path)
-    return PipelineModel.load(path).transform(words).select("doc_id", "label", "prediction")
+    model = models.text_classifier().fit(words)
+    model.write().save(path)
+    return _agreement(model.transform(words), PipelineModel.load(path).transform(words), ["doc_id"])
+
+
+@query
+def pipeline_reload(spark, sf_dir):
+    """Predictions of a pipeline that was saved unfitted, loaded and then fitted."""
+    words = pinned(jobs.with_words(jobs.binary_labels(bindings.reviews(spark, sf_dir))), "words")
+    path = scratch_path(spark, "text-pipeline")
+    models.text_classifier().write().save(path)
+    before, after = models.text_classifier().fit(words), Pipeline.load(path).fit(words)
+    return _agreement(before.transform(words), after.transform(words), ["doc_id"])
+
+
+@query
+def saved_regressors(spark, sf_dir):
+    """Predictions of regressors that a job saved under their labels, loaded again."""
+    data, folder = _regression_data(spark, sf_dir), scratch_path(spark, "regressors")
+    names, label = ["linear regression", "glm gaussian", "dtr"], jobs.LABEL
+    fitted = jobs.regression_models(data, names, label, folder)
+    out = None
+    for name in names:
+        loaded = models.load_regressor(folder, label, name)
+        rows = _agreement(fitted[name].transform(data), loaded.transform(data), ["author", "period"])
+        rows = rows.select(F.lit(name).alias("model"), "n", "equal")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # Files.
@@ -469,23 +532,108 @@ def csv_reviews(spark, sf_dir):
     return readers.read_csv(spark, path, schemas.REVIEWS, multiline=True)
 
 
+@query
+def header_csv_typed(spark, sf_dir):
+    path = scratch_path(spark, "channel-stats")
+    writers.replace_csv(bindings.channel_chat_stats(spark, sf_dir), path, header=True)
+    return readers.read_header_csv(spark, path, schemas.CHANNEL_CHAT_STATS)
+
+
+@query
+def messages_csv(spark, sf_dir):
+    path = scratch_path(spark, "messages")
+    rows = bindings.flagged_messages(spark, sf_dir).select("body", "label")
+    writers.replace_csv(rows, path, header=True)
+    return readers.read_csv(spark, path, schemas.MESSAGES, header=True, multiline=True)
+
+
+@query
+def labelled_files(spark, sf_dir):
+    """Messages from a file of non-flagged and a file of flagged ones."""
+    path, rows = scratch_path(spark, "messages"), bindings.flagged_messages(spark, sf_dir)
+    for name in ("nonflagged", "flagged"):
+        writers.replace(rows.where(F.col("label") == name).drop("label"), f"{path}/{name}")
+    return readers.read_labelled(spark, f"{path}/nonflagged", f"{path}/flagged")
+
+
+@query
+def combined_positional(spark, sf_dir):
+    """Combined statistics through a headerless file whose columns are known by position."""
+    path = scratch_path(spark, "combined")
+    rows = combined_stats(spark, sf_dir).withColumnRenamed("author", "id")
+    writers.replace_csv(rows.select(*schemas.COMBINED_STATS.names), path)
+    return readers.read_combined(spark, path)
+
+
+@query
+def numbered_files(spark, sf_dir):
+    """Yearly statistics in files that carry a number, super chat files two numbers behind."""
+    stem = scratch_path(spark, "numbered")
+    year = F.year("ts").cast("string")
+    chat = pinned(bindings.chat(spark, sf_dir).groupBy("author", year.alias("period")).agg(
+        F.count("ts").alias("chats"), F.countDistinct(F.to_date("ts")).alias("videoDays"),
+        F.countDistinct("channel").alias("uniqueChatters"),
+        F.sum("bodylength").cast("bigint").alias("totalBodyLength"),
+    ), "yearly")
+    superchat = pinned(bindings.superchat(spark, sf_dir).groupBy("author", year.alias("period")).agg(
+        F.count("ts").alias("superchats"), F.round(F.avg("significance"), 6).alias("avgSignificance")
+    ), "yearly")
+    years = sorted(r["period"] for r in chat.select("period").distinct().collect())
+    for number, one in enumerate(years, 2):
+        here = F.col("period") == one
+        writers.replace_csv(chat.where(here), f"{stem}/chat{number}.csv")
+        writers.replace_csv(superchat.where(here).drop("period"), f"{stem}/superchat{number - 2}.csv")
+    return jobs.combine_numbered(spark, f"{stem}/chat", f"{stem}/superchat", range(2, 2 + len(years)))
+
+
+@query
+def split_files(spark, sf_dir):
+    """Train and test rows of a split, each written to its own file and read back."""
+    rows = hash_split(spark, sf_dir)
+    parts = []
+    for path, side in zip(writers.write_split(rows, scratch_path(spark, "split")), ("train", "test")):
+        parts.append(readers.read_text_columns(spark, path, {"doc_id": "bigint"}).withColumn("split", F.lit(side)))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def predictions_json(spark, sf_dir):
+    """Label and prediction of a rule, without the vector beside them, as JSON."""
+    path = scratch_path(spark, "predictions")
+    vectors = features.vector_column(
+        _quality_rule(spark, sf_dir).withColumn("rawPrediction", F.array(F.lit(0.0))), "rawPrediction", "rawPrediction"
+    )
+    writers.write_predictions(vectors, path, ["label", "prediction"])
+    return spark.read.schema("label int, prediction int").json(path)
+
+
+@query
+def score_documents(spark, sf_dir):
+    """The baseline's scores written once as documents; a second write changes nothing."""
+    path = scratch_path(spark, "scores")
+    targets = pinned(stats.log_targets(stats.superchat_stats(bindings.superchat(spark, sf_dir))), "targets")
+    scores = models.score_regressors({}, sampling.period_split(targets), jobs.LABEL, baseline=True)
+    writers.write_once(_rounded(scores, *schemas.SCORES.names[2:]), path)
+    writers.write_once(scores.limit(0), path)
+    return spark.read.schema(schemas.SCORES).json(path)
+
+
 @query
 def json_documents(spark, sf_dir):
-    """Channel documents written once; a second write with other rows changes nothing."""
+    """Channel documents with their lists, written once; a second write changes nothing."""
     path = scratch_path(spark, "chat-documents")
-    documents = channel_series_chat(spark, sf_dir)
+    documents = series.chat_series(
+        bindings.channels(spark, sf_dir), bindings.channel_chat_stats(spark, sf_dir)
+    )
     writers.write_once(documents, path)
     writers.write_once(documents.select("channelId"), path)
-    return spark.read.schema(documents.schema).json(path)
+    return _lists_as_text(spark.read.schema(documents.schema).json(path))
 
 
 @query
 def materialized_stats(spark, sf_dir):
     """Combined statistics by period, computed once and then read from the stored table."""
-    path = scratch_path(spark, "combined-stats")
-    table = None
+    path, rows = scratch_path(spark, "combined-stats"), combined_stats(spark, sf_dir)
     for _ in range(2):
-        table = writers.materialize(
-            spark, path, lambda: combined_stats(spark, sf_dir), partition_by=["period"]
-        )
-    return table.withColumn("period", F.col("period").cast("string"))
+        table = writers.materialize(spark, path, lambda: rows, ["period"], rows.schema)
+    return table

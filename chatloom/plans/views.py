@@ -10,21 +10,21 @@ FROM (
          cast(coalesce(bit_count(bit_or(shiftleft(1, dayofmonth(to_date(timestamp)) - 1))), 0)
               AS bigint) AS videoDays,
          count(DISTINCT channelId) AS uniqueChatters, sum(bodylength) AS totalBodyLength
-  FROM chat
+  FROM {chat}
   GROUP BY authorChannelId, trunc(to_date(timestamp), 'MM')
 )
 """
 
 
-def register(chat: DataFrame, superchat: DataFrame) -> None:
-    """Views ``chat`` and ``superchat`` under the column names of the raw files."""
-    names = {"author": "authorChannelId", "channel": "channelId", "ts": "timestamp"}
-    chat.withColumnsRenamed(names).withColumn(
+def register(chat: DataFrame, superchat: DataFrame, names: tuple[str, str] = ("chat", "superchat")) -> None:
+    """Views of both tables, called ``names``, under the column names of the raw files."""
+    columns = {"author": "authorChannelId", "channel": "channelId", "ts": "timestamp"}
+    chat.withColumnsRenamed(columns).withColumn(
         "isMember", F.col("member").cast("string")
-    ).drop("member").createOrReplaceTempView("chat")
-    superchat.withColumnsRenamed(names).createOrReplaceTempView("superchat")
+    ).drop("member").createOrReplaceTempView(names[0])
+    superchat.withColumnsRenamed(columns).createOrReplaceTempView(names[1])
 
 
-def author_stats(spark: SparkSession) -> DataFrame:
+def author_stats(spark: SparkSession, chat: str = "chat") -> DataFrame:
     """``stats.author_stats`` as SQL over the view: one distinct count, so no Expand."""
-    return spark.sql(AUTHOR_STATS)
+    return spark.sql(AUTHOR_STATS.format(chat=chat))

@@ -1,4 +1,7 @@
-"""Declared schemas of the text files; counts are long and measures double throughout."""
+"""Declared schemas of the text files; counts are long and measures double throughout.
+
+Fixed values: the column names and their order are those of the files.
+"""
 
 from pyspark.sql import types as T
 

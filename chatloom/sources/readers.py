@@ -1,13 +1,17 @@
 """Readers: parquet files picked by name, CSV files with a declared schema, labelled files."""
 
+import re
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
+from .. import schemas
 from ..functions.casts import cast_columns
 from ..functions.text import label_of_source
 
+
 def read_named(
     spark: SparkSession,
     folder: str,
@@ -18,31 +22,22 @@ def read_named(
     """All parquet entries of a folder whose name starts with ``prefix``, as one scan.
 
     An entry is a file or a folder of part files. One whose name holds a text of ``exclude``
-    is left out: flagged chats, a file known to be corrupt. Only the entries' names pass
-    through the driver, one or two per month.
+    is left out and never opened: flagged chats, a file known to be corrupt. Only the entries'
+    names pass through the driver, one or two per month.
     """
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{prefix}*")
-    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    entries = [entry.getPath() for entry in files.globStatus(pattern) or ()]
+    place = f"/{re.escape(folder.rstrip('/').rpartition('/')[2])}/({re.escape(prefix)}[^/]*)"
+    name = F.regexp_extract("path", place, 1)
+    try:
+        found = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{prefix}*")
+        names = [r["name"] for r in found.select(name.alias("name")).distinct().collect()]
+    except AnalysisException as error:
+        raise FileNotFoundError(f"nothing to read in {folder}") from error
     unwanted = tuple(exclude)
-    chosen = [p.toString() for p in entries if not any(x in p.getName() for x in unwanted)]
+    chosen = sorted(n for n in names if not any(x in n for x in unwanted))
     if not chosen:
         raise FileNotFoundError(f"no entry {prefix}* in {folder} outside {unwanted}")
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(*chosen)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan of fewer parts than cores, for work that is heavy per row.
-
-    One parquet row group is one task, however many cores stand idle. A scan that already
-    keeps the cores busy, as any large table does, is returned as it is; else adaptive
-    execution picks how many parts the data is worth.
-    """
-    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
-        return scan
-    return scan.hint("repartition")
+    return reader.parquet(*(f"{folder.rstrip('/')}/{n}" for n in chosen))
 
 
 def with_file_rows(scan: DataFrame) -> DataFrame:
@@ -122,6 +117,11 @@ def read_numbered(
     return rows.withColumn("number", number.cast("int"))
 
 
+def read_combined(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless combined statistics, found by position, under the column names used here."""
+    return read_csv(spark, path, schemas.COMBINED_STATS).withColumnRenamed("id", "author")
+
+
 def read_text_columns(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """Header CSV read as text, then cast by name; unreadable values become NULL."""
     return cast_columns(spark.read.option("header", True).option("escape", '"').csv(path), types)

@@ -118,7 +118,7 @@ def test_write_once(spark, tmp_path):
     assert spark.read.json(path).count() == 3
 
 
-def test_materialize_builds_once_and_repairs_half_a_write(spark, tmp_path):
+def test_materialize_builds_once_and_never_overwrites(spark, tmp_path):
     path, built = str(tmp_path / "stats"), []
 
     def build():
@@ -128,10 +128,33 @@ def test_materialize_builds_once_and_repairs_half_a_write(spark, tmp_path):
     for _ in range(2):
         table = writers.materialize(spark, path, build, ["period"])
         assert sorted((r["period"], r["n"]) for r in table.collect()) == [("2021-01", 1), ("2021-02", 2)]
-        assert dict(table.dtypes)["period"] == "string"
     assert len(built) == 1
+    typed = writers.materialize(spark, path, build, ["period"], "n int, period string")
+    assert dict(typed.dtypes) == {"n": "int", "period": "string"}
     os.remove(f"{path}/_SUCCESS")
-    assert writers.materialize(spark, path, build, ["period"]).count() == 2 and len(built) == 2
+    with pytest.raises(FileExistsError):
+        writers.materialize(spark, path, build, ["period"])
+    assert len(built) == 1 and spark.read.parquet(path).count() == 2
+
+
+def test_foreign_folders_are_left_alone(spark, tmp_path):
+    path = str(tmp_path / "foreign")
+    spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").json(path)
+    with pytest.raises(FileExistsError):
+        writers.write_once(spark.range(1), path)
+    assert spark.read.json(path).count() == 3
+    (tmp_path / "empty").mkdir()
+    assert writers.write_once(spark.range(2), str(tmp_path / "empty"))
+    assert spark.read.json(str(tmp_path / "empty")).count() == 2
+
+
+def test_split_and_predictions_are_written(spark, tmp_path):
+    rows = spark.range(10).select("id", F.when(F.col("id") < 3, "test").otherwise("train").alias("split"))
+    paths = writers.write_split(rows, str(tmp_path))
+    assert [spark.read.csv(p, header=True).count() for p in paths] == [7, 3]
+    vectors = rows.withColumn("prediction", F.lit(1.0)).withColumn("rawPrediction", F.array(F.lit(1.0)))
+    writers.write_predictions(vectors, f"{tmp_path}/predictions", ["id", "prediction"])
+    assert spark.read.json(f"{tmp_path}/predictions").columns == ["id", "prediction"]
 
 
 def test_pinned_tables_live_in_the_shared_folder(spark):
@@ -154,12 +177,3 @@ def test_shuffle_width_follows_the_bytes():
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert shuffle_settings(10)[name] == "200"
     assert shuffle_settings(20 * 2 ** 40)[name] == "163840"
-
-
-def test_spread_leaves_busy_scans_alone(spark, tmp_path):
-    path = str(tmp_path / "rows")
-    spark.range(1000).coalesce(1).write.parquet(path)
-    small = spark.read.parquet(path)
-    assert readers.spread(small) is not small and readers.spread(small).count() == 1000
-    busy = spark.range(0, 1000, 1, 64)
-    assert readers.spread(busy) is busy

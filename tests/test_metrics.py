@@ -1,3 +1,5 @@
+import random
+
 import math
 
 import pytest
@@ -51,4 +53,15 @@ def test_area_under_roc_counts_ties_half(spark):
     df = spark.createDataFrame(
         [(1.0, 0.9), (1.0, 0.5), (0.0, 0.5), (0.0, 0.1)], "label double, score double"
     )
-    assert metrics.area_under_roc(df, score="score") == 0.875
+    assert metrics.area_under_roc(df).collect() == [(4, 0.875)]
+    assert metrics.area_under_roc(df.where("label = 1")).collect() == [(2, None)]
+    assert metrics.area_under_roc(df.limit(0)).collect() == [(0, None)]
+
+
+def test_area_under_roc_over_many_ranges_of_scores(spark):
+    rng = random.Random(3)
+    rows = [(int(rng.random() < 0.4), round(rng.random(), 2)) for _ in range(2000)]
+    hits, misses = ([s for l, s in rows if l == side] for side in (1, 0))
+    pairs = sum((h > m) + (h == m) / 2 for h in hits for m in misses)
+    found = metrics.area_under_roc(spark.createDataFrame(rows, "label int, score double").repartition(9)).first()
+    assert found["n"] == 2000 and abs(found["area_under_roc"] - pairs / len(hits) / len(misses)) < 1e-12

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -25,11 +26,6 @@ def planted(spark):
     return features.assemble(spark.createDataFrame(rows, columns)).cache()
 
 
-def test_assemble_leaves_out_rows_with_null(spark):
-    df = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 1, None)], "chats int, videoDays int, uniqueChatters int, totalBodyLength int")
-    assert features.assemble(df).count() == 1
-
-
 def test_leaderboard_has_every_model_and_beats_the_baseline(planted):
     board = models.leaderboard(planted, ["superchats", "log10_superchats"]).collect()
     by_label = {}
@@ -151,26 +147,32 @@ def test_mean_pool(spark):
     assert got == {1: [2.0, 4.0], 2: [0.0, 1.0]}
 
 
-def test_word_buckets_are_bounded(spark):
-    df = spark.range(5000).select(F.array(F.col("id").cast("string")).alias("words"))
-    buckets = df.select(F.explode(features.word_buckets(F.col("words"), 50)).alias("b"))
-    assert buckets.distinct().count() == 50
+def test_hashed_vectors(spark):
+    def vector(token):
+        bits = int(hashlib.md5(token.encode()).hexdigest(), 16)
+        return [1.0 if bits >> (127 - i) & 1 else -1.0 for i in range(128)]
+
+    df = spark.createDataFrame([(1, ["a", "bé", "a"]), (2, []), (3, None), (4, ["a"])], "k int, words array<string>")
+    for size in (8, 40, 128):
+        got = {r["k"]: r["vector"] for r in features.hashed_vectors(df.repartition(3), "k", size=size).collect()}
+        mean = [(2 * a + b) / 3 for a, b in zip(vector("a"), vector("bé"))][:size]
+        assert got[4] == vector("a")[:size] and got[2] == got[3] == [0.0] * size
+        assert max(abs(x - y) for x, y in zip(got[1], mean)) < 1e-12
+    with pytest.raises(ValueError):
+        features.hashed_vectors(df, "k", size=129)
 
 
-def test_document_vectors(reviews):
-    model = jobs.train_word_vectors(jobs.with_words(reviews), size=8, iterations=2)
-    vectors = jobs.document_vectors(jobs.with_words(reviews), model)
-    sizes = vectors.select(F.size(vector_to_array("features")).alias("n")).distinct().collect()
-    assert [r["n"] for r in sizes] == [8]
-    assert model.getVectors().count() <= features.WORD_BUCKETS
+def test_sentence_vectors_are_means_of_sentences(spark):
+    texts = spark.createDataFrame([(1, "river stone. lamp"), (2, "river stone"), (3, "lamp"), (4, ""), (5, None)], "k int, text string")
+    got = {r["k"]: r["vector"] for r in jobs.sentence_vectors(texts, ["k"], size=16).collect()}
+    assert len(got) == 5 and got[4] == got[5] == [0.0] * 16
+    assert max(abs(a - (b + c) / 2) for a, b, c in zip(got[1], got[2], got[3])) < 1e-12 and any(got[1])
 
 
-def test_sentence_vectors_are_means_of_sentences(spark, reviews):
-    model = jobs.train_word_vectors(jobs.with_words(reviews), size=4)
-    texts = spark.createDataFrame([(1, "river stone. lamp"), (2, "river stone"), (3, "lamp"), (4, "")], "k int, text string")
-    got = {r["k"]: r["features"].toArray() for r in jobs.sentence_vectors(texts, model, ["k"]).collect()}
-    assert len(got) == 4 and not got[4].any()
-    assert abs(got[1] - (got[2] + got[3]) / 2).max() < 1e-12 and abs(got[1]).max() > 0
+def test_missing_features_are_an_error(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 1, None)], "chats int, videoDays int, uniqueChatters int, totalBodyLength int")
+    with pytest.raises(Exception, match="null"):
+        features.assemble(rows).collect()
 
 
 def test_vector_classifier_learns_a_planted_signal(spark):

@@ -11,7 +11,8 @@ from chatloom.plans.registry import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 # Queries that run Spark jobs while they are built: reading their plan would repeat the tests above.
 EAGER = {name for name in QUERIES if name.startswith("model_")} | {
-    "text_classifier", "toxicity_classifier", "vector_classifier", "sentence_vector_classifier", "doc_vectors", "tfidf_features",
+    "text_classifier", "toxicity_classifier", "vector_classifier", "sentence_vector_classifier", "tfidf_features",
+    "saved_regressors", "pipeline_reload",
 }
 
 
@@ -53,11 +54,26 @@ def test_combined_stats_join_adds_no_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 3
 
 
-def test_samples_drop_unwanted_buckets_before_the_shuffle(spark):
-    plan = plan_of(sampling.sample_n(bindings.documents(spark, SF_DIR), 20, ["doc_id"]))
-    lines = [line for line in plan.splitlines() if "Window [row_number" in line or "BroadcastHashJoin" in line]
-    assert "Window" in lines[0] and "BroadcastHashJoin" in lines[1]
-    assert "TakeOrdered" not in plan
+def test_samples_rank_hashes_only(spark):
+    """No column of the table passes through a window; whole rows are joined last."""
+    documents = bindings.documents(spark, SF_DIR)
+    for df in (sampling.sample_n(documents, 20), sampling.resample_n(documents, 20)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert all("text#" not in line for line in windows)
+        below = plan.split("Window [")[1:]
+        assert all("text#" not in part.split("Join")[0] for part in below)
+
+
+def scans_of(df):
+    return plan_of(df).count("FileScan parquet")
+
+
+def test_tables_are_scanned_once(spark):
+    assert scans_of(QUERIES["label_from_source"](spark, SF_DIR)) == 2  # documents and labels
+    assert scans_of(QUERIES["binary_auc"](spark, SF_DIR)) == 2  # stored scores: ranges, and the ranges' sums
+    assert scans_of(QUERIES["period_split"](spark, SF_DIR)) == 2  # stored statistics and marks
+    assert scans_of(QUERIES["channel_series_chat"](spark, SF_DIR)) == 3  # chats, channels and nations
 
 
 def test_one_author_with_a_third_of_all_chats(spark):

@@ -136,10 +136,10 @@ def test_series_stay_aligned(spark, channels):
     assert row["name"] == "名" and row["subscriptionCount"] == 10
 
 
-def test_a_month_given_twice_is_an_error(spark, channels):
+def test_a_month_given_twice_keeps_both_entries(spark, channels):
     columns = "channelId string, period string, " + ", ".join(
         f"{m} long" for m in series.CHAT_MEASURES
     )
-    twice = spark.createDataFrame([("c1", "2021-03", 3, 1, 2, None, 0, 0)] * 2, columns)
-    with pytest.raises(Exception, match="channel c1 has 2 rows for 2021-03"):
-        series.chat_series(channels, twice).collect()
+    months = [("c1", "2021-03", 3, 1, 2, None, 0, 0), ("c1", "2021-02", 9, 1, 1, 1, 1, 1), ("c1", "2021-03", 1, 1, 2, None, 0, 0)]
+    row = series.chat_series(channels, spark.createDataFrame(months, columns)).first()
+    assert row["period"] == ["2021-02", "2021-03", "2021-03"] and row["chats"] == [9, 1, 3]

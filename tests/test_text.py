@@ -39,11 +39,11 @@ def test_emoji_ranges_are_the_unicode_property():
 
 
 def test_tokens_equal_the_ml_tokenizer(spark):
-    values = [" Lead", "two  blanks", "tab\tand\nline", "plain", "ÀÉ x"]
+    values = [" Lead", "two  blanks", "tab\tand\nline", "plain", "ÀÉ x", "end ", "ends  \n", "", " ", "\u00a0x\u00a0"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     ml = [r["t"] for r in Tokenizer(inputCol="v", outputCol="t").transform(df).collect()]
     assert apply(spark, text.tokens, values) == ml
-    assert apply(spark, text.tokens, ["end ", None, ""]) == [["end", ""], [""], [""]]
+    assert apply(spark, text.tokens, ["end ", None, ""]) == [["end"], [""], [""]]
 
 
 def test_web_tokens(spark):
@@ -130,11 +130,25 @@ def test_clean_messages_keeps_the_label_of_its_row(spark):
     assert loose == {**got, 2: "a b", 3: "a1", 10: "don’t"}
 
 
-def python_words(body):
-    """The token chain written in plain Python."""
-    words = [w for w in re.split(r"[ \t\n\x0b\f\r]", body.lower()) if w]
-    letters = [re.sub("[^a-zA-Z]+", "", w).lower() for w in words if not re.search(WEB_TOKEN, w)]
-    return [w for w in letters if w and w not in STOP_WORDS]
+CONTENT = {
+    "The Cat sat": ["cat", "sat"],
+    "see @me or #tag, at www.x.y": ["see"],
+    "go http://a.b/c now https://d": ["go"],
+    "mail a@b and @; stay@": ["mail", "stay"],
+    "Don't can't it's": ["dont", "cant"],
+    "don't": ["dont"],
+    "1234 x1y2 --- Ünï": ["xy", "n"],
+    "草 abc日本": ["abc"],
+    "tab\tline\n end  ": ["tab", "line", "end"],
+    "a\u00a0b": ["ab"],
+    "THE the Over UNDER": [],
+    "": [],
+    "HTTP://up": ["httpup"],
+}
+
+
+def test_content_words(spark):
+    assert apply(spark, text.content_words, list(CONTENT)) == list(CONTENT.values())
 
 
 def test_random_texts_like_python(spark):
@@ -147,7 +161,11 @@ def test_random_texts_like_python(spark):
     assert apply(spark, text.is_alphabetic, values) == [v.isalpha() for v in values]
     no_marks = str.maketrans("", "", string.punctuation)
     assert apply(spark, text.remove_punctuation, values) == [v.translate(no_marks) for v in values]
-    assert apply(spark, text.content_words, values) == [python_words(v) for v in values]
+    steps = apply(
+        spark, lambda v: text.without_stop_words(
+            text.letters_only(text.without_web_tokens(text.tokens(v)))), values
+    )
+    assert apply(spark, text.content_words, values) == steps
     assert apply(spark, text.strip_emoji, values) == values
 
 
