@@ -143,7 +143,7 @@ CONTENT = {
     "a\u00a0b": ["ab"],
     "THE the Over UNDER": [],
     "": [],
-    "HTTP://up": ["httpup"],
+    "HTTP://up": [],
 }
 
 
