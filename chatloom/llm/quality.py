@@ -2,8 +2,8 @@
 
 Features of a text are its words and pairs of words, hashed to slots, and pairs of word shapes
 (capitals, digits, a word said again, runs of marks), in slots of their own. A feature's value is
-its share among the text's features of its kind, so long and short texts compare and a score
-is three means of weights and a bias.
+its share among the text's features of its kind (and a few more, for short texts), so long and short
+texts compare and a score is three sums of weights over lengths, and a bias.
 """
 
 import re
@@ -22,11 +22,15 @@ THRESHOLD = 0.7
 MAX_LABELLED = 16_384
 #: Followers of the regularised leader, each with an equal part of them; their weights are averaged.
 SHARDS = 8
-EPOCHS = 4
+EPOCHS = 6
 SLOTS = 2 ** 18
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.001, 0.001
 
+#: Added to the number of a text's features, so that a few words do not decide like many.
+SMOOTHING = 10
+
 _WORD = re.compile(r"\w+|[^\w\s]+")
+_DIGIT = re.compile(r"[0-9]")
 _KEPT_WORDS = 300_000
 _SHAPES = 16
 _SHAPE_PAIRS = _SHAPES * _SHAPES
@@ -55,7 +59,8 @@ class Words(dict):
     """Word to (hash, shape) in one number; kept for the words met most recently."""
 
     def __missing__(self, word: str) -> int:
-        value = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 4 | _shape(word)
+        like = _DIGIT.sub("0", word.lower())  # numbers of equal length are one word
+        value = zlib.crc32(like.encode("utf-8", "surrogatepass")) << 4 | _shape(word)
         if len(self) >= _KEPT_WORDS:
             self.clear()
         self[word] = value
@@ -80,7 +85,7 @@ def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The sparse vector of a text: slots and values."""
     kinds = features(text)
     slots = np.concatenate(kinds)
-    values = np.concatenate([np.full(len(k), 1.0 / max(1, len(k))) for k in kinds])
+    values = np.concatenate([np.full(len(k), 1.0 / (len(k) + SMOOTHING)) for k in kinds])
     slots, place = np.unique(slots, return_inverse=True)
     return slots, np.bincount(place, values, len(slots))
 
@@ -126,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ep
     """Weights from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label`` 0 or 1).
 
     At most ``max_labelled`` labelled ids are used, the first by a hash of the id; that bounds
-    the broadcast side of the join and the work. An id labelled both ways counts as 0; rows
-    with a null id or label do not count. Without labelled rows nothing speaks against a text:
+    the broadcast side of the join and the work. An id labelled both ways counts as 0; of rows
+    that share an id, the smallest text counts; rows with a null id or label do not. Without labelled rows nothing speaks against a text:
     the weights then give every text 1.
     """
     label = F.col("label").cast("int")
@@ -138,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ep
     )
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(known), "doc_id").withColumn("shard", F.pmod("place", F.lit(SHARDS)).cast("int"))
+        .join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
+        .withColumn("shard", F.pmod("place", F.lit(SHARDS)).cast("int"))
     )
     found = group_map(
         docs.sparkSession, rows.groupBy("shard"), _learn(epochs), "shard int, rows long, weights binary"
@@ -153,7 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ep
 
 def score(text: str | None, weights: np.ndarray) -> float:
     """The probability of label 1; a text without words has that of the bias."""
-    return probability(float(weights[-1]) + sum(float(weights[k].mean(dtype=np.float64)) for k in features(text) if len(k)))
+    return probability(float(weights[-1]) + sum(
+        float(weights[k].sum(dtype=np.float64)) / (len(k) + SMOOTHING) for k in features(text)
+    ))
 
 
 def _score(weights: np.ndarray, text_at: int, keep: float | None):
