@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from chatloom.llm.workers import group_map
 from chatloom.session import pinned
 
-PROJECTIONS = 64
+PROJECTIONS = 48
 SHARE = 0.6
 #: Standard deviations of the number of collisions by which a near vector must be safe.
-MARGIN = 2.0
-WIDEN = 1.25
+MARGIN = 1.5
+WIDEN = 1.4
 SHARD_VECTORS = 8192
 BLOCK_QUERIES = 4096
 SEED = 17
@@ -57,7 +57,7 @@ class Shard:
         safe = min(0.999, share + MARGIN * math.sqrt(share * (1 - share) / projections))
         self.reach = _normal_quantile((1 + safe) / 2)
         spread = float(np.median(projected.std(axis=0)))
-        self.first_width = 0.05 * spread or 1e-9
+        self.first_width = 0.2 * spread or 1e-9
 
     def nearest(self, query_id, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the ``k`` nearest found, ties to the smaller id; never ``query_id``."""
@@ -79,8 +79,8 @@ class Shard:
                 new += [order[a:left[row]], order[right[row]:b]]
                 left[row], right[row] = a, b
             met += np.bincount(np.concatenate(new), minlength=n)
-            if (left == 0).all() and (right == n).all():
-                met[:] = m
+            if (left == 0).all() and (right == n).all() or not np.isfinite(center + width).all():
+                met[:] = m  # nothing is outside the windows, or no window can be said in numbers
             ready = np.flatnonzero((met >= self.needed) & ~done)
             if len(ready):
                 done[ready] = True

@@ -104,6 +104,14 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).collect() == []
 
 
+def test_numbers_of_any_size():
+    vectors = np.array([[1e-300, 0], [2e-300, 1e-300], [3e-300, 0]])
+    shard = ann.Shard(np.arange(3), vectors)
+    assert shard.nearest(9, np.array([1e300, 1e300]), 2)[0].tolist() == [0, 1]
+    same = ann.Shard(np.arange(4), np.ones((4, 3)))
+    assert same.nearest(2, np.ones(3), 2)[0].tolist() == [0, 1] and len(same.nearest(2, np.ones(3), 9)[0]) == 3
+
+
 # ---------------------------------------------------------------------------- pipeline
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
@@ -157,3 +165,18 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
 def test_every_query_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
     assert numbers == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_any_rows(spark, docs, edge_rows, tmp_path, empty):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([] if empty else [(1, 1, 0), (6, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([] if empty else [(1, "far id"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = docs([] if empty else edge_rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        assert out.columns == table.columns and out.count() <= table.count()
+    found = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
+    assert (len(found) == 0) == empty
