@@ -61,5 +61,5 @@ def pinned(df: DataFrame, name: str = "table") -> DataFrame:
     the application's folder is removed.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
