@@ -83,4 +83,18 @@ QUERIES = {
 }
 
 #: What SQL can say of them; the others are compared with plain Python in the tests.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_dictionary": """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS hex, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS lead,
+    list_transform(range(8), lambda i: cast('0x' || substr(hex, 5 * i + 1, 5) AS bigint)) AS twenty_bits FROM p
+)
+SELECT page_id, cast(payload_bytes AS bigint) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(1 + ((list_extract(twenty_bits, cast(j // 4 + 1 AS int)) >> (5 * (3 - j % 4))) & 31) AS int), 1)), '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM f""",
+}
