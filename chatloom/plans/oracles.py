@@ -128,7 +128,7 @@ def _vectors(tokens_of, size=8):
     return f"""WITH t AS ({tokens_of}), p AS (
     SELECT doc_id, part, i, coalesce(avg(CASE WHEN token IS NOT NULL THEN 2 * ({bits}) - 1 END), 0) AS v
     FROM t, range({size}) r(i) GROUP BY 1, 2, 3)
-  SELECT doc_id, cast(i AS int) AS i, round(coalesce(avg(v), 0), 6) + 0.0 AS value
+  SELECT doc_id, cast(i AS int) AS i, round(coalesce(avg(v), 0) + 1e-9, 6) AS value
   FROM (SELECT doc_id, i FROM documents, range({size}) r(i)) LEFT JOIN p USING (doc_id, i) GROUP BY 1, 2"""
 
 

@@ -63,11 +63,16 @@ def replace(
     )
 
 
-def replace_csv(df: DataFrame, path: str, header: bool = False, single_file: bool = False) -> None:
-    """CSV whose text survives a round trip: quotes doubled, white space kept."""
+def replace_csv(
+    df: DataFrame, path: str, header: bool = False, single_file: bool = False, records_per_file: int = 0
+) -> None:
+    """CSV whose text survives a round trip: quotes doubled, white space kept.
+
+    Text with line breaks is read one task a file; ``records_per_file`` bounds those tasks.
+    """
     replace(
         df, path, "csv", single_file=single_file, header=header, escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=records_per_file,
     )
 
 
