@@ -10,7 +10,7 @@ from .. import schemas
 from ..functions.text import content_words, sentences
 from ..operators import features, metrics, models, sampling, series, stats
 from ..operators.messages import clean_messages
-from ..session import pinned
+from ..session import pinned, unpin
 from ..sources import readers, writers
 
 LABEL = "log10_superchats"
@@ -176,6 +176,7 @@ def write_samples(
     for n in sizes:
         paths.append(f"{folder.rstrip('/')}/sample_{n}")
         writers.replace_csv(sampling.sample_n(cleaned, n, seed), paths[-1], header=True)
+    unpin(cleaned)
     return paths
 
 

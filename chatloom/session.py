@@ -47,19 +47,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/chatloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, in a folder per application that can go after it."""
-    folder = f"{shared_folder(spark).rstrip('/')}/chatloom-{spark.sparkContext.applicationId}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder once, for callers that read it many times.
 
     A lost executor costs a re-read of the files, not a re-run of the lineage, and each reader
-    takes only the columns it needs. The files stay until
-    the application's folder is removed.
+    takes only the columns it needs. The files stay until ``unpin`` or ``remove_intermediate``.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._pinned_path = path
+    return table
+
+
+def unpin(*tables: DataFrame) -> None:
+    """Delete the files of ``pinned`` tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._pinned_path)
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, when its results are stored."""
+    _delete(spark, _application_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

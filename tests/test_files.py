@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom import schemas
-from chatloom.session import pinned, scratch_path, shared_folder, shuffle_settings
+from chatloom.session import pinned, scratch_path, shared_folder, shuffle_settings, unpin
 from chatloom.sources import readers, writers
 
 
@@ -164,6 +164,10 @@ def test_pinned_tables_live_in_the_shared_folder(spark):
     table = pinned(spark.range(5).withColumn("r", F.rand()))
     assert table.collect() == table.collect()
     assert all(folder in path for path in table.inputFiles())
+    place = table.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert os.path.exists(place)
+    unpin(table)
+    assert not os.path.exists(place)
 
 
 def test_score_records(spark):
