@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import pinned
+from chatloom.session import pinned, unpin
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select("b", "a")).toDF("a", "b")
     edges = pinned(both.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "links")
-    labels = None
+    labels, used = None, []
     while not edges.isEmpty():
         pointers = pinned(
             edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).select(F.col("a").alias("node"), "to"), "pointers"
@@ -30,6 +30,7 @@ def connected_components(links: DataFrame) -> DataFrame:
                 labels.join(pointers.select(F.col("node").alias("component"), "to"), "component", "left")
                 .select("node", F.coalesce("to", "component").alias("component"))
             )
+        used += [edges, pointers]
         edges = pinned(
             edges.join(pointers.toDF("a", "to_a"), "a").join(pointers.toDF("b", "to_b"), "b")
             .select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(),
@@ -37,4 +38,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return pinned(labels, "components")
+    components = pinned(labels, "components")
+    unpin(edges, *used)
+    return components

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.tokens import encoded_batches, tokenizer_path
 from chatloom.llm.workers import arrow_map
-from chatloom.session import pinned, scratch_path
+from chatloom.session import pinned, scratch_path, unpin
 
 END_ID = 2
 LIMIT = 18
@@ -363,4 +363,5 @@ def archived(docs: DataFrame, path: str | None = None, end_id: int = END_ID, fol
     ids = pinned(encoded(docs, path, end_id), "ids")
     folder = folder or scratch_path(spark, "huffman")
     write_files(ids, folder, **sizes)
+    unpin(ids)
     return folder
