@@ -8,11 +8,12 @@ recur, and their ids are kept; only pieces not met before go through the tokeniz
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces whose ids are kept in a worker; beyond that the memory starts anew.
+#: Pieces whose ids are kept in a worker; beyond that, the half met last is forgotten.
 KEPT_PIECES = 1_500_000
 #: Missing words that are encoded as one text.
 WORDS_A_CALL = 64
@@ -89,9 +90,10 @@ class PieceEncoder:
         known.update(zip(other, self._ids([" " + p for p in other]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self._after_blank) + len(self._alone) > self._kept:
-            self._after_blank.clear()
-            self._alone.clear()
+        for kept in (self._after_blank, self._alone):
+            if len(kept) > self._kept:  # frequent pieces are met early: those stay
+                for piece in list(islice(kept, self._kept // 2, None)):
+                    del kept[piece]
         split = [(text or "").split(" ") for text in texts]
         known = self._after_blank
         self._learn_after_blank({p for pieces in split for p in pieces[1:] if p not in known})
