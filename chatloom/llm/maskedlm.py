@@ -6,8 +6,8 @@ the conditional log-probabilities of its tokens.
 
 Symbols are the most frequent words of the corpus, by counts over all documents, and hash classes
 for all other words. Training visits all documents in rounds: in each, every task starts from the
-same weights, follows the gradient over its documents, and the tasks' weights are averaged by the
-number of tokens they saw. Weights meet in a grouped sum over parameters, so the driver holds one
+same weights, follows the gradient with each token of its documents as a target once, and the
+tasks' weights are averaged by the number of tokens they saw. Weights meet in a grouped sum over parameters, so the driver holds one
 network whatever the size of the corpus, and sums are of whole numbers, so their order is no
 matter.
 """
@@ -29,8 +29,6 @@ CLASSES = 64
 HIDDEN = 16
 SIDE = 2
 ROUNDS = 2
-#: Training predicts one token in so many, another one in each round; scoring predicts all.
-STRIDE = 8
 BATCH = 2048
 RATE = 0.1
 _UNIT = 2.0 ** 20
@@ -141,9 +139,13 @@ class Network:
         y[np.arange(len(target)), target] -= 1
         y /= len(target)
         inner = (y @ self.out.T) * (1 - h * h)
-        symbols = np.arange(self.size)
-        embed = [(symbols[:, None] == c).astype(np.float32) @ inner for c in context]
-        return np.concatenate([*(e.ravel() for e in embed), inner.sum(axis=0), (h.T @ y).ravel(), y.sum(axis=0)])
+        places, flat = np.arange(self.hidden), inner.ravel()
+        embed = [
+            np.bincount((c.astype(np.int64)[:, None] * self.hidden + places).ravel(), flat, self.size * self.hidden)
+            for c in context
+        ]
+        rest = [inner.sum(axis=0), (h.T @ y).ravel(), y.sum(axis=0)]
+        return np.concatenate([*embed, *rest]).astype(self.own.dtype)
 
 
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +182,9 @@ def _train(size: int, hidden: int, start: np.ndarray, turn: int):
         network = Network(size, hidden, start.copy())
         squares, seen = np.full(len(start), 1e-6, np.float32), 0
         rng = np.random.default_rng(turn)
-        for _, docs in _batches_of_documents(batches, BATCH * STRIDE * 8):
+        for _, docs in _batches_of_documents(batches, BATCH * 64):
             line, places = windows(docs)
-            places = rng.permutation(places[turn * STRIDE // 2 % STRIDE::STRIDE])
+            places = rng.permutation(places)
             for i in range(0, len(places), BATCH):
                 some = places[i:i + BATCH]
                 slope = network.gradient(_context(line, some), line[some])

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chatloom.llm import decontam, licenses, maskedlm, pii, quality
@@ -254,6 +255,19 @@ def test_windows_keep_documents_apart():
     assert maskedlm._context(line, places).T.tolist() == [[0, 0, 2, 3], [0, 1, 3, 0], [1, 2, 0, 0], [0, 0, 0, 0]]
 
 
+def test_every_token_is_a_target_in_each_round(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 7, n).astype(np.uint8) for n in (0, 1, 500, 3000, 17)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([x.tobytes() for x in texts])], names=["doc_id", "ids"])
+    targets, gradient = [], maskedlm.Network.gradient
+    monkeypatch.setattr(maskedlm.Network, "gradient", lambda self, c, t: targets.extend(t.tolist()) or gradient(self, c, t))
+    for turn in range(maskedlm.ROUNDS):
+        targets.clear()
+        rows = list(maskedlm._train(7, 3, maskedlm.Network(7, 3).own, turn)(iter([batch])))
+        assert Counter(targets) == Counter(np.concatenate(texts).tolist())
+        assert rows[0].column("x")[-1].as_py() == 3518
+
+
 def test_word_counts_and_scores(docs, edge_rows):
     rng = random.Random(11)
     ordered = [(1000 + i, "the cat sat on the mat , and the dog sat on the rug . " * 20) for i in range(60)]
