@@ -257,7 +257,7 @@ def test_windows_keep_documents_apart():
 
 def test_every_token_is_a_target_in_each_round(monkeypatch):
     rng = np.random.default_rng(5)
-    texts = [rng.integers(1, 7, n).astype(np.uint8) for n in (0, 1, 500, 3000, 17)]
+    texts = [rng.integers(1, 7, n).astype(np.uint32) for n in (0, 1, 500, 3000, 17)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([x.tobytes() for x in texts])], names=["doc_id", "ids"])
     targets, gradient = [], maskedlm.Network.gradient
     monkeypatch.setattr(maskedlm.Network, "gradient", lambda self, c, t: targets.extend(t.tolist()) or gradient(self, c, t))
@@ -282,3 +282,28 @@ def test_word_counts_and_scores(docs, edge_rows):
     assert max(by_id[2000 + i]["mean_log_prob"] for i in range(3)) < by_id[1000]["mean_log_prob"] < 0
     assert by_id[1000]["log_prob"] == pytest.approx(by_id[1000]["mean_log_prob"] * by_id[1000]["n_tokens"])
     assert maskedlm.scored(docs([])).collect() == []
+
+
+def test_symbols_sum_to_one():
+    network = maskedlm.Network(300, 4)
+    context = np.repeat(np.random.default_rng(6).integers(0, 300, (4, 1)), 300, axis=1)
+    assert np.exp(network.log_probabilities(context, np.arange(300, dtype=np.uint32))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_words_of_a_class_keep_their_identity(docs):
+    same = maskedlm.Symbols([], 1)
+    assert same["common"] == same["seldom"]
+    rows = [(1, "the common of the"), (2, "the seldom of the"), *[(10 + i, "a a common b b") for i in range(30)]]
+    found = {r["doc_id"]: r["log_prob"] for r in maskedlm.scored(docs(rows), top_words=2, classes=1).collect()}
+    words = Counter(w for _, t in rows for w in maskedlm.tokens(t))
+    assert found[1] - found[2] == pytest.approx(math.log(words["common"] / words["seldom"]), abs=1e-4)
+
+
+def test_symbols_follow_the_corpus(docs, monkeypatch):
+    assert maskedlm.sizes(0) == (127, 64) and maskedlm.sizes(9 * 10 ** 9) > (1300, 600) > maskedlm.sizes(10 ** 8) > (300, 150)
+    monkeypatch.setattr(maskedlm, "CHUNK", 500)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[i % 7::3])) for i in range(30)]
+    encoded, size = maskedlm.encoded(docs(rows), top_words=600, classes=100)
+    assert size == 701 and max(max(np.frombuffer(r["ids"], np.uint32)) for r in encoded.collect()) > 255
+    assert len(maskedlm.scored(docs(rows), top_words=600, classes=100, rounds=1).collect()) == 30
