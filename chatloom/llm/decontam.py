@@ -7,8 +7,8 @@ words: 1 if the passage holds all of them. All parts above the threshold are ret
 block-max WAND: posting lists are cut into blocks of parts with the highest score in each, a
 passage none of whose blocks can reach the threshold is passed over (tested for many passages at
 once), and in the others lists are advanced to the next part that can. An item with a retrieved
-part is then verified: five-word shingles of its question and of its answer, each for itself,
-must be in the document to ``OVERLAP`` or more.
+part is then verified: five-word shingles of its question and of its answer, each for itself, must
+be in the document to ``OVERLAP`` or more; of an item that is one text, those of the whole text.
 """
 
 import re
@@ -44,29 +44,16 @@ def shingles(seq: list[str], size: int = SHINGLE) -> set[tuple]:
     return set(zip(*(seq[i:] for i in range(size)), strict=False))
 
 
-def halves(text: str | None) -> tuple[list[str], list[str]]:
-    """Question and answer of an item without such columns.
-
-    The question ends with the first question mark; without one it is the first half of the words.
-    """
-    question, mark, answer = (text or "").partition("?")
-    if mark and words(question) and words(answer):
-        return words(question), words(answer)
-    all_words = words(text)
-    half = (len(all_words) + 1) // 2
-    return all_words[:half], all_words[half:]
-
-
 class Index:
     """Posting lists by term: parts in ascending order and their scores over the part's own."""
 
     def __init__(self, items: list[tuple]):
-        """``items``: (item_id, question words, answer words)."""
+        """``items``: (item_id, question words, answer words), or all words and None."""
         self.items = items
-        self.proofs = [(shingles(q), shingles(a)) for _, q, a in items]
+        self.proofs = [[shingles(side) for side in sides if side is not None] for _, *sides in items]
         parts, self.item_of = [], []
         for i, (_, q, a) in enumerate(items):
-            both = q + a
+            both = q + (a or [])
             for k in range(0, len(both), PART):
                 # the last part of a longer item ends where the item ends
                 k = max(0, min(k, len(both) - PART))
@@ -181,7 +168,7 @@ class Index:
                 else:
                     proofs.append(len(proof & held) / len(proof) if proof else 1.0)
             if min(proofs) >= overlap:
-                yield number, self.items[item][0], score, *proofs
+                yield number, self.items[item][0], score, proofs[0], proofs[-1]
 
 
 def indexes(items: DataFrame, question: str | None = None, answer: str | None = None, words_a_pass: int = WORDS_A_PASS):
@@ -198,7 +185,7 @@ def indexes(items: DataFrame, question: str | None = None, answer: str | None =
         some = rows.where(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(passes)) == i).toPandas()
         split = [
             (None if row.item_id != row.item_id else int(row.item_id),
-             *((words(row.q), words(row.a)) if question and answer else halves(row.q)))
+             words(row.q), words(row.a) if question and answer else None)
             for row in some.sort_values(["item_id", "q"]).itertuples()
         ]
         yield Index([x for x in split if x[1] or x[2]])
@@ -227,6 +214,7 @@ def contaminated(docs: DataFrame, found: list[Index], threshold: float = THRESHO
 
     ``docs`` needs ``doc_id`` and ``text``; others are ignored. Null and empty texts hold
     nothing. Rows that repeat an id are searched each. Without documents or items there is no row.
+    Both overlaps of an item that is one text are the whole text's.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None

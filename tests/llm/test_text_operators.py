@@ -100,6 +100,30 @@ def test_planted_items_are_found_and_clean_texts_are_not(spark, docs, edge_rows)
     assert again == found
 
 
+def test_near_copies_of_short_items_are_found(spark, docs):
+    rng = random.Random(12)
+    items = [["".join(rng.choices("aeioustrnl", k=9)) for _ in range(n)] for n in (30, 35, 40, 45, 50)]
+    rows = []
+    for i, item in enumerate(items):
+        changed, around = list(item), invented(rng, 60)
+        changed[len(item) // 4] = "changed"
+        rows += [(i, " ".join(around + changed + around)), (100 + i, " ".join(around + item[:-len(item) // 10] + around))]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontam.contaminated(docs(rows), list(decontam.indexes(table))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i % 100, i % 100) if i < 100 else (i, i - 100) for i, _ in rows}
+    kept = decontam.decontaminated(docs(rows), list(decontam.indexes(table))).collect()
+    assert kept == []
+
+
+def test_sides_of_named_columns_are_each_verified(spark, docs):
+    rng = random.Random(13)
+    q, a = invented(rng, 20), invented(rng, 20)
+    table = spark.createDataFrame([(1, " ".join(q), " ".join(a))], "item_id long, q string, a string")
+    rows = [(1, " ".join(q + a)), (2, " ".join(q + invented(rng, 20))), (3, " ".join(q[:15] + invented(rng, 5) + a))]
+    found = decontam.contaminated(docs(rows), list(decontam.indexes(table, "q", "a"))).collect()
+    assert [r["doc_id"] for r in found] == [1]
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = list(decontam.indexes(spark.createDataFrame([], "item_id long, text string")))
     assert decontam.contaminated(docs([(1, "a text")]), none).collect() == []
