@@ -5,6 +5,11 @@ are compared as multisets of bigrams of normalised words: 2 |both| / (|unit| + |
 that reaches the threshold has at least ``threshold / (2 - threshold)`` and at most the inverse of
 that times the template's bigrams, and holds enough bigrams known to any template; only templates
 that pass both bounds are compared.
+
+Notices that no unit holds by itself, of several paragraphs or amid other prose, are found as
+windows: runs of words anywhere in the text that begin and end with a bigram of the template. A
+run's gain, 2 |both| - threshold |run|, must reach threshold |template|; a start is left where its
+gain falls below zero, since a later one does no worse.
 """
 
 import re
@@ -116,6 +121,13 @@ def _pieces(text: str, start: int, end: int, mark: re.Pattern):
     yield at, end
 
 
+def _spots(text: str) -> list[tuple[int, int, str]]:
+    lower = text.lower()
+    if len(lower) == len(text):
+        return [(m.start(), m.end(), m[0].replace("licence", "license")) for m in _WORD.finditer(lower)]
+    return [(m.start(), m.end(), w) for m in _WORD.finditer(text) for w in words(m[0])]
+
+
 class Templates:
     def __init__(self, templates: dict[str, list[str]], threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -127,6 +139,10 @@ class Templates:
         self.templates.sort(key=lambda t: t[:2])
         self.known = {b for _, _, found in self.templates for b in found}
         ratio = threshold / (2 - threshold)
+        self.owners: dict[tuple, list[int]] = {}
+        for i, (_, _, found) in enumerate(self.templates):
+            for b in found:
+                self.owners.setdefault(b, []).append(i)
         self.one_word = any(second == "" for _, second in self.known)
         sizes = [n for n, _, _ in self.templates] or [0]
         self.ratio, self.least, self.most = ratio, min(sizes) * ratio - 1e-9, max(sizes) / ratio + 1e-9
@@ -149,11 +165,9 @@ class Templates:
     def matches(self, text: str):
         """(name, dice, start, end) of each unit's best template at the threshold or above."""
         # no unit can match if the text holds no bigram of any template
-        lower = text.lower()
         if not self.templates:
             return
-        spots = [(m.start(), m.end(), m[0].replace("licence", "license")) for m in _WORD.finditer(lower)] if len(lower) == len(text) else \
-            [(m.start(), m.end(), w) for m in _WORD.finditer(text) for w in words(m[0])]
+        spots = _spots(text)
         hits = [i for i in range(len(spots) - 1) if (spots[i][2], spots[i + 1][2]) in self.known]
         if not hits and not self.one_word:
             return
@@ -175,6 +189,61 @@ class Templates:
             if best:
                 yield best[1], best[0], a, b
 
+    def _runs(self, hits: list[int], pairs: list[tuple], n: int, template: Counter):
+        """(dice, first, last pair) of runs at the threshold, none over another."""
+        highest = gain = 0.0
+        for before, at in zip([hits[0], *hits], hits, strict=False):
+            gain = max(gain - self.threshold * max(0, at - before - 1), 0) + 2 - self.threshold
+            highest = max(highest, gain)
+        if highest < self.threshold * n - 1e-9:
+            return
+        k = 0
+        while k < len(hits):
+            best, used, common = None, Counter(), 0
+            for m in range(k, len(hits)):
+                size = hits[m] - hits[k] + 1
+                if size > n / self.ratio + 1e-9 or 2 * common < self.threshold * (size - 1):
+                    break
+                pair = pairs[hits[m]]
+                if used[pair] < template[pair]:
+                    used[pair] += 1
+                    common += 1
+                if 2 * common >= self.threshold * (size + n) - 1e-9 and (best is None or 2 * common / (size + n) > best[0]):
+                    best = 2 * common / (size + n), m
+            if best is None:
+                k += 1
+                continue
+            end, used, common, best = best[1], Counter(), 0, (0, 0)
+            for j in range(end, k - 1, -1):  # the best start for this end
+                pair = pairs[hits[j]]
+                if used[pair] < template[pair]:
+                    used[pair] += 1
+                    common += 1
+                best = max(best, (2 * common / (hits[end] - hits[j] + 1 + n), j))
+            yield best[0], hits[best[1]], hits[end]
+            k = end + 1
+
+    def found(self, text: str):
+        """``matches``, and windows that lie over no match or better window."""
+        units = list(self.matches(text))
+        yield from units
+        spots = _spots(text)
+        pairs = list(zip((w for _, _, w in spots), (w for _, _, w in spots[1:]), strict=False))
+        where: dict[int, list[int]] = {}
+        for i, pair in enumerate(pairs):
+            for t in self.owners.get(pair, ()):
+                where.setdefault(t, []).append(i)
+        windows = []
+        for t, hits in where.items():
+            n, name, template = self.templates[t]
+            if len(hits) >= self.ratio * n - 1e-9:
+                windows += [(-dice, n, name, spots[a][0], spots[b + 1][1]) for dice, a, b in self._runs(hits, pairs, n, template)]
+        taken = [(dice, name, a, b) for name, dice, a, b in units]
+        for minus, _, name, a, b in sorted(windows):
+            if not any(a < d and c < b and (other == name or dice >= -minus) for dice, other, c, d in taken):
+                taken.append((-minus, name, a, b))
+                yield name, -minus, a, b
+
 
 def _scan(templates: dict[str, list[str]], threshold: float):
     def run(batches):
@@ -184,7 +253,7 @@ def _scan(templates: dict[str, list[str]], threshold: float):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 found: dict[str, list] = {}
-                for name, dice, a, b in scanner.matches(text.as_py() or ""):
+                for name, dice, a, b in scanner.found(text.as_py() or ""):
                     found.setdefault(name, []).append((-dice, a, b))
                 for name, spans in sorted(found.items()):
                     dice, a, b = min(spans)
@@ -199,7 +268,7 @@ def _scan(templates: dict[str, list[str]], threshold: float):
 
 
 def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document and licence: how many units match, and the best one.
+    """One row for each document and licence: how many units and windows match, and the best one.
 
     A unit counts for the template of the highest coefficient; of equal ones, for the shorter
     template, then the name first in the alphabet. ``start`` and ``end`` are code points of the

@@ -41,6 +41,22 @@ def test_units_match_their_best_template(docs):
     assert licenses.scanned(docs([])).collect() == []
 
 
+def test_notices_across_pieces_are_found(docs):
+    breaks = {"MIT": ("The above copyright", "THE SOFTWARE IS"), "Apache-2.0": ("You may obtain", "Unless required"),
+              "GPL-3.0": ("This program is distributed", "You should have")}
+    prose = "A tale of rivers and hills, told at length to nobody in the house. " * 20
+    rows = []
+    for i, (name, marks) in enumerate(breaks.items()):
+        notice = licenses.TEMPLATES[name][-1] if name != "GPL-3.0" else licenses.TEMPLATES[name][2]
+        for mark in marks:
+            notice = notice.replace(mark, "\n\n" + mark)
+        rows += [(i, f"{prose}\n\n{notice}\n\n{prose}"), (10 + i, f"{prose}{' '.join(notice.split())} {prose}")]
+    rows += [(20, f"{prose}This work is licensed under the GNU\nGeneral Public License, version 3. {prose}"), (21, prose)]
+    found = {(r["doc_id"], r["license"]): r for r in licenses.scanned(docs(rows)).collect()}
+    assert set(found) == {(10 * k + i, name) for k in (0, 1) for i, name in enumerate(breaks)} | {(20, "GPL-3.0")}
+    assert all(r["dice"] > 0.95 for r in found.values())
+
+
 def test_pruning_loses_no_unit():
     rng = random.Random(4)
     words = "a b c d e f".split()
