@@ -96,6 +96,35 @@ TEMPLATES = {
     ],
 }
 
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+    IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+    A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+    DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+    PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+    CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+    OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+    DAMAGE."""
+_BSD_3 = TEMPLATES["BSD-3-Clause"][1]
+_BSD_2 = _BSD_3[:_BSD_3.index("3. Neither")]
+_GPL_3 = TEMPLATES["GPL-3.0"][2]
+_MPL = "Mozilla Public License"
+TEMPLATES["BSD-3-Clause"] += [f"{_BSD_3} {_BSD_DISCLAIMER}"]
+TEMPLATES["MPL-2.0"] += [f"Licensed under the {_MPL}, version 2.0.", f"Licensed under the {_MPL} 2.0."]
+TEMPLATES["ISC"] += ["Licensed under the ISC License.", "Released under the ISC License."]
+TEMPLATES |= {
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD_2, f"{_BSD_2} {_BSD_DISCLAIMER}"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.", _GPL_3.replace("version 3", "version 2"),
+    ],
+    "CC0-1.0": ["Licensed under CC0 1.0 Universal.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
+}
+for _name, _kind in (("LGPL-3.0", "Lesser"), ("AGPL-3.0", "Affero")):
+    TEMPLATES[_name] = [
+        f"Licensed under the GNU {_kind} General Public License, version 3.",
+        " ".join(_GPL_3.split()).replace("GNU General", f"GNU {_kind} General"),
+    ]
+
 _WORD = re.compile(r"\w+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -267,14 +296,20 @@ def _scan(templates: dict[str, list[str]], threshold: float):
     return run
 
 
-def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scanned(
+    docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, further: DataFrame | None = None
+) -> DataFrame:
     """One row for each document and licence: how many units and windows match, and the best one.
 
     A unit counts for the template of the highest coefficient; of equal ones, for the shorter
     template, then the name first in the alphabet. ``start`` and ``end`` are code points of the
     best unit (the first of equal ones). Null and empty texts have no row, nor has an empty
     table; rows that repeat an id are scanned each; columns other than ``doc_id`` and ``text``
-    are ignored.
+    are ignored. ``further`` has templates more, such as full texts, by ``license`` and ``text``.
     """
+    templates = {name: list(texts) for name, texts in (templates or TEMPLATES).items()}
+    for row in further.where("license IS NOT NULL AND text IS NOT NULL").collect() if further is not None else []:
+        if words(row["text"]):
+            templates.setdefault(row["license"], []).append(row["text"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, _scan(templates or TEMPLATES, threshold), FOUND)
+    return arrow_map(rows, _scan(templates, threshold), FOUND)

@@ -57,6 +57,16 @@ def test_notices_across_pieces_are_found(docs):
     assert all(r["dice"] > 0.95 for r in found.values())
 
 
+def test_each_template_is_found_as_its_own(spark, docs):
+    rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, ts in licenses.TEMPLATES.items() for t in ts)]
+    found = {r["doc_id"]: r["license"] for r in licenses.scanned(docs([(i, t) for i, _, t in rows])).collect() if r["dice"] == 1}
+    assert found == {i: name for i, name, _ in rows}
+    assert {"LGPL-3.0", "AGPL-3.0", "GPL-2.0", "BSD-2-Clause", "CC0-1.0"} <= set(found.values())
+    full = " ".join(f"clause{i} says this" for i in range(900))
+    table = spark.createDataFrame([("Own-1.0", full), ("None", None)], "license string, text string")
+    assert [r["license"] for r in licenses.scanned(docs([(1, "Before. " + full + " After.")]), further=table).collect()] == ["Own-1.0"]
+
+
 def test_pruning_loses_no_unit():
     rng = random.Random(4)
     words = "a b c d e f".split()
