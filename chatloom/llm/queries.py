@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import ann, decontam, huffman, licenses, maskedlm, packing, pii, quality, simhash, warc
+from chatloom.llm import (
+    alignment, ann, decontam, huffman, licenses, maskedlm, packing, pii, quality, simhash, treebpe, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,19 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op11_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents")).drop("groups")
+
+
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treebpe.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_simhash_components": op2_simhash_components,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_skip_chain_pii": op8_skip_chain_pii,
     "op9_collision_counting": op9_collision_counting,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op11_incremental_whitening": op11_incremental_whitening,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_tree_bpe": op13_tree_bpe,
 }
 
 #: What SQL can say of them; the others are compared with plain Python in the tests.
