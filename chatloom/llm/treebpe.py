@@ -5,7 +5,9 @@ neighbours are joined two by two up a tree. A join re-encodes a window around th
 until it agrees with both sides, and keeps everything outside of it. What agreement has to mean
 follows from how the tokenizer works:
 
-- Its splitting rule scans forward without looking back. A split of the left side is final once
+- It always splits a text before a blank between two visible letters, so between two such places a
+  window agrees with both sides.
+- Elsewhere, its splitting rule scans forward without looking back. A split of the left side is final once
   ``SEEN`` bytes follow it, which is more than the rule ever looks ahead; and from the first split
   that the window shares with the right side on, the right side's splits are final too.
 - Inside a piece that the rule does not split, a row of tokens is the encoding if and only if each
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.tokens import tokenizer_path
+from chatloom.llm.tokens import PieceEncoder, tokenizer_path
 from chatloom.llm.workers import arrow_map, group_map
 
 #: Bytes of a leaf and of a segment, at most.
-LEAF = 4096
+LEAF = 8192
 SEGMENT = 65_536
 #: The first window reaches this many bytes to each side of a cut.
 WINDOW = 64
@@ -68,12 +70,12 @@ def halves(data: bytes, size: int) -> list[int]:
 
 
 class Node:
-    """Ids of a stretch of bytes, where each token ends in it, and whether a split is there too."""
+    """Ids of the stretch of bytes that begins at ``start``, and where each token ends."""
 
-    __slots__ = ("ids", "ends", "splits")
+    __slots__ = ("ids", "ends", "start")
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, splits: np.ndarray):
-        self.ids, self.ends, self.splits = ids, ends, splits
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, start: int):
+        self.ids, self.ends, self.start = ids, ends, start
 
 
 class TreeEncoder:
@@ -90,7 +92,9 @@ class TreeEncoder:
         self._merge = self._tokenizer.model.tokenize
         self._split = self._tokenizer.pre_tokenizer.pre_tokenize_str
         self._letters = str.maketrans(dict(zip(map(chr, range(256)), byte_letters(), strict=True)))
+        self._pieces = PieceEncoder(path)
         self._known: dict[bytes, list[int]] = {}
+        self._windows: dict[bytes, np.ndarray] = {}
         self.leaf, self.window = max(leaf, 4), max(window, 1)
 
         to_byte = {c: b for b, c in enumerate(byte_letters())}
@@ -114,47 +118,71 @@ class TreeEncoder:
         found = self._cut.split(text)
         return [(b"", self._special[x]) if i % 2 else (x.encode(), None) for i, x in enumerate(found) if x]
 
-    def encode_parts(self, parts: list[bytes], bounds: bool = False) -> list[Node]:
-        """Nodes of ordinary texts, all of their leaves encoded at once and joined as a tree.
-
-        A text of one leaf has no ``ends`` and ``splits`` unless ``bounds`` asks for them.
-        """
+    def encode_parts(self, parts: list[bytes]) -> list[Node]:
+        """Nodes of ordinary texts, all of their leaves encoded at once and joined as a tree."""
         cuts = [halves(data, self.leaf) for data in parts]
-        found = {True: [], False: []}
-        for data, c in zip(parts, cuts, strict=True):
-            found[bounds or len(c) > 2] += [data[a:b].decode() for a, b in zip(c, c[1:], strict=False)]
-        # only the slower call tells where the text is split
-        found = {
-            True: iter(self._tokenizer.encode_batch(found[True], add_special_tokens=False)),
-            False: iter(self._tokenizer.encode_batch_fast(found[False], add_special_tokens=False)),
-        }
-        out = []
-        for data, c in zip(parts, cuts, strict=True):
-            known = bounds or len(c) > 2
-            out.append(self.joined(data, [self._node(next(found[known]), a, known) for a in c[:-1]]))
-        return out
-
-    def _node(self, found, start: int, bounds: bool) -> Node:
-        ids = np.array(found.ids, np.uint32)
-        if not bounds:
-            return Node(ids, np.zeros(0, np.int64), np.zeros(0, bool))
-        words = np.array(found.word_ids, np.int64)
-        return Node(ids, start + np.cumsum(self._sizes[ids]), np.append(words[1:] != words[:-1], True))
+        leaves = [data[a:b].decode() for data, c in zip(parts, cuts, strict=True) for a, b in zip(c, c[1:], strict=False)]
+        found = iter(self._pieces.encode(leaves))
+        return [
+            self.joined(data, [self.node(np.frombuffer(next(found), "<u4"), a) for a in c[:-1]])
+            for data, c in zip(parts, cuts, strict=True)
+        ]
+
+    def node(self, ids: np.ndarray, start: int) -> Node:
+        return Node(ids, start + np.cumsum(self._sizes[ids]), start)
+
+    def _splits(self, data: bytes, node: Node) -> np.ndarray:
+        """For each token of ``node``, whether the text is split behind it."""
+        pieces = self._split(data[node.start:int(node.ends[-1])].decode())
+        at = node.start + np.cumsum([len(piece) for piece, _ in pieces])
+        splits = np.zeros(len(node.ids), bool)
+        splits[np.searchsorted(node.ends, at)] = True
+        return splits
 
     def joined(self, data: bytes, nodes: list[Node]) -> Node:
         """One node of neighbouring ones, two by two; their ends count from the start of ``data``."""
         while len(nodes) > 1:
             pairs = [self.join(data, a, b) for a, b in zip(nodes[::2], nodes[1::2], strict=False)]
             nodes = pairs + nodes[len(pairs) * 2:]
-        return nodes[0] if nodes else Node(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
+        return nodes[0] if nodes else Node(np.zeros(0, np.uint32), np.zeros(0, np.int64), 0)
 
     def join(self, data: bytes, left: Node, right: Node) -> Node:
-        first = int(left.ends[0] - self._sizes[left.ids[0]])
-        cut, last = int(left.ends[-1]), int(right.ends[-1])
-        final = np.flatnonzero(left.splits & (left.ends <= cut - SEEN))
-        keep = int(final[-1]) + 1 if len(final) else 0  # tokens of the left side before the window
-        start = int(left.ends[keep - 1]) if keep else first
-        right_splits = right.ends[right.splits]
+        cut, reach = right.start, self.window
+        while reach <= SHORT:
+            low = max(left.start, cut - reach)
+            before = data.rfind(b" ", low + 1, cut)
+            while before > 0 and not _LONE_BLANK.match(data, before - 1):
+                before = data.rfind(b" ", low + 1, before)
+            after = _LONE_BLANK.search(data, cut - 1, min(int(right.ends[-1]), cut + reach))
+            if before > 0 and after:
+                return self._spliced(left, right, before, after.start() + 1, self._window(data[before:after.start() + 1]))
+            reach *= 2
+        return self._join_unsplit(data, left, right)
+
+    def _spliced(self, left: Node, right: Node, start: int, stop: int, ids: np.ndarray) -> Node:
+        """The left side up to ``start``, the window's ids, and the right side from ``stop`` on."""
+        keep, drop = np.searchsorted(left.ends, start, "right"), np.searchsorted(right.ends, stop, "right")
+        ends = start + np.cumsum(self._sizes[ids])
+        return Node(
+            np.concatenate((left.ids[:keep], ids, right.ids[drop:])),
+            np.concatenate((left.ends[:keep], ends, right.ends[drop:])), left.start,
+        )
+
+    def _window(self, piece: bytes) -> np.ndarray:
+        if piece not in self._windows:
+            if len(self._windows) >= _KEPT:
+                self._windows.clear()
+            ids = self._tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+            self._windows[piece] = np.array(ids, np.uint32)
+        return self._windows[piece]
+
+    def _join_unsplit(self, data: bytes, left: Node, right: Node) -> Node:
+        """A join of sides without sure splits near the cut."""
+        cut, last = right.start, int(right.ends[-1])
+        left_splits, right_splits = self._splits(data, left), self._splits(data, right)
+        final = np.flatnonzero(left_splits & (left.ends <= cut - SEEN))
+        start = int(left.ends[final[-1]]) if len(final) else left.start
+        right_ends = right.ends[right_splits]
         reach, agreed = self.window, None
         while agreed is None:
             stop = min(last, cut + reach)
@@ -165,24 +193,16 @@ class TreeEncoder:
                 spans.append((at, at + len(piece)))
                 at += len(piece)
                 if at >= cut and (stop == last or at <= stop - SEEN):
-                    i = int(np.searchsorted(right_splits, at))
-                    if i < len(right_splits) and right_splits[i] == at:
+                    i = int(np.searchsorted(right_ends, at))
+                    if i < len(right_ends) and right_ends[i] == at:
                         agreed = at
                         break
             reach *= 2
-        ids, ends, splits = [], [], []
+        ids = []
+        sides = (left, left_splits), (right, right_splits)
         for a, b in spans:
-            new = self._short(data[a:b]) if b - a <= SHORT else self._long(data, a, b, cut, left, right)
-            ids += new
-            splits += [False] * (len(new) - 1) + [True]
-        new_ids = np.array(ids, np.uint32)
-        ends = start + np.cumsum(self._sizes[new_ids])
-        drop = int(np.searchsorted(right.ends, agreed, "right"))
-        return Node(
-            np.concatenate((left.ids[:keep], new_ids, right.ids[drop:])),
-            np.concatenate((left.ends[:keep], ends, right.ends[drop:])),
-            np.concatenate((left.splits[:keep], np.array(splits, bool), right.splits[drop:])),
-        )
+            ids += self._short(data[a:b]) if b - a <= SHORT else self._long(data, a, b, cut, *sides)
+        return self._spliced(left, right, start, agreed, np.array(ids, np.uint32))
 
     def _merged(self, piece: bytes) -> list[int]:
         return [token.id for token in self._merge(piece.decode("latin-1").translate(self._letters))]
@@ -194,10 +214,10 @@ class TreeEncoder:
             self._known[piece] = self._merged(piece)
         return self._known[piece]
 
-    def _long(self, data: bytes, a: int, b: int, cut: int, left: Node, right: Node) -> list[int]:
+    def _long(self, data: bytes, a: int, b: int, cut: int, left: tuple, right: tuple) -> list[int]:
         """Ids of the unsplit piece ``data[a:b]`` from those of its stretches on both sides of the cut."""
-        known_left = self._inside(left, a, cut, from_start=True) if a < cut else None
-        known_right = self._inside(right, max(a, cut), b, from_start=False)
+        known_left = self._inside(*left, a, cut, from_start=True) if a < cut else None
+        known_right = self._inside(*right, max(a, cut), b, from_start=False)
         reach = self.window
         while True:
             low, i = a, 0
@@ -216,19 +236,19 @@ class TreeEncoder:
                 return [*before, *new[p:q], *after]
             reach *= 2
 
-    def _inside(self, node: Node, a: int, b: int, from_start: bool):
+    def _inside(self, node: Node, splits: np.ndarray, a: int, b: int, from_start: bool):
         """(starts, ends, ids) of the tokens of the one unsplit stretch of ``node`` that begins at ``a`` or ends at ``b``."""
         starts = node.ends - self._sizes[node.ids]
         if from_start:
             i = int(np.searchsorted(starts, a))
             if i == len(starts) or starts[i] != a:
                 return None
-            j = i + int(np.argmax(node.splits[i:])) + 1
+            j = i + int(np.argmax(splits[i:])) + 1
         else:
             j = int(np.searchsorted(node.ends, b)) + 1
             if j > len(node.ends) or node.ends[j - 1] != b:
                 return None
-            before = np.flatnonzero(node.splits[:j - 1])
+            before = np.flatnonzero(splits[:j - 1])
             i = int(before[-1]) + 1 if len(before) else 0
             i = max(i, int(np.searchsorted(starts, a)))
             if i >= j:
@@ -315,8 +335,11 @@ def _segments(path: str, segment: int):
     return run
 
 
+#: A blank between two visible letters; what follows it may stand beyond the window.
+_LONE_BLANK = re.compile(rb"[!-~] (?=[!-~])")
+
 CUT = "doc_id long, hash string, number long, part long, special long, data binary"
-DONE = "doc_id long, hash string, number long, part long, copies long, data binary, ids binary, ends binary, splits binary"
+DONE = "doc_id long, hash string, number long, part long, copies long, data binary, ids binary"
 
 
 def _encode_segments(path: str, leaf: int):
@@ -326,15 +349,12 @@ def _encode_segments(path: str, leaf: int):
             for i in range(0, batch.num_rows, 16):
                 some = batch.slice(i, 16)
                 data, special = some.column("data").to_pylist(), some.column("special").to_pylist()
-                found = iter(encoder.encode_parts([d for d, s in zip(data, special, strict=True) if s is None], bounds=True))
-                nodes = [next(found) if s is None else Node(np.array([s], np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
-                         for s in special]
+                found = iter(encoder.encode_parts([d for d, s in zip(data, special, strict=True) if s is None]))
+                ids = [next(found).ids if s is None else np.array([s], np.uint32) for s in special]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(c) for c in ("doc_id", "hash", "number", "part", "copies", "data")]
-                    + [pa.array([x.ids.astype("<u4").tobytes() for x in nodes], pa.binary()),
-                       pa.array([x.ends.astype("<u4").tobytes() for x in nodes], pa.binary()),
-                       pa.array([x.splits.tobytes() for x in nodes], pa.binary())],
-                    names=["doc_id", "hash", "number", "part", "copies", "data", "ids", "ends", "splits"],
+                    + [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    names=["doc_id", "hash", "number", "part", "copies", "data", "ids"],
                 )
 
     return run
@@ -348,9 +368,8 @@ def _join_segments(path: str, leaf: int):
         for _, some in rows.groupby("part", sort=True):
             data = b"".join(some["data"])
             nodes, start = [], 0
-            for ids, ends, splits, piece in zip(some["ids"], some["ends"], some["splits"], some["data"], strict=True):
-                ends = start + np.frombuffer(ends, "<u4").astype(np.int64)
-                nodes.append(Node(np.frombuffer(ids, "<u4"), ends, np.frombuffer(splits, bool)))
+            for ids, piece in zip(some["ids"], some["data"], strict=True):
+                nodes.append(encoder.node(np.frombuffer(ids, "<u4"), start))
                 start += len(piece)
             out.append(encoder.joined(data, nodes).ids)
         ids = np.concatenate([np.zeros(0, np.uint32), *out])
