@@ -31,6 +31,8 @@ PIECES = "piece_bpe_32k.model"
 BATCH_BYTES = 4_000_000
 BATCH_DOCS = 4096
 _KEPT = 1_000_000
+#: Bits of a byte offset in a key of document and offset, and of an id in a pair's.
+_KEY_BITS, _ID_BITS = 40, 31
 #: A blank between two other letters, and what makes it more than a plain split at blanks.
 _LONE_BLANK = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 _BLANKS = re.compile("  |▁|^ | $")
@@ -132,15 +134,16 @@ def joined_bytes(ids: pa.ListArray, table: pa.Array) -> pa.Array:
 
 
 def token_table(ids: pa.ListArray, table: pa.Array) -> pa.Table:
-    """One row a token: ``doc`` (its list), ``id``, and ``end``, its byte offset in its document."""
-    doc = pc.list_parent_indices(ids).cast(pa.int32())
+    """One row a token: ``doc`` (its list), ``id``, and ``key``, which says its document and its byte offset there."""
+    doc = pc.list_parent_indices(ids)
     flat = pc.list_flatten(ids)
     sizes = pc.take(pc.binary_length(table), flat).cast(pa.int64())
     running = pc.cumulative_sum(sizes)
     # what all documents before this one take
     padded = pa.concat_arrays([pa.array([0], pa.int64()), running])
     before = pc.take(padded, ids.offsets.cast(pa.int64()))
-    return pa.table({"doc": doc, "id": flat, "end": pc.subtract(running, pc.take(before, doc))})
+    end = pc.subtract(running, pc.take(before, doc))
+    return pa.table({"doc": doc, "id": flat, "key": pc.add(pc.shift_left(doc, pa.scalar(_KEY_BITS, pa.int64())), end)})
 
 
 def groups_of(tokens: pa.Table, common: pa.Array) -> pa.Array:
@@ -150,36 +153,50 @@ def groups_of(tokens: pa.Table, common: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens["id"].combine_chunks().cast(pa.string())), ",")
 
 
-def _numbered(tokens: pa.Table, name: str) -> pa.Table:
-    return tokens.append_column(name, pa.array(np.arange(len(tokens), dtype=np.int64)))
-
-
-def _flags(size: int, at: pa.ChunkedArray) -> pa.Array:
+def _flags(size: int, at: np.ndarray) -> pa.Array:
     flags = np.zeros(size, bool)
-    flags[at.to_numpy()] = True
+    flags[at] = True
     return pa.array(flags)
 
 
-def aligned_batch(a: pa.ListArray, b: pa.ListArray, a_bytes: pa.Array, b_bytes: pa.Array) -> dict[str, pa.Array]:
+def aligned_batch(a: pa.ListArray, b: pa.ListArray, a_bytes: pa.Array, b_bytes: pa.Array) -> dict:
     """Groups and links of documents whose tokens have the same bytes on both sides.
 
-    ``groups`` and ``n_groups`` have a row for each document, ``links`` is a table of (doc, a, b, n).
+    ``groups``, ``n_groups`` and ``n_links`` have a row for each document; ``links`` is a table of
+    (doc, pair, n) and ``pairs`` one of (a, b, n), to whose rows ``pair`` points.
     """
-    left, right = _numbered(token_table(a, a_bytes), "at_a"), _numbered(token_table(b, b_bytes), "at_b")
-    both = left.rename_columns(["doc", "a", "end", "at_a"]).join(
-        right.rename_columns(["doc", "b", "end", "at_b"]), ["doc", "end"], join_type="inner", use_threads=False
+    left, right = token_table(a, a_bytes), token_table(b, b_bytes)
+    number = lambda t: pa.array(np.arange(len(t), dtype=np.int32))
+    both = pa.table({"key": left["key"], "at_a": number(left)}).join(
+        pa.table({"key": right["key"], "at_b": number(right)}), "key", join_type="inner", use_threads=False
     )
-    ends_a, ends_b = _flags(len(left), both["at_a"]), _flags(len(right), both["at_b"])
+    at_a, at_b = both["at_a"].to_numpy(), both["at_b"].to_numpy()
+    ends_a, ends_b = _flags(len(left), at_a), _flags(len(right), at_b)
     groups = pc.binary_join_element_wise(groups_of(left, ends_a), groups_of(right, ends_b), "|")
-    n_docs = len(a)
+    n_docs, doc = len(a), pc.take(left["doc"], at_a)
     counts = np.bincount(left["doc"].filter(ends_a).to_numpy(), minlength=n_docs)
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-    links = both.group_by(["doc", "a", "b"], use_threads=False).aggregate([([], "count_all")])
+    bits = pa.scalar(_ID_BITS, pa.int64())
+    ids = pc.add(pc.shift_left(pc.take(left["id"], at_a).cast(pa.int64()), bits), pc.take(right["id"], at_b).cast(pa.int64()))
+    coded = ids.combine_chunks().dictionary_encode()
+    pair = coded.indices.cast(pa.int64())
+    key = pc.add(pc.shift_left(doc, pa.scalar(32, pa.int64())), pair)
+    links = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+    pairs = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
+    low = pa.scalar((1 << _ID_BITS) - 1, pa.int64())
     return {
         "groups": pc.binary_join(pa.ListArray.from_arrays(offsets, groups), ";"),
         "n_groups": pa.array(counts, pa.int64()),
-        "n_links": pa.array(np.bincount(both["doc"].to_numpy(), minlength=n_docs), pa.int64()),
-        "links": links.rename_columns(["doc", "a", "b", "n"]),
+        "n_links": pa.array(np.bincount(doc.to_numpy(), minlength=n_docs), pa.int64()),
+        "links": pa.table({
+            "doc": pc.shift_right(links["key"], pa.scalar(32, pa.int64())).cast(pa.int32()),
+            "pair": pc.bit_wise_and(links["key"], pa.scalar((1 << 32) - 1, pa.int64())).cast(pa.int32()),
+            "n": links["count_all"].cast(pa.int32()),
+        }),
+        "pairs": pa.table({
+            "a": pc.shift_right(coded.dictionary, bits).cast(pa.int32()),
+            "b": pc.bit_wise_and(coded.dictionary, low).cast(pa.int32()), "n": pairs["count_all"],
+        }),
     }
 
 
@@ -197,10 +214,7 @@ def _batch(keys: list, texts: list[str | None], tokenizers, with_groups: bool) -
         a = lists([np.asarray(x.values) if k else np.zeros(0, np.int32) for x, k in zip(a, keep, strict=True)])
         b = lists([np.asarray(x.values) if k else np.zeros(0, np.int32) for x, k in zip(b, keep, strict=True)])
     found = aligned_batch(a, b, first.bytes, second.bytes)
-    links = found["links"]
-    pairs = links.group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")])
-    pairs = pairs.append_column("pair", pa.array(np.arange(len(pairs), dtype=np.int32)))
-    links = links.join(pairs.select(["a", "b", "pair"]), ["a", "b"], use_threads=False)
+    links, pairs = found["links"], found["pairs"]
     groups = found["groups"].to_pylist()
     hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
     # a name that a repeated task gives again: what the batch holds, not when it ran
@@ -208,15 +222,15 @@ def _batch(keys: list, texts: list[str | None], tokenizers, with_groups: bool) -
     digest.update(repr(keys).encode())
     name = digest.hexdigest()
     pair = pa.StructArray.from_arrays(
-        [pairs["a"].combine_chunks(), pairs["b"].combine_chunks(), pairs["n_sum"].combine_chunks().cast(pa.int64())], ["a", "b", "n"]
+        [pairs[c].combine_chunks() for c in ("a", "b", "n")], ["a", "b", "n"]
     )
     columns = {
         "doc_id": pa.array(keys, pa.int64()), "n_a": pc.list_value_length(a).cast(pa.int64()),
         "n_b": pc.list_value_length(b).cast(pa.int64()), "n_groups": found["n_groups"], "n_links": found["n_links"],
         "groups_sha256": pa.array(hashes, pa.string()),
         "groups": pa.array(groups if with_groups else [], pa.string()),
-        "link_doc": links["doc"].combine_chunks().cast(pa.int32()),
-        "link_pair": links["pair"].combine_chunks(), "link_n": links["n"].combine_chunks().cast(pa.int32()), "pair": pair,
+        "link_doc": links["doc"].combine_chunks(),
+        "link_pair": links["pair"].combine_chunks(), "link_n": links["n"].combine_chunks(), "pair": pair,
     }
     return pa.RecordBatch.from_arrays(
         [pa.array([name], pa.string())]
