@@ -34,6 +34,7 @@ SEGMENT_IDS = BLOCK_IDS * 1024
 IDS_A_FILE = 4_000_000
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
+COUNTS = ", counts array<struct<token:long,n:long>>"
 DIGESTS = "file string, number long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -191,43 +192,61 @@ def read_file(content: bytes):
 
 # ---------------------------------------------------------------------------- Spark
 
-def _encode(path: str, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+def _encode(path: str, end_id: int, with_counts: bool):
+    counts_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+    schema = pa.schema([*fields, ("counts", counts_type)] if with_counts else fields)
 
     def run(batches):
+        total = np.zeros(0, np.int64)
         for keys, found in encoded_batches(batches, path, end_id):
             # two bytes for an id where all of a document's ids allow it: see _wide
             narrow = [np.frombuffer(x, "<u4") for x in found]
             stored = [x.astype("<u2").tobytes() if x.max() < 65_536 else x.tobytes() for x in narrow]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([len(x) for x in narrow], pa.int64()), pa.array(stored, pa.binary())],
-                schema=schema,
-            )
+            columns = [pa.array(keys, pa.int64()), pa.array([len(x) for x in narrow], pa.int64()), pa.array(stored, pa.binary())]
+            if with_counts:
+                total = _added(total, np.bincount(np.concatenate(narrow)))
+                columns.append(pa.nulls(len(keys), counts_type))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        some = np.flatnonzero(total)
+        if len(some):  # one more row has the counts of all of these
+            pairs = pa.StructArray.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["token", "n"])
+            counts = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pairs)
+            nulls = [pa.nulls(1, kind) for _, kind in fields]
+            yield pa.RecordBatch.from_arrays([*nulls, counts], schema=schema)
 
     return run
 
 
+def _added(total: np.ndarray, found: np.ndarray) -> np.ndarray:
+    if len(found) > len(total):
+        total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
+    total[:len(found)] += found
+    return total
+
+
 def _wide(ids: bytes, count: int) -> bytes:
     return ids if len(ids) == 4 * count else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def encoded(
+    docs: DataFrame, path: str | None = None, end_id: int = END_ID, with_counts: bool = False
+) -> DataFrame:
     """``doc_id``, ``n_tokens`` and the ids of each whole text, ``end_id`` included.
 
-    Ids are little-endian, in two bytes each where they fit, else in four.
+    Ids are little-endian, in two bytes each where they fit, else in four. ``with_counts`` adds a
+    column ``counts`` that is null for texts, and a row for each partition with nothing but the
+    counts of its ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, _encode(path or tokenizer_path(), end_id), ENCODED)
+    return arrow_map(rows, _encode(path or tokenizer_path(), end_id, with_counts), ENCODED + (COUNTS if with_counts else ""))
 
 
 def _count(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
         for n, ids in zip(batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            found = np.bincount(np.frombuffer(_wide(ids, n), "<u4"))
-            if len(found) > len(total):
-                total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
-            total[:len(found)] += found
+            total = _added(total, np.bincount(np.frombuffer(_wide(ids, n), "<u4")))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["token", "n"]
@@ -267,13 +286,15 @@ def _write(lengths: np.ndarray, limit: int, segment_ids: int):
 
 
 def write_files(
-    ids: DataFrame, folder: str, limit: int = LIMIT, ids_a_file: int = IDS_A_FILE, segment_ids: int = SEGMENT_IDS
+    ids: DataFrame, folder: str, limit: int = LIMIT, ids_a_file: int = IDS_A_FILE, segment_ids: int = SEGMENT_IDS,
+    counts: DataFrame | None = None,
 ) -> None:
     """Writes ``encoded`` rows to files in ascending ``doc_id``, about ``ids_a_file`` ids each.
 
-    The counts that reach the driver are one for each id of the vocabulary at most.
+    ``counts`` (``token``, ``n``) are taken from ``ids`` unless given. Those that reach the driver
+    are one for each id of the vocabulary at most.
     """
-    counts = token_counts(ids).toPandas()
+    counts = (token_counts(ids) if counts is None else counts).toPandas()
     by_id = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1, np.int64)
     by_id[counts["token"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     files = max(1, -(-int(by_id.sum()) // ids_a_file))
@@ -337,13 +358,19 @@ def read_ids(spark, folder: str) -> DataFrame:
 def read_digests(spark, folder: str) -> DataFrame:
     """One row for each document in the files, with a checksum of its ids.
 
-    ``start`` counts the ids of all documents before it. It takes the sums of whole files,
-    a row for each, and a running sum inside each file.
+    ``start`` counts the ids of all documents before it: the sum over all thousands of files before
+    its own, over the files before it in its thousand, and inside its file.
     """
     rows = pinned(arrow_map(_files(spark, folder), _digest, DIGESTS), "digests")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    before = F.coalesce(F.sum("ids").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids")).withColumn("part", part)
+    files = files.withColumn("thousand", F.floor(F.col("part") / 1000))
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    thousands = files.groupBy("thousand").agg(F.sum("ids").alias("ids"))
+    thousands = thousands.select("thousand", earlier(Window.orderBy("thousand")).alias("all_before"))
+    near = earlier(Window.partitionBy("thousand").orderBy("part"))
+    files = files.withColumn("near", near).join(thousands, "thousand")
+    before = F.col("all_before") + F.col("near")
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("number")) - F.col("n_tokens")
     return (
         rows.withColumn("_inside", inside)
@@ -360,8 +387,9 @@ def archived(docs: DataFrame, path: str | None = None, end_id: int = END_ID, fol
     a ``doc_id`` are kept, ordered by a hash of their ids. An empty table gives no document.
     """
     spark = docs.sparkSession
-    ids = pinned(encoded(docs, path, end_id), "ids")
+    rows = pinned(encoded(docs, path, end_id, with_counts=True), "ids")
+    counts = rows.where("counts IS NOT NULL").select(F.inline("counts")).groupBy("token").agg(F.sum("n").alias("n"))
     folder = folder or scratch_path(spark, "huffman")
-    write_files(ids, folder, **sizes)
-    unpin(ids)
+    write_files(rows.where("counts IS NULL").drop("counts"), folder, counts=counts, **sizes)
+    unpin(rows)
     return folder
