@@ -3,6 +3,7 @@
 from ..functions.fixed_values import (
     PUNCTUATION, STOP_WORDS, WEB_TOKEN, WHITESPACE, emoji_character_pattern, emoji_pattern,
 )
+from . import fitted_sql
 from .registry import _EMOJI_TEXT
 
 
@@ -160,6 +161,12 @@ TARGETS = """(SELECT author, period, log10(superchats) AS label, split FROM
    FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) JOIN """ + MONTHS.format(
     "WHERE l_returnflag = 'R'") + " USING (period))"
 
+_HELD_OUT = MONTHS.format("WHERE l_returnflag = 'R'")
+REGRESSION_ROWS = fitted_sql.rows(COMBINED, _HELD_OUT, "log10(superchats)")
+COUNT_ROWS = fitted_sql.rows(COMBINED, _HELD_OUT, "cast(superchats AS double)")
+
+GAMMA_MEAN = "CASE WHEN eta > 0 THEN 1 / eta ELSE 1e-16 END"  # means of the family are positive
+
 SENTENCES = r"""regexp_replace(regexp_replace(text, '([.!?]+)\s+', E'\\1\n', 'g'),
   '([\x{3002}\x{FF01}\x{FF1F}]+)', E'\\1\n', 'g')"""
 
@@ -323,4 +330,21 @@ ORACLES = {
   (VALUES ('linear regression'), ('glm gaussian'), ('dtr')) v(model)""",
     "json_documents": _series(CHANNEL_CHAT, CHAT_LISTS),
     "materialized_stats": COMBINED,
+    "incremental_periods": f"""SELECT *, substr(period, 1, 4) AS source_period,
+  cast(substr(period, 1, 4) IN ('1995', '1998') AS int) AS rebuilt FROM ({_author_stats()})""",
+    "merged_channel_sketches": f"""SELECT author, strftime(ts, '%Y') AS year, count(ts) AS chats,
+  count(DISTINCT cast(ts AS date)) AS "videoDays", cast(sum(bodylength) AS bigint) AS "totalBodyLength",
+  count(DISTINCT channel) AS channels, cast(1 AS int) AS within, cast(1 AS int) AS exact FROM {CHAT} GROUP BY 1, 2""",
+    "model_coefficients": fitted_sql.terms(fitted_sql.standardised_ridge(REGRESSION_ROWS)),
+    "model_linear": fitted_sql.scores(
+        REGRESSION_ROWS, fitted_sql.elastic_net(REGRESSION_ROWS), "linear regression", "log10_superchats"),
+    **{f"model_glm_{name}": fitted_sql.scores(
+        REGRESSION_ROWS, fitted_sql.standardised_ridge(REGRESSION_ROWS), f"glm {name}", "log10_superchats")
+        for name in ("gaussian", "tweedie")},
+    "model_glm_poisson": fitted_sql.scores(
+        REGRESSION_ROWS, fitted_sql.reweighted(REGRESSION_ROWS, "ln(greatest(y, 0.1))", "exp(eta)", "1 / mu", "mu"),
+        "glm poisson", "log10_superchats", "exp(eta)"),
+    "model_glm_gamma": fitted_sql.scores(
+        COUNT_ROWS, fitted_sql.reweighted(COUNT_ROWS, "1 / y", GAMMA_MEAN, "-1 / (mu * mu)", "mu * mu"),
+        "glm gamma", "superchats", GAMMA_MEAN),
 }

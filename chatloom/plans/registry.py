@@ -3,12 +3,13 @@
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import casts, text
-from ..operators import features, messages, metrics, models, sampling, series, stats
+from ..operators import features, messages, metrics, models, sampling, series, sketches, stats
 from ..session import pinned, scratch_path
-from ..sources import readers, writers
+from ..sources import incremental, readers, writers
 from . import bindings, jobs, views
 
 QUERIES = {}
@@ -411,7 +412,8 @@ def assembled_features(spark, sf_dir):
 
 def _register_regressor(name, model, label=jobs.LABEL):
     def run(spark, sf_dir):
-        return jobs.regression_scores(_regression_data(spark, sf_dir), [model], label)
+        scores = jobs.regression_scores(_regression_data(spark, sf_dir), [model], label)
+        return _rounded(scores, *scores.columns[2:])
     QUERIES[name] = run
 
 
@@ -433,7 +435,7 @@ def model_leaderboard(spark, sf_dir):
 def model_coefficients(spark, sf_dir):
     data = _regression_data(spark, sf_dir)
     model = models.fit_regressor(models.generalized_linear_regression(jobs.LABEL), data)
-    return models.coefficients(model, features.STATS_FEATURES)
+    return _rounded(models.coefficients(model, features.STATS_FEATURES), "weight")
 
 
 @query
@@ -638,3 +640,57 @@ def materialized_stats(spark, sf_dir):
     for _ in range(2):
         table = writers.materialize(spark, path, lambda: rows, ["period"], rows.schema)
     return table
+
+
+@query
+def incremental_periods(spark, sf_dir):
+    """Author statistics kept up to date by source year: one year comes later, another is replaced.
+
+    ``rebuilt`` tells rows in files that the first run had not written.
+    """
+    chat = bindings.chat(spark, sf_dir).withColumn("year", F.year("ts"))
+    folder, path = scratch_path(spark, "yearly-chats"), scratch_path(spark, "yearly-stats")
+    schema = stats.author_stats(chat).schema
+    columns = [f for f in chat.schema.fields if f.name != "year"]
+
+    def add(rows):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(folder)
+
+    def build(paths):
+        return stats.author_stats(spark.read.schema(StructType(columns)).parquet(*paths))
+
+    def refresh():
+        listed = incremental.source_files(spark, folder, "year=", r"(\d{4})")
+        return incremental.refresh(spark, listed, path, build)
+
+    def table():
+        return incremental.read_refreshed(spark, path, schema)
+
+    add(chat.where((F.col("year") != 1998) & ((F.col("year") != 1995) | F.col("member"))))
+    refresh()
+    name = F.col("_metadata.file_name")
+    first = pinned(table().select(name.alias("file")).distinct().withColumn("old", F.lit(True)), "first-files")
+    add(chat.where(F.col("year").isin(1995, 1998)))
+    refresh()
+    rows = table().withColumn("file", name).join(first, "file", "left")
+    return rows.withColumn("rebuilt", F.col("old").isNull().cast("int")).drop("file", "old")
+
+
+@query
+def merged_channel_sketches(spark, sf_dir):
+    """Yearly statistics from monthly sketches beside exact counts of the same years.
+
+    ``within`` is 1 where the estimate keeps the stated bound, ``exact`` where small counts are met.
+    """
+    chat = bindings.chat(spark, sf_dir)
+    year = F.substring("period", 1, 4)
+    merged = sketches.merged_stats(pinned(sketches.monthly_sketches(chat), "sketches"), year, "year")
+    channels = chat.groupBy("author", F.year("ts").cast("string").alias("year"), "channel").agg(F.count("*").alias("n"))
+    true = channels.groupBy("author", "year").agg(F.count("channel").alias("channels"))
+    error = F.abs(F.col("uniqueChatters") - F.col("channels"))
+    small = F.col("channels") <= sketches.EXACT
+    return merged.join(true, ["author", "year"]).select(
+        "author", "year", "chats", "videoDays", "totalBodyLength", "channels",
+        (error <= sketches.RELATIVE_ERROR * F.col("channels")).cast("int").alias("within"),
+        F.when(small, (error == 0).cast("int")).otherwise(1).alias("exact"),
+    )
