@@ -5,15 +5,16 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import SCORES
-from . import features
+from . import features, trees
 from .metrics import SPLITS, error_metrics
 from .stats import with_mean
 
 # The families compared and the settings of the models below.
 GLM_FAMILIES = ["gaussian", "poisson", "gamma", "tweedie"]
+TREES = ["rfr", "dtr"]  # names of ``regressors``
 
 
 def linear_regression(label: str) -> LinearRegression:
@@ -66,10 +67,13 @@ def fit_regressor(estimator: Estimator, data: DataFrame) -> Model:
 
 
 def score_regressors(
-    models: dict[str, Model], data: DataFrame, label: str, baseline: bool = False
+    models: dict[str, Model], data: DataFrame, label: str, baseline: bool = False,
+    expressions: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per model: MSE, RMSE and MAE on the train and test rows of ``data``.
 
+    ``expressions`` are predictions of further models as columns, such as compiled trees.
+
     Every model predicts on the same rows in turn, and all errors are aggregated together:
     the data is read once however many models are compared. The baseline predicts the train
     mean on both parts.
@@ -78,6 +82,9 @@ def score_regressors(
     for number, (name, model) in enumerate(models.items()):
         columns[name] = f"_prediction{number}"
         data = model.copy().setPredictionCol(columns[name]).transform(data)
+    for number, (name, expression) in enumerate((expressions or {}).items()):
+        columns[name] = f"_expression{number}"
+        data = data.withColumn(columns[name], expression)
     if baseline:
         columns["baseline"] = "_mean"
         data = with_mean(data, label, data.where(F.col("split") == "train"), "_mean")
@@ -111,7 +118,7 @@ def leaderboard(
     """Scores of all regressors and the baseline for each label, on assembled, split ``data``.
 
     Fits read ``data`` many times: pass a ``pinned`` or stored table. With ``folder`` every
-    fitted model is saved at its ``model_path``.
+    fitted model is saved at its ``model_path``. Trees are scored as compiled expressions.
     """
     boards = []
     for label in labels:
@@ -119,7 +126,8 @@ def leaderboard(
         if folder:
             for name, model in models.items():
                 model.write().save(model_path(folder, label, name))
-        boards.append(score_regressors(models, data, label, baseline=True))
+        compiled = {n: trees.compiled(models.pop(n), features.STATS_FEATURES) for n in TREES}
+        boards.append(score_regressors(models, data, label, baseline=True, expressions=compiled))
     board = boards[0]
     for other in boards[1:]:
         board = board.unionByName(other)

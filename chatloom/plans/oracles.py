@@ -347,4 +347,6 @@ ORACLES = {
     "model_glm_gamma": fitted_sql.scores(
         COUNT_ROWS, fitted_sql.reweighted(COUNT_ROWS, "1 / y", GAMMA_MEAN, "-1 / (mu * mu)", "mu * mu"),
         "glm gamma", "superchats", GAMMA_MEAN),
+    "tree_expressions": f"""SELECT model, n, n AS equal, cast(1 AS int) AS varied
+  FROM (SELECT count(*) AS n FROM ({COMBINED})), (VALUES ('dtr'), ('rfr')) AS m(model)""",
 }

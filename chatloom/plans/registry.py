@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import casts, text
-from ..operators import features, messages, metrics, models, sampling, series, sketches, stats
+from ..operators import features, messages, metrics, models, sampling, series, sketches, stats, trees
 from ..session import pinned, scratch_path
 from ..sources import incremental, readers, writers
 from . import bindings, jobs, views
@@ -431,6 +431,21 @@ def model_leaderboard(spark, sf_dir):
     return models.leaderboard(_regression_data(spark, sf_dir), ["superchats", jobs.LABEL])
 
 
+@query
+def tree_expressions(spark, sf_dir):
+    """On how many rows the compiled trees and the fitted models predict the very same number."""
+    data = _regression_data(spark, sf_dir)
+    fitted = jobs.regression_models(data, ["dtr", "rfr"])
+    boards = []
+    for name, model in fitted.items():
+        own = model.transform(data).withColumn("compiled", trees.compiled(model, features.STATS_FEATURES))
+        boards.append(own.agg(
+            F.lit(name).alias("model"), F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("compiled")).alias("equal"),
+            F.countDistinct("prediction").alias("predictions"),
+        ).select("model", "n", "equal", (F.col("predictions") > 8).cast("int").alias("varied")))
+    return boards[0].unionByName(boards[1])
+
+
 @query
 def model_coefficients(spark, sf_dir):
     data = _regression_data(spark, sf_dir)
