@@ -349,4 +349,11 @@ ORACLES = {
         "glm gamma", "superchats", GAMMA_MEAN),
     "tree_expressions": f"""SELECT model, n, n AS equal, cast(1 AS int) AS varied
   FROM (SELECT count(*) AS n FROM ({COMBINED})), (VALUES ('dtr'), ('rfr')) AS m(model)""",
+    "inferred_header_csv": """SELECT t.column, t.type, count(*) AS present, cast(sum(l_orderkey) AS bigint) AS keys,
+  count(DISTINCT cast(l_shipdate AS date)) AS days FROM lineitem,
+  (VALUES ('l_orderkey', 'bigint'), ('l_quantity', 'double'), ('l_shipdate', 'date'), ('l_returnflag', 'string')) AS t("column", type)
+  GROUP BY 1, 2""",
+    "quarantined_csv": f"""SELECT period, count(*) FILTER (chats % 10 <> 0) AS n,
+  cast(sum(chats) FILTER (chats % 10 <> 0) AS bigint) AS chats, count(*) FILTER (chats % 10 = 0) AS bad
+  FROM {CHANNEL_CHAT} GROUP BY 1""",
 }

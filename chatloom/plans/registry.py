@@ -9,7 +9,7 @@ from .. import schemas
 from ..functions import casts, text
 from ..operators import features, messages, metrics, models, sampling, series, sketches, stats, trees
 from ..session import pinned, scratch_path
-from ..sources import incremental, readers, writers
+from ..sources import incremental, inspection, readers, writers
 from . import bindings, jobs, views
 
 QUERIES = {}
@@ -709,3 +709,29 @@ def merged_channel_sketches(spark, sf_dir):
         (error <= sketches.RELATIVE_ERROR * F.col("channels")).cast("int").alias("within"),
         F.when(small, (error == 0).cast("int")).otherwise(1).alias("exact"),
     )
+
+
+@query
+def inferred_header_csv(spark, sf_dir):
+    """Types of a CSV file of order lines from its text alone, and what the declared file then holds."""
+    path = scratch_path(spark, "order-lines")
+    writers.replace_csv(bindings.table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.to_date("l_shipdate")), path, header=True)
+    types = pinned(inspection.infer_header_csv(spark, path), "types")
+    lines = spark.read.schema(inspection.declared(types)).option("header", True).csv(path)
+    held = lines.agg(F.sum("l_orderkey").alias("keys"), F.countDistinct("l_shipdate").alias("days"))
+    return types.where(F.col("column").isin("l_orderkey", "l_quantity", "l_shipdate", "l_returnflag")).select(
+        "column", "type", "present", held.select("keys").scalar().alias("keys"), held.select("days").scalar().alias("days"))
+
+
+@query
+def quarantined_csv(spark, sf_dir):
+    """Channel statistics with a damaged line for each tenth number of chats: what is read and what is kept aside."""
+    stats = bindings.channel_chat_stats(spark, sf_dir).select(*schemas.CHANNEL_CHAT_STATS.names)
+    damaged = F.when(F.col("chats") % 10 == 0, F.concat(F.lit("~"), F.col("chats"))).otherwise(F.col("chats").cast("string"))
+    lines = stats.withColumn("chats", damaged).select(F.concat_ws(",", *stats.columns).alias("value"))
+    path = scratch_path(spark, "damaged-lines")
+    lines.write.text(path)
+    good, bad = inspection.read_checked_csv(spark, path, schemas.CHANNEL_CHAT_STATS)
+    bad = pinned(bad, "bad-rows").select(F.split("record", ",")[1].alias("period"), F.lit(1).alias("bad"), F.lit(None).cast("bigint").alias("chats"))
+    rows = good.select("period", F.lit(0).alias("bad"), "chats").unionByName(bad)
+    return rows.groupBy("period").agg(F.count("chats").alias("n"), F.sum("chats").alias("chats"), F.sum("bad").alias("bad"))
