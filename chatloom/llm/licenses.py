@@ -10,6 +10,10 @@ Notices that no unit holds by itself, of several paragraphs or amid other prose,
 windows: runs of words anywhere in the text that begin and end with a bigram of the template. A
 run's gain, 2 |both| - threshold |run|, must reach threshold |template|; a start is left where its
 gain falls below zero, since a later one does no worse.
+
+Licences of one family differ in a word or a number that hardly moves the coefficient. So the marks
+of a template, its version numbers and the words of ``KINDS``, must be in the unit or window, which
+may hold no number of one or two digits and no such word beyond the template's own.
 """
 
 import re
@@ -119,11 +123,38 @@ TEMPLATES |= {
     ],
     "CC0-1.0": ["Licensed under CC0 1.0 Universal.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
 }
-for _name, _kind in (("LGPL-3.0", "Lesser"), ("AGPL-3.0", "Affero")):
+for _name, _kind, _number in (("LGPL-3.0", "Lesser", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("AGPL-3.0", "Affero", "3")):
     TEMPLATES[_name] = [
-        f"Licensed under the GNU {_kind} General Public License, version 3.",
-        " ".join(_GPL_3.split()).replace("GNU General", f"GNU {_kind} General"),
+        f"Licensed under the GNU {_kind} General Public License, version {_number}.",
+        " ".join(_GPL_3.split()).replace("GNU General", f"GNU {_kind} General").replace("version 3", f"version {_number}"),
+    ]
+for _kind, _long in (
+    ("NC-SA", "NonCommercial-ShareAlike"), ("ND", "NoDerivatives"), ("NC-ND", "NonCommercial-NoDerivatives"),
+):
+    TEMPLATES[f"CC-BY-{_kind}-4.0"] = [
+        f"Licensed under CC BY-{_kind} 4.0.",
+        f"This work is licensed under a Creative Commons Attribution-{_long} 4.0 International License.",
     ]
+TEMPLATES["MPL-1.1"] = [
+    f"Licensed under the {_MPL}, version 1.1.", f"Licensed under the {_MPL} 1.1.",
+    """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may
+    not use this file except in compliance with the License. You may obtain a copy of the License at
+    http://www.mozilla.org/MPL/
+    Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND,
+    either express or implied. See the License for the specific language governing rights and limitations
+    under the License.""",
+]
+
+#: Words that tell licences of a family apart, in the form of ``words``.
+KINDS = {
+    "lesser", "affero", "nc", "noncommercial", "commercial", "sa", "sharealike", "nd", "noderivatives", "noderivs",
+    "derivatives", "derivs",
+}
+#: A window inside a longer match of another licence has to be better than that by so much.
+PART = 0.1
+#: Words after a window in which a number of its template may still stand.
+AFTER = 2
+_LISTED = re.compile(r"(?<!version )(?<!v\. )\b\d+\.\s+(?=[A-Z][a-z])")
 
 _WORD = re.compile(r"\w+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
@@ -142,6 +173,11 @@ def bigrams(seq: list[str]) -> Counter:
     return Counter(zip(seq, seq[1:], strict=False)) if len(seq) != 1 else Counter({(seq[0], ""): 1})
 
 
+def marks(seq: list[str]) -> Counter:
+    """Numbers of one or two digits, but for a zero, and words of ``KINDS``."""
+    return Counter(w for w in seq if w in KINDS or w != "0" and len(w) <= 2 and w.isdecimal())
+
+
 def _pieces(text: str, start: int, end: int, mark: re.Pattern):
     at = start
     for m in mark.finditer(text, start, end):
@@ -160,22 +196,35 @@ def _spots(text: str) -> list[tuple[int, int, str]]:
 class Templates:
     def __init__(self, templates: dict[str, list[str]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.templates = []
+        each = []
         for name, texts in templates.items():
             for text in texts:
                 found = bigrams(words(text))
-                self.templates.append((sum(found.values()), name, found))
-        self.templates.sort(key=lambda t: t[:2])
-        self.known = {b for _, _, found in self.templates for b in found}
+                # numbers of a list's items may be left out, those of versions may not
+                needed = marks(words(_LISTED.sub("", text)))
+                each.append((sum(found.values()), name, found, (needed, marks(words(text)))))
+        each.sort(key=lambda t: t[:2])
+        self.templates, self.marks = [t[:3] for t in each], [t[3] for t in each]
+        self.known = {b for t in self.templates for b in t[2]}
         ratio = threshold / (2 - threshold)
         self.owners: dict[tuple, list[int]] = {}
-        for i, (_, _, found) in enumerate(self.templates):
-            for b in found:
+        for i, template in enumerate(self.templates):
+            for b in template[2]:
                 self.owners.setdefault(b, []).append(i)
         self.one_word = any(second == "" for _, second in self.known)
-        sizes = [n for n, _, _ in self.templates] or [0]
+        sizes = [t[0] for t in self.templates] or [0]
         self.ratio, self.least, self.most = ratio, min(sizes) * ratio - 1e-9, max(sizes) / ratio + 1e-9
 
+    def told_apart(self, template: int, spots: list[tuple], first: int, last: int, more: int = 0) -> bool:
+        """Whether the words from ``first`` up to ``last`` have the marks of a template and no other ones."""
+        needed, allowed = self.marks[template]
+        own = marks([w for _, _, w in spots[first:last]])
+        missing = needed - own
+        if missing and more:  # a number may follow the window, unless a word of another kind does too
+            after = [w for _, _, w in spots[last:last + more]]
+            missing = missing if KINDS.intersection(after) else missing - marks(after)
+        return not own - allowed and not missing
+
     def units(self, text: str):
         """(start, end) of the units, each span once."""
         seen = set()
@@ -210,10 +259,10 @@ class Templates:
                 continue
             unit = bigrams([w for _, _, w in spots[first:last]])
             best = None
-            for n, name, template in self.templates:
+            for t, (n, name, template) in enumerate(self.templates):
                 if self.ratio * n - 1e-9 <= size <= n / self.ratio + 1e-9:
                     dice = 2 * (unit & template).total() / (size + n)
-                    if dice >= self.threshold and (best is None or dice > best[0]):
+                    if dice >= self.threshold and (best is None or dice > best[0]) and self.told_apart(t, spots, first, last):
                         best = dice, name
             if best:
                 yield best[1], best[0], a, b
@@ -253,9 +302,11 @@ class Templates:
             k = end + 1
 
     def found(self, text: str):
-        """``matches``, and windows that lie over no match or better window."""
+        """``matches``, and windows that lie over no match or better window.
+
+        A unit gives way to a better window of its own licence before windows of others are weighed.
+        """
         units = list(self.matches(text))
-        yield from units
         spots = _spots(text)
         pairs = list(zip((w for _, _, w in spots), (w for _, _, w in spots[1:]), strict=False))
         where: dict[int, list[int]] = {}
@@ -266,8 +317,21 @@ class Templates:
         for t, hits in where.items():
             n, name, template = self.templates[t]
             if len(hits) >= self.ratio * n - 1e-9:
-                windows += [(-dice, n, name, spots[a][0], spots[b + 1][1]) for dice, a, b in self._runs(hits, pairs, n, template)]
-        taken = [(dice, name, a, b) for name, dice, a, b in units]
+                windows += [
+                    (-dice, n, name, spots[a][0], spots[b + 1][1]) for dice, a, b in self._runs(hits, pairs, n, template)
+                    if self.told_apart(t, spots, a, b + 2, AFTER)
+                ]
+        spans = [(dice, name, a, b) for name, dice, a, b in units] + [(-minus, name, a, b) for minus, _, name, a, b in windows]
+        windows = [  # a notice that is part of a longer one is not found by itself
+            (minus, n, name, a, b) for minus, n, name, a, b in windows
+            if not any(other != name and c <= a and b <= d and d - c > b - a and dice > -minus - PART for dice, other, c, d in spans)
+        ]
+        taken = []
+        for name, dice, a, b in units:
+            own = [(-minus, c, d) for minus, _, other, c, d in windows if other == name and c < b and a < d and -minus > dice]
+            dice, a, b = max(own, key=lambda w: (w[0], -w[1]), default=(dice, a, b))
+            taken.append((dice, name, a, b))
+            yield name, dice, a, b
         for minus, _, name, a, b in sorted(windows):
             if not any(a < d and c < b and (other == name or dice >= -minus) for dice, other, c, d in taken):
                 taken.append((-minus, name, a, b))
@@ -305,7 +369,8 @@ def scanned(
     template, then the name first in the alphabet. ``start`` and ``end`` are code points of the
     best unit (the first of equal ones). Null and empty texts have no row, nor has an empty
     table; rows that repeat an id are scanned each; columns other than ``doc_id`` and ``text``
-    are ignored. ``further`` has templates more, such as full texts, by ``license`` and ``text``.
+    are ignored. Texts under a licence of a known family that has no template of its own have no row
+    for it. ``further`` has templates more, such as full texts, by ``license`` and ``text``.
     """
     templates = {name: list(texts) for name, texts in (templates or TEMPLATES).items()}
     for row in further.where("license IS NOT NULL AND text IS NOT NULL").collect() if further is not None else []:

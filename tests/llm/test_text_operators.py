@@ -67,6 +67,47 @@ def test_each_template_is_found_as_its_own(spark, docs):
     assert [r["license"] for r in licenses.scanned(docs([(1, "Before. " + full + " After.")]), further=table).collect()] == ["Own-1.0"]
 
 
+def names_in(text, templates=licenses.TEMPLATES):
+    return sorted({name for name, *_ in licenses.Templates(templates).found(text)})
+
+
+def test_licences_of_a_family_are_told_apart():
+    gpl = licenses.TEMPLATES["GPL-3.0"][2]
+    lgpl = " ".join(gpl.split()).replace("GNU General", "GNU Lesser General")
+    some = {k: v for k, v in licenses.TEMPLATES.items() if k not in ("LGPL-2.1", "MPL-1.1") and not k.startswith("CC-BY-N") or k == "CC-BY-NC-4.0"}
+    line = "This work is licensed under a Creative Commons Attribution-{} 4.0 International License."
+    for text, name in (
+        (lgpl.replace("version 3", "version 2.1"), "LGPL-2.1"),
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        (line.format("NonCommercial-ShareAlike"), "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        (line.format("NonCommercial-NoDerivatives"), "CC-BY-NC-ND-4.0"), (line.format("NoDerivatives"), "CC-BY-ND-4.0"),
+        ("Licensed under the Mozilla Public License, version 1.1.", "MPL-1.1"),
+    ):
+        for around in ("{}", "Some words before. {} And words behind.", "A page.\n\n{}\n\nAnother page of 12."):
+            assert names_in(around.format(text)) == [name], text
+            assert names_in(around.format(text), some) == [], text
+    for text in (
+        lgpl.replace("Lesser", "Affero").replace("version 3", "version 2"), "Licensed under the Mozilla Public License, version 4.",
+        "Licensed under CC BY 3.1.", "This work is licensed under the GNU General Public License, version 5.",
+    ):
+        assert names_in(text) == [], text
+    assert names_in("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"] and names_in("Licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+
+
+def test_a_better_window_of_the_same_licence_replaces_its_unit():
+    text = "This work here is licensed under the GNU General Public License, version 3."
+    assert names_in(text) == ["GPL-3.0"]
+    found = list(licenses.Templates(licenses.TEMPLATES).found(text))
+    assert len(found) == 1 and found[0][1] > 0.95 and text[found[0][2]:found[0][3]].startswith("licensed under")
+
+
+def test_list_numbers_may_be_left_out_and_years_stay():
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][1]
+    bullets = bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    assert names_in(bullets) == ["BSD-3-Clause"] and names_in(f"Copyright 2019 Somebody. {bsd}") == ["BSD-3-Clause"]
+    assert names_in("Licensed under the Apache License, Version 2.") == ["Apache-2.0"]
+
+
 def test_pruning_loses_no_unit():
     rng = random.Random(4)
     words = "a b c d e f".split()
