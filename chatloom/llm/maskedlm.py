@@ -35,8 +35,11 @@ CLASSES = 64
 CHUNK = 1 << 18
 HIDDEN = 16
 SIDE = 2
-ROUNDS = 2
+#: Each round has every token of all documents as a target once.
+ROUNDS = 1
 BATCH = 2048
+#: Tokens that are scored at once; their number changes no score.
+SCORED = 1 << 14
 RATE = 0.1
 _UNIT = 2.0 ** 20
 _KEPT_WORDS = 300_000
@@ -354,7 +357,7 @@ def _score(size: int, hidden: int, weights: np.ndarray):
         network = Network(size, hidden, weights)
         for keys, docs in _batches_of_documents(batches, 1 << 16):
             line, places = windows(docs)
-            parts = [places[i:i + BATCH] for i in range(0, len(places), BATCH)]
+            parts = [places[i:i + SCORED] for i in range(0, len(places), SCORED)]
             found = np.concatenate([np.zeros(0), *(network.log_probabilities(_context(line, p), line[p]) for p in parts)])
             lengths = np.array([len(d) for d in docs])
             doc_ids, in_class = zip(*keys, strict=True)
