@@ -42,9 +42,11 @@ SEEN = 16
 #: Unsplit pieces up to this many bytes are encoded anew as one.
 SHORT = 512
 AT_ONCE = 256
-_KEPT = 200_000
+#: Windows, short pieces and words whose ids are kept in a worker.
+_KEPT, _KEPT_WORDS = 50_000, 400_000
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
+_IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -92,7 +94,7 @@ class TreeEncoder:
         self._merge = self._tokenizer.model.tokenize
         self._split = self._tokenizer.pre_tokenizer.pre_tokenize_str
         self._letters = str.maketrans(dict(zip(map(chr, range(256)), byte_letters(), strict=True)))
-        self._pieces = PieceEncoder(path)
+        self._pieces = PieceEncoder(path, _KEPT_WORDS)
         self._known: dict[bytes, list[int]] = {}
         self._windows: dict[bytes, np.ndarray] = {}
         self.leaf, self.window = max(leaf, 4), max(window, 1)
@@ -308,12 +310,12 @@ def _whole(path: str, leaf: int):
     return run
 
 
-def _segments(path: str, segment: int):
+def _segments(path: str, segment: int, leaf: int):
     """Numbered segments of long texts; ``part`` tells stretches between special strings apart."""
     names = ["doc_id", "hash", "number", "part", "special", "data"]
 
     def run(batches):
-        encoder = _encoder(path, LEAF)
+        encoder = _encoder(path, leaf)
         for batch in batches:
             for n in range(batch.num_rows):
                 doc_id, text = batch.column("doc_id")[n], batch.column("text")[n].as_py()
@@ -393,21 +395,36 @@ def encoded(
     ignored. A null text counts as empty and has no ids. Null and repeated ``doc_id`` keep a row
     each; a ``doc_id`` that is no number is an error of the cast. An empty table gives no row.
     """
-    path, spark = path or tokenizer_path(), docs.sparkSession
+    return _encoded(docs, path or tokenizer_path(), leaf, segment, False)
+
+
+def _encoded(docs: DataFrame, path: str, leaf: int, segment: int, with_digests: bool) -> DataFrame:
+    spark, schema = docs.sparkSession, DIGESTS if with_digests else ENCODED
+    whole, join = _whole(path, leaf), _join_segments(path, leaf)
+    if with_digests:  # in the same worker: a second one would hold the vocabulary once more
+        decode, ids = _decode(path, leaf, True), join
+
+        def whole(batches, encode=whole):
+            return decode(encode(batches))
+
+        def join(rows):
+            batch = pa.RecordBatch.from_pandas(ids(rows), schema=_IDS, preserve_index=False)
+            return pa.Table.from_batches(decode([batch])).to_pandas(integer_object_nulls=True)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.octet_length("text") > segment, F.lit(False))
-    short = arrow_map(rows.where(~is_long), _whole(path, leaf), ENCODED)
-    cut = arrow_map(rows.where(is_long), _segments(path, segment), CUT)
+    short = arrow_map(rows.where(~is_long), whole, schema)
+    cut = arrow_map(rows.where(is_long), _segments(path, segment, leaf), CUT)
     # rows that repeat a long text are encoded once
     cut = cut.groupBy("doc_id", "hash", "number", "part", "special").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     done = arrow_map(cut, _encode_segments(path, leaf), DONE)
-    long = group_map(spark, done.groupBy("doc_id", "hash"), _join_segments(path, leaf), ENCODED)
+    long = group_map(spark, done.groupBy("doc_id", "hash"), join, schema)
     return short.unionByName(long)
 
 
-def _decode(path: str, digests: bool):
+def _decode(path: str, leaf: int, digests: bool):
     def run(batches):
-        encoder = _encoder(path, LEAF)
+        encoder = _encoder(path, leaf)
         for batch in batches:
             for i in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(i, AT_ONCE)
@@ -429,10 +446,9 @@ def _decode(path: str, digests: bool):
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``text`` of rows of ``encoded``; special tokens are kept, null ids give an empty text."""
-    return arrow_map(ids.select("doc_id", "ids"), _decode(path or tokenizer_path(), False), "doc_id long, text string")
+    return arrow_map(ids.select("doc_id", "ids"), _decode(path or tokenizer_path(), LEAF, False), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF, segment: int = SEGMENT) -> DataFrame:
     """Checksums of each text's ids and of the text that they decode to; rows as in ``encoded``."""
-    path = path or tokenizer_path()
-    return arrow_map(encoded(docs, path, leaf, segment), _decode(path, True), DIGESTS)
+    return _encoded(docs, path or tokenizer_path(), leaf, segment, True)
