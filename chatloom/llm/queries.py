@@ -26,8 +26,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexes = list(decontam.indexes(_table(spark, sf_dir, "benchmark")))
-    return decontam.contaminated(_table(spark, sf_dir, "documents"), indexes)
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), decontam.indexes(_table(spark, sf_dir, "benchmark")))
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

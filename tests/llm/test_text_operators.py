@@ -163,8 +163,57 @@ def test_planted_items_are_found_and_clean_texts_are_not(spark, docs, edge_rows)
     assert clean == {i for i, _ in rows} - {i for i, _ in found} | {4}  # id 4 has a clean row too
     several = list(decontam.indexes(spark.createDataFrame(table, "item_id long, text string"), words_a_pass=100))
     assert len(several) > 1
-    again = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(rows), several).collect()}
-    assert again == found
+    once, again = (
+        sorted(map(tuple, decontam.contaminated(docs(rows), x).collect()), key=str) for x in (indexes, several)
+    )
+    assert once == again  # scores and overlaps too
+    kept = decontam.decontaminated(docs(rows), iter(several))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, decontam.decontaminated(docs(rows), indexes).collect()))
+
+
+def test_passages_equal_scoring_of_every_passage(monkeypatch):
+    rng = random.Random(21)
+    common = invented(rng, 50) * 40 + [f"rare{i}" for i in range(3000)]
+    items = [(i, rng.choices(common, k=rng.randint(5, 80)), None) for i in range(200)]
+    index = decontam.Index(items)
+    assert 0 < len(index.rows) < len(index.terms)  # words of both kinds
+    texts = [rng.choices(common, k=rng.randint(0, 400)) for _ in range(20)] + [[], items[3][1], ["unknown"] * 500]
+    texts += [rng.choices(common, k=100) + items[k][1] + rng.choices(common, k=100) for k in range(20)]
+
+    def found():
+        best = {}
+        for number, terms in index.passages(texts, 0.5):
+            for part, score in index.wand(terms, 0.5):
+                best[number, part] = max(score, best.get((number, part), 0))
+        return best
+
+    expected = {}
+    for number, seq in enumerate(texts):
+        for begin in range(0, max(1, len(seq) - decontam.PART), decontam.PART):
+            scores = Counter()
+            for word in set(seq[begin:begin + 2 * decontam.PART]) & set(index.terms):
+                for part, score in zip(*index.lists[index.terms[word]], strict=True):
+                    scores[part] += score
+            for part, score in scores.items():
+                if score >= 0.5:
+                    expected[number, part] = max(score, expected.get((number, part), 0))
+    assert expected and found() == pytest.approx(expected)
+    monkeypatch.setattr(decontam, "CELLS", 1)
+    assert found() == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("size", [1, 10, 20, 24, 60])
+def test_answers_far_from_their_questions_are_found(spark, docs, size):
+    rng = random.Random(31 + size)
+    q, a = (["".join(rng.choices("aeioustrnl", k=9)) for _ in range(n)] for n in (24, size))
+    table = spark.createDataFrame([(1, " ".join(q), " ".join(a))], "item_id long, q string, a string")
+    rows = [
+        (1, " ".join(invented(rng, 70) + q + invented(rng, 150) + a + invented(rng, 70))),
+        (2, " ".join(a + invented(rng, 500) + q)),
+        (3, " ".join(q + invented(rng, 300))), (4, " ".join(invented(rng, 300) + a)),
+    ]
+    found = decontam.contaminated(docs(rows), decontam.indexes(table, "q", "a")).collect()
+    assert [(r["doc_id"], r["question_overlap"], r["answer_overlap"]) for r in found] == [(1, 1.0, 1.0), (2, 1.0, 1.0)]
 
 
 def test_near_copies_of_short_items_are_found(spark, docs):
