@@ -7,8 +7,10 @@ least. With ``N`` open windows by level, moving one from ``h`` to ``h + s`` chan
 level array alone decides, and no search over windows is needed.
 
 Each task packs what it reads, which needs no shuffle and keeps only its open windows in
-memory. At its end the open windows are laid end to end and cut anew into full ones; the last
-rest becomes windows whose lengths are powers of two, which need no padding.
+memory. At its end the open windows that are nearly full are padded, as long as padding stays below
+``PADDING`` of the task's ids. Into the gaps of the other ones goes what the emptiest windows hold, so
+only the rests of those few are cut again. What is left in the end becomes windows whose lengths are
+powers of two, which need no padding.
 """
 
 import zlib
@@ -24,6 +26,8 @@ from chatloom.llm.workers import arrow_map
 
 WINDOW = 2048
 END_ID = 1
+#: Share of a task's ids that padding may add.
+PADDING = 0.005
 #: Sequence ids of a task begin at its number times this.
 SEQUENCES_A_TASK = 2 ** 32
 
@@ -44,6 +48,8 @@ class SumOfSquares:
         self.window = window
         self.open_by_level = np.zeros(window + 1, np.int64)  # [0] and [window] stay 0
         self._waiting: dict[int, list[list[tuple]]] = {}
+        self.placed = 0
+        self.cut_again = 0
 
     def level_for(self, size: int) -> int:
         """The level whose window takes a rest of ``size`` ids; 0 opens a new one."""
@@ -57,6 +63,7 @@ class SumOfSquares:
     def add(self, doc_id, ids: bytes):
         """Places a document; yields the windows that this fills, as lists of pieces."""
         count, window = len(ids) // 4, self.window
+        self.placed += count
         full = count // window * window
         for start in range(0, full, window):
             yield [(doc_id, start, ids[4 * start:4 * (start + window)], count)]
@@ -74,24 +81,51 @@ class SumOfSquares:
         self.open_by_level[level] -= 1
         return self._waiting[level].pop()
 
+    def _gap(self, level: int) -> int:
+        """Ids of padding that a window of ``level`` ids needs; none at a power of two."""
+        return self.window - level if level & (level - 1) else 0
+
     def drain(self):
-        """Windows made of what is still open: full ones, then powers of two."""
-        pieces = [p for level in sorted(self._waiting, reverse=True) for w in self._waiting[level] for p in w]
-        left = sum(len(ids) // 4 for _, _, ids, _ in pieces)
+        """Windows made of what is still open; ``cut_again`` counts the ids that are moved for it."""
+        waiting = [(level, pieces) for level in sorted(self._waiting, key=self._gap) for pieces in self._waiting[level]]
         self.open_by_level[:] = 0
         self._waiting = {}
-        room, filled = 0, []
-        for doc_id, start, ids, count in pieces:
-            while ids:
-                if not room:
-                    if filled:
-                        yield filled
-                    room, filled = min(self.window, 1 << (left.bit_length() - 1)), []
-                part, ids = ids[:4 * room], ids[4 * room:]
-                filled.append((doc_id, start, part, count))
-                start, room, left = start + len(part) // 4, room - len(part) // 4, left - len(part) // 4
-        if filled:
-            yield filled
+        budget, first = PADDING * self.placed, 0
+        while first < len(waiting) and self._gap(waiting[first][0]) <= budget:
+            budget -= self._gap(waiting[first][0])
+            yield waiting[first][1]
+            first += 1
+        filling = sorted(waiting[first:], key=lambda w: -w[0])  # the fullest first
+        poured: list[tuple] = []
+        while filling:
+            level, pieces = filling.pop(0)
+            room = self.window - level
+            while room and (poured or filling):
+                if not poured:
+                    poured = filling.pop()[1]
+                doc_id, start, ids, count = poured.pop(0)
+                pieces.append((doc_id, start, ids[:4 * room], count))
+                moved = min(room, len(ids) // 4)
+                self.cut_again += moved
+                room -= moved
+                if ids := ids[4 * moved:]:
+                    poured.insert(0, (doc_id, start + moved, ids, count))
+            if not room:
+                yield pieces
+            else:  # nothing is left to fill it with
+                poured = pieces
+        left = sum(len(ids) // 4 for _, _, ids, _ in poured)
+        while left:
+            room, pieces = 1 << (left.bit_length() - 1), []
+            left -= room
+            while room:
+                doc_id, start, ids, count = poured.pop(0)
+                pieces.append((doc_id, start, ids[:4 * room], count))
+                moved = min(room, len(ids) // 4)
+                room -= moved
+                if ids := ids[4 * moved:]:
+                    poured.insert(0, (doc_id, start + moved, ids, count))
+            yield pieces
 
 
 def _pack(path: str, window: int, end_id: int, with_ids: bool):

@@ -99,17 +99,38 @@ def test_levels_minimise_the_sum_of_squares():
         list(packer.add(i, bytes(4 * size)))
 
 
-def test_drained_windows_are_full_or_powers_of_two():
+def packed_sizes(sizes, window):
+    """Pieces of all windows, of those open at the end, and the packer."""
+    packer, closed = packing.SumOfSquares(window), []
+    for i, size in enumerate(sizes):
+        closed += packer.add(i, np.arange(size, dtype="<u4").tobytes())
+    return closed, list(packer.drain()), packer
+
+
+def test_drained_windows_hold_every_id_once_with_little_padding():
     rng = random.Random(6)
-    packer, total, lengths = packing.SumOfSquares(64), 0, []
-    for i in range(300):
-        size = rng.randint(1, 150)
-        total += size
-        lengths += [sum(len(p[2]) // 4 for p in w) for w in packer.add(i, bytes(4 * size))]
-    assert set(lengths) == {64}
-    drained = [sum(len(p[2]) // 4 for p in w) for w in packer.drain()]
-    assert sum(lengths) + sum(drained) == total and all(n & (n - 1) == 0 for n in drained)
-    assert list(packer.drain()) == []
+    for n in (1, 2, 5, 40, 300):
+        sizes = [rng.randint(1, 150) for _ in range(n)]
+        closed, drained, packer = packed_sizes(sizes, 64)
+        lengths = [sum(len(p[2]) // 4 for p in w) for w in drained]
+        assert {sum(len(p[2]) // 4 for p in w) for w in closed} <= {64} and max(lengths, default=0) <= 64
+        padding = sum(64 - k for k in lengths if k & (k - 1))
+        assert padding <= packing.PADDING * sum(sizes)
+        held = {}
+        for doc, start, ids, count in (p for w in closed + drained for p in w):
+            assert count == sizes[doc] and ids
+            held.setdefault(doc, []).append((start, ids))
+        assert {d: b"".join(ids for _, ids in sorted(p)) for d, p in held.items()} == {
+            d: np.arange(k, dtype="<u4").tobytes() for d, k in enumerate(sizes)
+        }
+        assert list(packer.drain()) == []
+
+
+def test_the_rule_places_nearly_all_rests():
+    rng = random.Random(16)
+    sizes = [min(60_000, 1 + int(rng.lognormvariate(6, 1.2))) for _ in range(1000)]
+    _, _, packer = packed_sizes(sizes, packing.WINDOW)
+    assert packer.cut_again < 0.05 * sum(k % packing.WINDOW for k in sizes)
 
 
 # ---------------------------------------------------------------------------- Huffman files
