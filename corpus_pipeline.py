@@ -23,8 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    indexes = list(decontam.indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return decontam.decontaminated(docs, indexes)
+    return decontam.decontaminated(docs, decontam.indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
