@@ -123,9 +123,9 @@ def _up(n):
         FROM {IDS} WHERE label = 1) USING (x)"""
 
 
-def _vectors(tokens_of, size=8):
+def _vectors(tokens_of, size=64):
     """Mean of +1/-1 by the leading bits of each token's md5, for (doc_id, part, token) rows; mean over parts."""
-    bits = f"cast('0x' || substr(md5(token), 1, 8) AS bigint) >> (31 - i) & 1"
+    bits = "cast('0x' || substr(md5(token), 1 + 8 * (i // 32), 8) AS bigint) >> (31 - i % 32) & 1"
     return f"""WITH t AS ({tokens_of}), p AS (
     SELECT doc_id, part, i, coalesce(avg(CASE WHEN token IS NOT NULL THEN 2 * ({bits}) - 1 END), 0) AS v
     FROM t, range({size}) r(i) GROUP BY 1, 2, 3)
@@ -324,6 +324,17 @@ ORACLES = {
     (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS part FROM
     (SELECT doc_id, list_filter(list_transform(string_split_regex({SENTENCES}, '[\\r\\n]+'),
       lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM documents)))"""),
+    "token_associations": f"""WITH t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM
+    (SELECT doc_id, {_no_stops(_letters(_no_web(TOKENS.format('text'))))} AS w FROM documents)),
+  met AS ({" UNION ALL ".join(
+    f"SELECT token AS x, lead(token, {step}) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM t" for step in range(1, 6))}),
+  pairs AS (SELECT a, b, count(*) AS n FROM
+    (SELECT x AS a, y AS b FROM met WHERE y IS NOT NULL UNION ALL SELECT y, x FROM met WHERE y IS NOT NULL) GROUP BY 1, 2),
+  totals AS (SELECT a, sum(n) AS s FROM pairs GROUP BY 1),
+  strong AS (SELECT pairs.a, n, ln(cast(n AS double) * (SELECT sum(s) FROM totals) / (cast(x.s AS double) * y.s)) AS ppmi
+    FROM pairs JOIN totals x ON x.a = pairs.a JOIN totals y ON y.a = pairs.b WHERE x.s >= 20 AND y.s >= 20)
+  SELECT a AS token, count(*) AS partners, cast(sum(n) AS bigint) AS meetings, round(sum(ppmi), 4) AS strength
+  FROM strong WHERE ppmi > 0 GROUP BY 1""",
     "model_reload": "SELECT count(*) AS n, count(*) AS equal FROM documents JOIN labels USING (doc_id)",
     "pipeline_reload": "SELECT count(*) AS n, count(*) AS equal FROM documents JOIN labels USING (doc_id)",
     "saved_regressors": f"""SELECT model, n, n AS equal FROM (SELECT count(*) AS n FROM ({COMBINED})),

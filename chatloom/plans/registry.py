@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import casts, text
-from ..operators import features, messages, metrics, models, sampling, series, sketches, stats, trees
+from ..operators import embeddings, features, messages, metrics, models, sampling, series, sketches, stats, trees
 from ..session import pinned, scratch_path
 from ..sources import incremental, inspection, readers, writers
 from . import bindings, jobs, views
@@ -380,12 +380,27 @@ def _places(vectors):
 
 @query
 def doc_vectors(spark, sf_dir):
-    return _places(jobs.document_vectors(bindings.documents(spark, sf_dir), ["doc_id"], size=8))
+    return _places(jobs.document_vectors(bindings.documents(spark, sf_dir), ["doc_id"]))
 
 
 @query
 def sentence_vectors(spark, sf_dir):
-    return _places(jobs.sentence_vectors(bindings.documents(spark, sf_dir), ["doc_id"], size=8))
+    return _places(jobs.sentence_vectors(bindings.documents(spark, sf_dir), ["doc_id"]))
+
+
+def _meetings(spark, sf_dir):
+    words = text.content_words(F.col("text"))
+    return pinned(embeddings.cooccurrences(bindings.documents(spark, sf_dir), words), "pairs")
+
+
+@query
+def token_associations(spark, sf_dir):
+    """How many tokens each token meets beyond chance, and how strongly."""
+    pairs = embeddings.positive_pmi(_meetings(spark, sf_dir), min_count=20)
+    found = pairs.groupBy("a").agg(
+        F.count("*").alias("partners"), F.sum("n").alias("meetings"), F.sum("ppmi").alias("strength")
+    )
+    return found.select(F.col("a").alias("token"), "partners", "meetings", F.round("strength", 4).alias("strength"))
 
 
 @query
