@@ -164,7 +164,7 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
 
 def test_every_query_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == set(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("empty", [False, True])
