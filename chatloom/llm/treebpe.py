@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.tokens import PieceEncoder, tokenizer_path
+from chatloom.llm.tokens import PieceEncoder, text_slices, tokenizer_path
 from chatloom.llm.workers import arrow_map, group_map
 
 #: Bytes of a leaf and of a segment, at most.
@@ -42,8 +42,9 @@ SEEN = 16
 #: Unsplit pieces up to this many bytes are encoded anew as one.
 SHORT = 512
 AT_ONCE = 256
+BYTES_AT_ONCE = 2_000_000
 #: Windows, short pieces and words whose ids are kept in a worker.
-_KEPT, _KEPT_WORDS = 50_000, 400_000
+_KEPT, _KEPT_WORDS = 50_000, 1_000_000
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -298,8 +299,7 @@ def _whole(path: str, leaf: int):
     def run(batches):
         encoder = _encoder(path, leaf)
         for batch in batches:
-            for i in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(i, AT_ONCE)
+            for some in text_slices(batch, most=BYTES_AT_ONCE):
                 found = encoder.encode(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id"), pa.array([len(x) for x in found], pa.int64()),

@@ -37,6 +37,29 @@ def test_forgetting_pieces_changes_nothing(tokenizer):
         assert encoder.encode([text]) == [whole(tokenizer, text, 0)[:-4]]
 
 
+def test_batches_are_cut_by_bytes_and_lose_no_row(tokenizer):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 60))) for _ in range(300)] + [None, "", "long " * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for most in (1, 100, 10**6):
+        cut = list(tokens.text_slices(batch, most=most))
+        assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+        encoder = tokens.PieceEncoder(tokens.tokenizer_path(), kept=200)
+        found = [ids for some in cut for ids in encoder.encode(some.column("text"))]
+        assert found == [whole(tokenizer, t, 0)[:-4] for t in texts]
+    assert not list(tokens.text_slices(batch.slice(0, 0)))
+
+
+def test_words_whose_hashes_collide_keep_their_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "_hashes", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    text = "some words have equal hashes here, many words: some!"
+    encoder = tokens.PieceEncoder(tokens.tokenizer_path())
+    for _ in range(2):
+        assert encoder.encode([text]) == [whole(tokenizer, text, 0)[:-4]]
+
+
 # ---------------------------------------------------------------------------- packing
 
 def check_packing(rows, expected, window=2048):
