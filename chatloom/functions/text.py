@@ -15,7 +15,7 @@ def tokens(text: Column) -> Column:
     if it is empty, else none.
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    body = F.regexp_replace(lowered, r"\s+\z", "")
+    body = F.rtrim(lowered, F.lit(" \t\n\x0b\f\r"))  # the characters of \s
     blank = (body == "") & (lowered != "")
     return F.when(blank, F.array().cast("array<string>")).otherwise(F.split(body, r"\s"))
 
