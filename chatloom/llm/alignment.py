@@ -27,10 +27,12 @@ from chatloom.llm.workers import arrow_map
 from chatloom.session import pinned
 
 PIECES = "piece_bpe_32k.model"
-#: Bytes of text and documents that are aligned at once; a longer text is aligned by itself.
+#: Bytes of text and documents that share a dictionary of pairs; a longer text has one by itself.
 BATCH_BYTES = 4_000_000
 BATCH_DOCS = 4096
-_KEPT = 1_000_000
+#: Bytes of text of a batch whose tokens are held at once; the batch keeps their links alone.
+SLICE_BYTES = 1_000_000
+_KEPT = 200_000
 #: Bits of a byte offset in a key of document and offset, and of an id in a pair's.
 _KEY_BITS, _ID_BITS = 40, 31
 #: A blank between two other letters, and what makes it more than a plain split at blanks.
@@ -103,8 +105,9 @@ class SentencePieces:
         if not self._by_word:
             return self._direct(texts)
         known = self._words
-        if len(known) > self._kept:
-            known.clear()
+        if len(known) > self._kept:  # frequent words are met early: those stay
+            for word in list(known)[self._kept // 2:]:
+                del known[word]
         split = [_LONE_BLANK.split(t) if _BLANKS.search(t) else t.split(" ") for t in texts]
         new = list({w for words in split for w in words if w not in known})
         known.update(zip(new, (x.tobytes() for x in self._direct(new)), strict=True))
@@ -200,7 +203,19 @@ def aligned_batch(a: pa.ListArray, b: pa.ListArray, a_bytes: pa.Array, b_bytes:
     }
 
 
-def _batch(keys: list, texts: list[str | None], tokenizers, with_groups: bool) -> pa.RecordBatch:
+def _slices(texts: list[str | None]):
+    """Neighbouring texts of at most ``SLICE_BYTES`` letters together, or a longer one."""
+    start = held = 0
+    for at, text in enumerate(texts):
+        size = len(text or "")
+        if at > start and held + size > SLICE_BYTES:
+            yield texts[start:at]
+            start, held = at, 0
+        held += size
+    yield texts[start:]
+
+
+def _aligned_slice(texts: list[str | None], tokenizers) -> tuple[pa.ListArray, pa.ListArray, dict]:
     first, second = tokenizers
     spaced = pa.array([(" " + t).encode() if t else None for t in texts], pa.binary())
     shown = [t or "" for t in texts]
@@ -213,24 +228,39 @@ def _batch(keys: list, texts: list[str | None], tokenizers, with_groups: bool) -
         keep = same.to_pylist()
         a = lists([np.asarray(x.values) if k else np.zeros(0, np.int32) for x, k in zip(a, keep, strict=True)])
         b = lists([np.asarray(x.values) if k else np.zeros(0, np.int32) for x, k in zip(b, keep, strict=True)])
-    found = aligned_batch(a, b, first.bytes, second.bytes)
-    links, pairs = found["links"], found["pairs"]
-    groups = found["groups"].to_pylist()
-    hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+    return a, b, aligned_batch(a, b, first.bytes, second.bytes)
+
+
+def _batch(keys: list, texts: list[str | None], tokenizers, with_groups: bool) -> pa.RecordBatch:
+    per_doc = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links")}
+    hashes, kept, link_doc, link_ids, link_n = [], [], [], [], []
+    for some in _slices(texts):
+        a, b, found = _aligned_slice(some, tokenizers)
+        links, pairs = found["links"], found["pairs"]
+        ids = (pairs["a"].to_numpy().astype(np.int64) << _ID_BITS) + pairs["b"].to_numpy()
+        link_doc.append(links["doc"].to_numpy() + np.int32(len(hashes)))
+        link_ids.append(ids[links["pair"].to_numpy()])
+        link_n.append(links["n"].to_numpy())
+        groups = found["groups"].to_pylist()
+        hashes += [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+        kept += groups if with_groups else []
+        counts = {"n_a": pc.list_value_length(a), "n_b": pc.list_value_length(b), "n_groups": found["n_groups"], "n_links": found["n_links"]}
+        for name, column in counts.items():
+            per_doc[name].append(column.cast(pa.int64()))
     # a name that a repeated task gives again: what the batch holds, not when it ran
     digest = hashlib.md5("".join(hashes).encode())
     digest.update(repr(keys).encode())
     name = digest.hexdigest()
-    pair = pa.StructArray.from_arrays(
-        [pairs[c].combine_chunks() for c in ("a", "b", "n")], ["a", "b", "n"]
-    )
+    coded, n = pa.array(np.concatenate(link_ids)).dictionary_encode(), np.concatenate(link_n)
+    pair, ids = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    pairs = pa.StructArray.from_arrays([
+        pa.array((ids >> _ID_BITS).astype(np.int32)), pa.array((ids & ((1 << _ID_BITS) - 1)).astype(np.int32)),
+        pa.array(np.bincount(pair, n, len(ids)).astype(np.int64)),
+    ], ["a", "b", "n"])
     columns = {
-        "doc_id": pa.array(keys, pa.int64()), "n_a": pc.list_value_length(a).cast(pa.int64()),
-        "n_b": pc.list_value_length(b).cast(pa.int64()), "n_groups": found["n_groups"], "n_links": found["n_links"],
-        "groups_sha256": pa.array(hashes, pa.string()),
-        "groups": pa.array(groups if with_groups else [], pa.string()),
-        "link_doc": links["doc"].combine_chunks(),
-        "link_pair": links["pair"].combine_chunks(), "link_n": links["n"].combine_chunks(), "pair": pair,
+        "doc_id": pa.array(keys, pa.int64()), **{c: pa.concat_arrays(x) for c, x in per_doc.items()},
+        "groups_sha256": pa.array(hashes, pa.string()), "groups": pa.array(kept, pa.string()),
+        "link_doc": pa.array(np.concatenate(link_doc)), "link_pair": pa.array(pair), "link_n": pa.array(n), "pair": pairs,
     }
     return pa.RecordBatch.from_arrays(
         [pa.array([name], pa.string())]

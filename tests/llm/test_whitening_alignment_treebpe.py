@@ -134,6 +134,36 @@ def test_common_pairs_have_one_row_a_batch(spark, docs):
     assert len(batches) == 1 and len({(p["a"], p["b"]) for p in batches[0]["pair"]}) == len(batches[0]["pair"]) == 4
 
 
+def test_a_batch_is_aligned_a_slice_at_a_time(monkeypatch):
+    """Tokens of few texts are held at once, whatever the batch; its row is that of the batch aligned whole."""
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 300)
+    rng = random.Random(9)
+    texts = ["", None, "\u2581x", *(" ".join(rng.choices(["word", "words", "漢字", "the", "a  b"], k=rng.randint(0, 60))) for _ in range(80)), "long " * 200]
+    tokenizers = alignment._tokenizers(tokenizer_path(), tokenizer_path(alignment.PIECES))
+    held, aligned_batch = [], alignment.aligned_batch
+    monkeypatch.setattr(alignment, "aligned_batch", lambda a, b, *more: held.append(len(a)) or aligned_batch(a, b, *more))
+    sliced = alignment._batch(list(range(len(texts))), texts, tokenizers, True)
+    assert len(held) > 5 and max(held) < len(texts) / 2 and sum(held) == len(texts)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 1 << 30)
+    whole = alignment._batch(list(range(len(texts))), texts, tokenizers, True)
+    row = lambda batch: batch.to_pylist()[0]
+    links = lambda r: sorted((d, *(r["pair"][p][x] for x in "ab"), n) for d, p, n in zip(r["link_doc"], r["link_pair"], r["link_n"], strict=True))
+    one, two = row(sliced), row(whole)
+    assert links(one) == links(two) and len(links(one)) > 100
+    assert sorted(map(str, one["pair"])) == sorted(map(str, two["pair"]))
+    for name in ("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"):
+        assert one[name] == two[name]
+
+
+def test_words_met_early_stay_known():
+    pieces = alignment.SentencePieces(tokenizer_path(alignment.PIECES), kept=100)
+    if pieces._by_word:
+        pieces.ids(["early bird"])
+        pieces.ids([" ".join(f"w{i}" for i in range(400))])
+        pieces.ids(["later"])
+        assert {"early", "bird", "later"} <= set(pieces._words) and len(pieces._words) <= 51
+
+
 # ---------------------------------------------------------------------------- whitening
 
 def test_rank_one_updates_equal_the_scatter_matrix():
