@@ -31,8 +31,8 @@ from chatloom.session import pinned, unpin
 #: The least numbers of frequent words and of classes; see ``sizes``.
 TOP_WORDS = 127
 CLASSES = 64
-#: Tokens that share a dictionary.
-CHUNK = 1 << 18
+#: Tokens that share a dictionary: the more they are, the fewer rows its words make for each token.
+CHUNK = 1 << 20
 HIDDEN = 16
 SIDE = 2
 #: Each round has every token of all documents as a target once.
@@ -62,19 +62,25 @@ class _Numbers(dict):
         return value
 
 
-def _number_type(n_words: int) -> type:
-    return np.uint16 if n_words <= 1 << 16 else np.uint32
+def _packed(numbers: np.ndarray) -> bytes:
+    """The lower halves of the numbers, then the upper halves, which are mostly zero and take little room."""
+    halves = np.ascontiguousarray(numbers, "<u4").view("<u2").reshape(-1, 2)
+    return halves.T.tobytes()
+
+
+def _unpacked(packed: memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, "<u2").reshape(2, -1).T).view("<u4").reshape(-1)
 
 
 def _chunks(batches):
     keys, found, numbers, size = [], [], _Numbers(), 0
 
     def put():
-        ids = np.concatenate(found).astype(_number_type(len(numbers)))
+        ids = np.concatenate(found)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([keys], pa.list_(pa.int64())), pa.array([[len(x) for x in found]], pa.list_(pa.int64())),
-                pa.array([ids.tobytes()], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string())),
+                pa.array([_packed(ids)], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string())),
                 pa.array([np.bincount(ids, minlength=len(numbers))], pa.list_(pa.int64())),
             ],
             names=["doc_ids", "lengths", "ids", "words", "counts"],
@@ -83,7 +89,8 @@ def _chunks(batches):
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             keys.append(doc_id)
-            found.append(np.array([numbers[t] for t in tokens(text.as_py())], np.uint32))
+            words = tokens(text.as_py())
+            found.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             size += len(found[-1])
             if size >= CHUNK:
                 yield put()
@@ -151,17 +158,18 @@ def _encode(symbols: Symbols, totals: np.ndarray):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, lengths, ids, words, logs = (batch.column(n)[row].as_py() for n in ("doc_ids", "lengths", "ids", "words", "logs"))
-                symbol = np.array([symbols[w] for w in words], np.uint32)
+                keys, lengths, words, logs = (batch.column(n)[row].values for n in ("doc_ids", "lengths", "words", "logs"))
+                lengths, words = lengths.to_numpy(), words.to_pylist()
+                symbol = np.fromiter(map(symbols.__getitem__, words), np.uint32, len(words))
                 share = np.zeros(len(words))
                 rare = symbol >= symbols.first
-                logs = (np.array(logs or [], np.int64) & 0xFFFFFFFF) / _LOG_UNIT
+                logs = (np.zeros(0, np.int64) if logs is None else logs.to_numpy() & 0xFFFFFFFF) / _LOG_UNIT
                 share[rare] = logs[rare] - np.log(totals[symbol[rare] - symbols.first])
-                ids = np.frombuffer(ids, _number_type(len(words)))
+                ids = _unpacked(batch.column("ids")[row].as_buffer())
                 sums = np.bincount(np.repeat(np.arange(len(keys)), lengths), share[ids], len(keys))
                 found = [x.tobytes() for x in np.split(symbol[ids], np.cumsum(lengths)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(sums), pa.array(found, pa.binary())], names=["doc_id", "in_class", "ids"]
+                    [keys, pa.array(sums), pa.array(found, pa.binary())], names=["doc_id", "in_class", "ids"]
                 )
 
     return run

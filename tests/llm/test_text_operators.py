@@ -447,3 +447,15 @@ def test_symbols_follow_the_corpus(docs, monkeypatch):
     encoded, size = maskedlm.encoded(docs(rows), top_words=600, classes=100)
     assert size == 701 and max(max(np.frombuffer(r["ids"], np.uint32)) for r in encoded.collect()) > 255
     assert len(maskedlm.scored(docs(rows), top_words=600, classes=100, rounds=1).collect()) == 30
+
+
+def test_a_dictionary_serves_a_million_tokens():
+    """Its words are rows of two shuffles, so one for a quarter of the tokens made more than half as many again."""
+    texts = [" ".join(f"w{i % 70_000}" for i in range(n, n + 10_000)) for n in range(0, 300_000, 10_000)]
+    rows = list(maskedlm._chunks(iter([pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert len(rows) == 1 and len(rows[0].column("words")[0].values) == 70_000
+    row = rows[0].to_pylist()[0]
+    numbers = maskedlm._unpacked(row["ids"])
+    assert [row["words"][i] for i in numbers] == " ".join(texts).split() and row["lengths"] == [10_000] * 30
+    assert max(numbers) > 65_535 and np.bincount(numbers).tolist() == row["counts"]
+    assert maskedlm._unpacked(maskedlm._packed(np.zeros(0, np.uint32))).tolist() == []
