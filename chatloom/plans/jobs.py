@@ -125,11 +125,25 @@ def sentence_vectors(
 
     ``key`` must identify rows. A text without any sentence gets a zero vector.
     """
-    parts = documents.select(*key, F.posexplode(sentences(F.col(column))).alias("position", "sentence"))
-    each = features.hashed_vectors(with_words(parts, "sentence"), [*key, "position"], "words", size)
+    keys = list(key)
+    # a key that repeats is rare: only its rows are put together, sentence by sentence
+    repeated = pinned(
+        documents.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*keys), "repeated"
+    )
+    split = F.transform(sentences(F.col(column)), content_words)
+    alone = documents.join(repeated, keys, "left_anti").dropna(subset=keys).select(*keys, split.alias("_sentences"))
+    found = features.hashed_list_vectors(alone, keys, "_sentences", size)
+
+    again = documents.join(repeated, keys, "left_semi").select(*keys, column)
+    parts = again.select(*keys, F.posexplode(sentences(F.col(column))).alias("position", "sentence"))
+    each = features.hashed_vectors(with_words(parts, "sentence"), [*keys, "position"], "words", size)
     zero = F.array_repeat(F.lit(0.0), size)
-    pooled = documents.select(*key).join(features.mean_pool(each, key, "vector"), list(key), "left")
-    return pooled.select(*key, F.coalesce("vector", zero).alias("vector"))
+    pooled = again.select(*keys).join(features.mean_pool(each, keys, "vector"), keys, "left")
+    missing = F.lit(False)
+    for name in keys:
+        missing |= F.col(name).isNull()
+    without_key = documents.where(missing).select(*keys, zero.alias("vector"))
+    return found.unionAll(pooled.select(*keys, F.coalesce("vector", zero).alias("vector"))).unionAll(without_key)
 
 
 def classify_vectors(

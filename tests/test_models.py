@@ -169,6 +169,33 @@ def test_sentence_vectors_are_means_of_sentences(spark):
     assert max(abs(a - (b + c) / 2) for a, b, c in zip(got[1], got[2], got[3])) < 1e-12 and any(got[1])
 
 
+def test_sentence_vectors_shuffle_no_sentences(spark, tmp_path):
+    """Bits are counted where a text is read: neither its tokens nor its sentences are rows of a shuffle."""
+    texts = spark.createDataFrame([(i, f"river stone{i}. lamp post! " * 3) for i in range(20)], "k int, text string")
+    plan = jobs.sentence_vectors(texts, ["k"], size=16)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.index("MapInArrow"):]
+    assert "Generate" not in first[:first.index("\n")] and plan.count("Generate") == 1  # of repeated keys alone
+
+
+def test_repeated_and_missing_keys_keep_their_sentence_vectors(spark):
+    rows = [(1, "river stone. lamp"), (1, "lamp"), (2, "river stone"), (3, "lamp"), (None, "lamp"), (None, "x")]
+    got = jobs.sentence_vectors(spark.createDataFrame(rows, "k int, text string"), ["k"], size=16).collect()
+    by = {k: [r["vector"] for r in got if r["k"] == k] for k in (1, 2, 3, None)}
+    assert [len(by[k]) for k in (1, 2, 3, None)] == [2, 1, 1, 2] and by[None] == [[0.0] * 16] * 2
+    # both rows' first sentences are one sentence of three words
+    first = [(2 * b + c) / 3 for b, c in zip(by[2][0], by[3][0])]
+    assert by[1][0] == by[1][1] == pytest.approx([(a + c) / 2 for a, c in zip(first, by[3][0])])
+
+
+def test_long_lists_and_missing_tokens_are_counted(spark):
+    many = [None, *["a"] * 700, *["b"] * 300, ""]
+    rows = [(1, many), (1, ["b"]), (2, [None]), (None, ["a"]), (3, []), (4, None), (None, None)]
+    got = {r["k"]: r["vector"] for r in features.hashed_vectors(spark.createDataFrame(rows, "k int, words array<string>"), "k", size=12).collect()}
+    bits = {t: [2 * (int(hashlib.md5(t.encode()).hexdigest(), 16) >> (127 - i) & 1) - 1 for i in range(12)] for t in ("a", "b", "")}
+    assert got[1] == pytest.approx([(700 * a + 301 * b + e) / 1002 for a, b, e in zip(bits["a"], bits["b"], bits[""])])
+    assert got[None] == bits["a"] and got[2] == got[3] == got[4] == [0.0] * 12
+
+
 def test_missing_features_are_an_error(spark):
     rows = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 1, None)], "chats int, videoDays int, uniqueChatters int, totalBodyLength int")
     with pytest.raises(Exception, match="null"):
