@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +19,8 @@ from ..session import pinned, unpin
 
 #: Directions beyond those asked for, which the iteration carries along to converge sooner.
 SPARE = 8
+#: Tokens that share a dictionary, and whose meetings are counted together in a task.
+CHUNK = 1 << 20
 
 
 def cooccurrences(df: DataFrame, words: Column, window: int = 5) -> DataFrame:
@@ -43,13 +47,94 @@ def cooccurrences(df: DataFrame, words: Column, window: int = 5) -> DataFrame:
     return one_way.select(F.inline(ends))
 
 
+def _numbered_chunks(window: int, most: int):
+    """Lists of tokens as numbers in a dictionary, which also has each token's meetings."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, start = np.cumsum(sizes), 0
+            while start < len(sizes):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+                coded = pc.list_flatten(lists.slice(start, stop - start)).dictionary_encode()
+                code, own = coded.indices.to_numpy(zero_copy_only=False).astype("<u4"), sizes[start:stop]
+                before = np.arange(len(code)) - np.repeat(np.cumsum(own) - own, own)
+                meets = np.minimum(before, window) + np.minimum(np.repeat(own, own) - 1 - before, window)
+                meetings = np.bincount(code, meets, len(coded.dictionary)).astype(np.int64)
+                columns = [
+                    pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()),
+                    *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (coded.dictionary.cast(pa.string()), pa.array(meetings))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["sizes", "codes", "words", "meetings"])
+                start = stop
+
+    return run
+
+
+def _chunk_pairs(window: int):
+    """Meetings in each chunk, once for two tokens: the one that meets less, or has the smaller id, is ``a``."""
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sizes, code = (np.frombuffer(batch.column(c)[row].as_buffer(), "<u4") for c in ("sizes", "codes"))
+                if batch.column("ids")[row].values is None or len(code) < 2:
+                    continue
+                ids, of = (batch.column(c)[row].values.to_numpy() for c in ("ids", "of"))
+                order = np.lexsort((ids, of))
+                place = np.empty(len(ids), np.int64)
+                place[order] = np.arange(len(ids))
+                at, doc = place[code], np.repeat(np.arange(len(sizes)), sizes)
+                met = []
+                for step in range(1, window + 1):
+                    same = doc[step:] == doc[:-step]
+                    x, y = at[:-step][same], at[step:][same]
+                    met.append((np.minimum(x, y) << 32) + np.maximum(x, y))
+                pair, n = np.unique(np.concatenate(met), return_counts=True)
+                a, b = order[pair >> 32], order[pair & 0xFFFFFFFF]
+                for k in range(0, len(pair), 1 << 17):
+                    part = slice(k, k + (1 << 17))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (ids[a[part]], ids[b[part]], of[a[part]], of[b[part]], n[part])], names=["a", "b", "of_a", "of_b", "n"]
+                    )
+
+    return run
+
+
+def numbered_cooccurrences(df: DataFrame, words: Column, window: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``cooccurrences`` with numbers for tokens, and the table of their names (``token``, ``id``, ``of``).
+
+    The pairs carry ``of_a``, ``of_b`` and ``of_all``, the meetings of their tokens and of all, which are known
+    from the tokens' places before any pair is counted: a pair is shuffled once, as numbers, and joined
+    with nothing. Tokens get their numbers by dictionaries of many texts.
+    """
+    named = df.select(F.filter(words, lambda w: w != "").alias("_words"))
+    lists = named.mapInArrow(_numbered_chunks(window, CHUNK), "sizes binary, codes binary, words array<string>, meetings array<long>")
+    chunks = pinned(lists.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    met = chunks.select(F.inline(F.arrays_zip("words", "meetings")).alias("token", "n"))
+    totals = met.groupBy("token").agg(F.sum("n").alias("of"))
+    names = pinned(totals.withColumn("id", F.monotonically_increasing_id()), "names")
+    entries = chunks.select("chunk", F.posexplode("words").alias("at", "token")).join(names, "token")
+    known = entries.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "id", "of"))).alias("known"))
+    rows = chunks.select("chunk", "sizes", "codes").join(known, "chunk").select("sizes", "codes", F.col("known.id").alias("ids"), F.col("known.of").alias("of"))
+    met = rows.mapInArrow(_chunk_pairs(window), "a long, b long, of_a long, of_b long, n long")
+    one_way = met.groupBy("a", "b", "of_a", "of_b").agg(F.sum("n").alias("n"))
+    there = F.struct("a", "b", "of_a", "of_b", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("of_b").alias("of_a"), F.col("of_a").alias("of_b"), "n")
+    ends = F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))
+    return one_way.select(F.inline(ends)).withColumn("of_all", names.agg(F.sum("of")).scalar()), names
+
+
 def positive_pmi(pairs: DataFrame, min_count: int = 1) -> DataFrame:
     """``a``, ``b``, ``n`` and ``ppmi`` of the pairs that meet more often than chance has it.
 
     ln(n(a, b) N / (n(a) n(b))), where it is above 0. Tokens that take part in fewer than
     ``min_count`` meetings stay in the totals but have no pair. ``pairs`` is read three times: pass
-    a ``pinned`` table.
+    a ``pinned`` table, or pairs that carry their totals (``numbered_cooccurrences``), which are read once.
     """
+    if {"of_a", "of_b", "of_all"} <= set(pairs.columns):
+        ppmi = F.log(F.col("n").cast("double") * F.col("of_all") / (F.col("of_a").cast("double") * F.col("of_b")))
+        known = pairs.where((F.col("of_a") >= min_count) & (F.col("of_b") >= min_count))
+        return known.select("a", "b", "n", ppmi.alias("ppmi")).where(F.col("ppmi") > 0)
     totals = pairs.groupBy("a").agg(F.sum("n").alias("of_a"))
     frequent = totals.where(F.col("of_a") >= min_count)
     everything = totals.agg(F.sum("of_a")).scalar()

@@ -388,19 +388,17 @@ def sentence_vectors(spark, sf_dir):
     return _places(jobs.sentence_vectors(bindings.documents(spark, sf_dir), ["doc_id"]))
 
 
-def _meetings(spark, sf_dir):
-    words = text.content_words(F.col("text"))
-    return pinned(embeddings.cooccurrences(bindings.documents(spark, sf_dir), words), "pairs")
-
-
 @query
 def token_associations(spark, sf_dir):
     """How many tokens each token meets beyond chance, and how strongly."""
-    pairs = embeddings.positive_pmi(_meetings(spark, sf_dir), min_count=20)
-    found = pairs.groupBy("a").agg(
+    words = text.content_words(F.col("text"))
+    meetings, names = embeddings.numbered_cooccurrences(bindings.documents(spark, sf_dir), words)
+    found = embeddings.positive_pmi(meetings, min_count=20).groupBy("a").agg(
         F.count("*").alias("partners"), F.sum("n").alias("meetings"), F.sum("ppmi").alias("strength")
     )
-    return found.select(F.col("a").alias("token"), "partners", "meetings", F.round("strength", 4).alias("strength"))
+    return found.join(names, F.col("a") == F.col("id")).select(
+        "token", "partners", "meetings", F.round("strength", 4).alias("strength")
+    )
 
 
 @query

@@ -66,6 +66,29 @@ def test_association_is_beyond_chance(spark, words):
     assert {(r["a"], r["b"]): r["ppmi"] for r in found} == pytest.approx(expected)
 
 
+@pytest.mark.parametrize(("window", "chunk"), [(1, 50), (3, 1 << 20), (50, 200)])
+def test_numbered_meetings_carry_their_totals(spark, words, monkeypatch, window, chunk):
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    pairs, names = embeddings.numbered_cooccurrences(words.repartition(3), F.col("words"), window)
+    name = {r["id"]: r["token"] for r in names.collect()}
+    expected, totals = counted(window), Counter()
+    for (a, _), n in expected.items():
+        totals[a] += n
+    rows = pairs.collect()
+    assert {(name[r["a"]], name[r["b"]]): r["n"] for r in rows} == expected and len(rows) == len(expected)
+    assert all((r["of_a"], r["of_b"], r["of_all"]) == (totals[name[r["a"]]], totals[name[r["b"]]], totals.total()) for r in rows)
+    found = {(name[r["a"]], name[r["b"]]): r["ppmi"] for r in embeddings.positive_pmi(pairs, 100).collect()}
+    plain = embeddings.positive_pmi(embeddings.cooccurrences(words, F.col("words"), window), 100).collect()
+    assert found == pytest.approx({(r["a"], r["b"]): r["ppmi"] for r in plain}) and found
+
+
+def test_pairs_are_shuffled_once(spark, words):
+    pairs, _ = embeddings.numbered_cooccurrences(words, F.col("words"), 3)
+    plan = embeddings.positive_pmi(pairs, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[:plan.index("_chunk_pairs" if "_chunk_pairs" in plan else "MapInArrow")] and plan.count("Aggregate [a") == 1
+    assert embeddings.positive_pmi(embeddings.numbered_cooccurrences(words.limit(0), F.col("words"))[0]).collect() == []
+
+
 def test_vectors_are_the_leading_eigenvectors(ppmi):
     rows = ppmi.collect()
     names = sorted({r["a"] for r in rows})
