@@ -8,12 +8,14 @@ the same offset, an Acero hash join on the key (document, end) finds it; such an
 Ids that end together are linked. A batch counts its links by pair of ids with ``Table.group_by``;
 Spark merges those counts over the corpus, gives each pair its count and each B id its best, and
 brings them back to the batches, each of which kept its pairs in a dictionary. A pair has one row a
-batch on that way, never one a document, so the most common pair is no hot key.
+batch on that way, never one a document, so the most common pair is no hot key. A batch's links
+travel as compressed bytes, and one batch at a time meets its counts.
 """
 
 import hashlib
 import os
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.tokens import encoder, tokenizer_path
+from chatloom.llm.tokens import PieceEncoder, tokenizer_path
 from chatloom.llm.treebpe import byte_letters
-from chatloom.llm.workers import arrow_map
+from chatloom.llm.workers import arrow_cogroup_map, arrow_map
 from chatloom.session import pinned
 
 PIECES = "piece_bpe_32k.model"
@@ -32,7 +34,10 @@ BATCH_BYTES = 4_000_000
 BATCH_DOCS = 4096
 #: Bytes of text of a batch whose tokens are held at once; the batch keeps their links alone.
 SLICE_BYTES = 1_000_000
+#: Words and pieces whose ids a worker keeps, and bytes of a row group of batches: none grows with the corpus.
 _KEPT = 200_000
+_KEPT_PIECES = 400_000
+_ROW_GROUP_BYTES = 16 << 20
 #: Bits of a byte offset in a key of document and offset, and of an id in a pair's.
 _KEY_BITS, _ID_BITS = 40, 31
 #: A blank between two other letters, and what makes it more than a plain split at blanks.
@@ -40,9 +45,9 @@ _LONE_BLANK = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 _BLANKS = re.compile("  |▁|^ | $")
 
 BATCHES = (
-    "batch string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
+    "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
     "n_links array<long>, groups_sha256 array<string>, groups array<string>, "
-    "link_doc array<int>, link_pair array<int>, link_n array<int>, pair array<struct<a:int,b:int,n:long>>"
+    "links binary, pair array<struct<a:int,b:int,n:long>>"
 )
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
@@ -56,7 +61,7 @@ class BytePieces:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._encode = encoder(path).encode
+        self._encode = PieceEncoder(path, _KEPT_PIECES).encode
         if len(self._encode(["."])[0]) != 4:
             raise ValueError("a full stop should be one id")
         vocabulary = Tokenizer.from_file(path).get_vocab()
@@ -269,53 +274,77 @@ def _batch(keys: list, texts: list[str | None], tokenizers, with_groups: bool) -
     )
 
 
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch without its name, its links as bytes: each document's number of links, steps between their pairs, counts."""
+    doc, pair, n = (batch.column(c)[0].values.to_numpy() for c in ("link_doc", "link_pair", "link_n"))
+    order = np.lexsort((pair, doc))
+    per_doc = np.bincount(doc, minlength=len(batch.column("doc_id")[0].values))
+    packed = np.concatenate((per_doc, np.diff(pair[order], prepend=0), n[order])).astype("<i4")
+    taken = [f.split()[0] for f in BATCHES.split(", ")]
+    links = pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())
+    return pa.RecordBatch.from_arrays([links if c == "links" else batch.column(c) for c in taken], names=taken)
+
+
+def _links(packed: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, pair and count of the links that ``_packed`` wrote."""
+    numbers = np.frombuffer(zlib.decompress(packed), "<i4")
+    per_doc, rest = numbers[:n_docs], numbers[n_docs:]
+    steps, n = rest[:len(rest) // 2], rest[len(rest) // 2:]
+    return np.repeat(np.arange(n_docs, dtype=np.int32), per_doc), np.cumsum(steps, dtype=np.int64), n
+
+
 # ---------------------------------------------------------------------------- Spark
 
 def _align(path_a: str, path_b: str, with_groups: bool):
     def run(batches):
         tokenizers, keys, texts, held = _tokenizers(path_a, path_b), [], [], 0
+
+        def done():
+            row = _packed(_batch(keys, texts, tokenizers, with_groups))
+            pa.default_memory_pool().release_unused()
+            return row
+
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             for key, text, size in zip(batch.column("doc_id").to_pylist(), batch.column("text"), sizes, strict=True):
                 if texts and (held + size > BATCH_BYTES or len(texts) == BATCH_DOCS):
-                    yield _batch(keys, texts, tokenizers, with_groups)
+                    yield done()
                     keys, texts, held = [], [], 0
                 keys.append(key)
                 texts.append(text.as_py())
                 held += size
         if texts:
-            yield _batch(keys, texts, tokenizers, with_groups)
+            yield done()
 
     return run
 
 
-def _summed(batches):
-    for batch in batches:
-        for n in range(batch.num_rows):
-            column = lambda name: batch.column(name)[n].values  # noqa: E731, B023
-            doc_id = column("doc_id")
-            counts, best = column("counts"), column("best")
-            sums = np.zeros((2, len(doc_id)), np.int64)
-            links = pa.table({"doc": column("link_doc"), "n": column("link_n")})
-            if len(links):
-                at = column("link_pair")
-                times = links["n"].cast(pa.int64())
-                links = pa.table({
-                    "doc": links["doc"], "best": pc.if_else(pc.take(best, at), times, 0),
-                    "count": pc.multiply(times, pc.take(counts, at)),
-                }).group_by("doc", use_threads=False).aggregate([("best", "sum"), ("count", "sum")])
-                sums[:, links["doc"].to_numpy()] = links["best_sum"].to_numpy(), links["count_sum"].to_numpy()
-            groups = column("groups")
-            yield pa.RecordBatch.from_arrays(
-                [doc_id, *(column(c) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]),
-                 column("groups_sha256"), groups if len(groups) else pa.nulls(len(doc_id), pa.string())],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"],
-            )
+def _summed(kept: pa.Table, entries: pa.Table) -> pa.Table:
+    """The documents of one batch; ``entries`` says of each of its pairs how often the corpus has it."""
+    _TOKENIZERS.clear()  # this worker has encoded; its executor needs the memory now
+    entries = entries.sort_by("at")
+    counts, best = entries["count"].to_numpy(), entries["best"].to_numpy()
+    column = lambda name: kept[name][0].values
+    doc_id = column("doc_id")
+    sums = np.zeros((2, len(doc_id)), np.int64)
+    doc, at, n = _links(kept["links"][0].as_py(), len(doc_id))
+    if len(doc):
+        links = pa.table({"doc": doc, "best": np.where(best[at], n, 0).astype(np.int64), "count": n * counts[at]})
+        links = links.group_by("doc", use_threads=False).aggregate([("best", "sum"), ("count", "sum")])
+        sums[:, links["doc"].to_numpy()] = links["best_sum"].to_numpy(), links["count_sum"].to_numpy()
+    groups = column("groups")
+    return pa.table(
+        [doc_id, *(column(c) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]),
+         column("groups_sha256"), groups if len(groups) else pa.nulls(len(doc_id), pa.string())],
+        names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"],
+    )
 
 
 def batches(docs: DataFrame, path_a: str, path_b: str, with_groups: bool) -> DataFrame:
+    """Rows of ``BATCHES``, numbered in ``batch``: batches that hold the same stay apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pinned(arrow_map(rows, _align(path_a, path_b, with_groups), BATCHES), "alignment")
+    found = arrow_map(rows, _align(path_a, path_b, with_groups), BATCHES)
+    return pinned(found.withColumn("batch", F.monotonically_increasing_id()), "alignment", _ROW_GROUP_BYTES)
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -343,13 +372,6 @@ def aligned(
     path_a, path_b = path_a or tokenizer_path(), path_b or tokenizer_path(PIECES)
     kept = batches(docs, path_a, path_b, with_groups)
     counts = link_counts(kept)
-    entries = kept.select("batch", F.posexplode("pair").alias("at", "p")).select("batch", "at", "p.a", "p.b")
-    entry = F.struct("at", "count", "best")
-    dictionaries = (
-        entries.join(counts, ["a", "b"]).groupBy("batch").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .select("batch", F.col("entries.count").alias("counts"), F.col("entries.best").alias("best"))
-    )
-    none = (F.array().cast("array<long>"), F.array().cast("array<boolean>"))
-    rows = kept.drop("pair").join(dictionaries, "batch", "left")
-    rows = rows.withColumn("counts", F.coalesce("counts", none[0])).withColumn("best", F.coalesce("best", none[1]))
-    return arrow_map(rows.drop("batch"), _summed, ALIGNED)
+    entries = kept.select("batch", F.posexplode("pair").alias("at", "p")).select(F.col("batch").alias("of"), "at", "p.a", "p.b")
+    entries = entries.join(counts, ["a", "b"]).select("of", "at", "count", "best")
+    return arrow_cogroup_map(docs.sparkSession, kept.drop("pair").groupBy("batch"), entries.groupBy("of"), _summed, ALIGNED)

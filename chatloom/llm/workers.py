@@ -30,6 +30,12 @@ def group_map(spark: SparkSession, groups: GroupedData, function, schema: str) -
     return groups.applyInPandas(function, schema)
 
 
+def arrow_cogroup_map(spark: SparkSession, left: GroupedData, right: GroupedData, function, schema: str) -> DataFrame:
+    """``function`` takes and gives the Arrow tables of one key, those of both sides."""
+    _reachable(spark)
+    return left.cogroup(right).applyInArrow(function, schema)
+
+
 def fresh(rows: DataFrame, name: str) -> str:
     """``name``, lengthened until ``rows`` has no such column."""
     taken = {c.lower() for c in rows.columns}

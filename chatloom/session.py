@@ -56,14 +56,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame, name: str = "table") -> DataFrame:
+def pinned(df: DataFrame, name: str = "table", row_group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once, for callers that read it many times.
 
     A lost executor costs a re-read of the files, not a re-run of the lineage, and each reader
     takes only the columns it needs. The files stay until ``unpin`` or ``remove_intermediate``.
+    A task holds a row group while it writes and while it reads, and at least a hundred rows: give
+    ``row_group_bytes`` where rows are large.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if row_group_bytes:
+        writer = writer.options(**{"parquet.block.size": row_group_bytes, "parquet.block.size.row.check.min": 1})
+    writer.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._pinned_path = path
     return table

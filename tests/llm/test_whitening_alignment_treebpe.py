@@ -155,6 +155,32 @@ def test_a_batch_is_aligned_a_slice_at_a_time(monkeypatch):
         assert one[name] == two[name]
 
 
+def test_links_travel_packed_and_unpack_to_the_same():
+    rng = random.Random(2)
+    texts = ["", None, *(" ".join(rng.choices(["word", "words", "漢字", "the", "a  b"], k=rng.randint(0, 90))) for _ in range(120)), "\u2581x"]
+    whole = alignment._batch(list(range(len(texts))), texts, alignment._tokenizers(tokenizer_path(), tokenizer_path(alignment.PIECES)), False)
+    packed = alignment._packed(whole)
+    named = lambda links: sorted(zip(*(x.tolist() for x in links), strict=True))
+    arrays = [whole.column(c)[0].values.to_numpy() for c in ("link_doc", "link_pair", "link_n")]
+    assert named(alignment._links(packed["links"][0].as_py(), len(texts))) == named(arrays) and len(arrays[0]) > 300
+    assert len(packed["links"][0].as_py()) < sum(a.nbytes for a in arrays) / 3
+    none = alignment._packed(alignment._batch([1], [None], alignment._tokenizers(tokenizer_path(), tokenizer_path(alignment.PIECES)), False))
+    assert [len(x) for x in alignment._links(none["links"][0].as_py(), 1)] == [0, 0, 0]
+
+
+def test_batches_that_hold_the_same_stay_apart(spark, docs, tokenizer):
+    rows = [(1, "the same words"), (2, "words the the"), (3, "same same again"), (4, None)]
+    table = docs(rows * 4)
+    assert table.rdd.getNumPartitions() == 4
+    tokenizer.encode_special_tokens = True
+    try:
+        expected = plain_alignment(rows * 4, tokenizer)
+    finally:
+        tokenizer.encode_special_tokens = False
+    found = alignment.aligned(table, with_groups=True).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+
+
 def test_words_met_early_stay_known():
     pieces = alignment.SentencePieces(tokenizer_path(alignment.PIECES), kept=100)
     if pieces._by_word:
