@@ -5,6 +5,7 @@ and tokens are joined with vectors by key, so neither the vocabulary nor the pai
 anywhere whole. Products with the small matrices are numpy's, on Arrow batches.
 """
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,7 +21,11 @@ from ..session import pinned, unpin
 #: Directions beyond those asked for, which the iteration carries along to converge sooner.
 SPARE = 8
 #: Tokens that share a dictionary, and whose meetings are counted together in a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
+#: Meetings that a task holds at once: of a chunk, a part of its pairs after the other, and of the corpus those of a bucket.
+HELD = 1 << 22
+#: Meetings of the buckets that one task counts, one bucket after the other.
+TASK = 1 << 25
 
 
 def cooccurrences(df: DataFrame, words: Column, window: int = 5) -> DataFrame:
@@ -47,81 +52,192 @@ def cooccurrences(df: DataFrame, words: Column, window: int = 5) -> DataFrame:
     return one_way.select(F.inline(ends))
 
 
+def _coding():
+    """Functions that write arrays of numbers from 0 on as few bytes, and read them again."""
+    def pack(*arrays) -> bytes:
+        out = []
+        for x in arrays:
+            width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+            # lowest bytes of all numbers first: higher ones are mostly zero
+            planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+            out += [np.array([len(x), width], "<u4").tobytes(), planes.tobytes()]
+        deflate = zlib.compressobj(1, strategy=zlib.Z_RLE)
+        return deflate.compress(b"".join(out)) + deflate.flush()
+
+    def unpack(packed: bytes) -> list[np.ndarray]:
+        raw, at, arrays = zlib.decompress(packed), 0, []
+        while at < len(raw):
+            size, width = np.frombuffer(raw, "<u4", 2, at).tolist()
+            x = np.zeros((size, 8), np.uint8)
+            x[:, :width] = np.frombuffer(raw, np.uint8, size * width, at + 8).reshape(width, size).T
+            arrays.append(x.view("<i8").reshape(-1))
+            at += 8 + size * width
+        return arrays
+
+    return pack, unpack
+
+
 def _numbered_chunks(window: int, most: int):
     """Lists of tokens as numbers in a dictionary, which also has each token's meetings."""
+    pack, _ = _coding()
+
+    def chunk(held):
+        lists = pa.concat_arrays(held)
+        own = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        before = np.arange(len(code)) - np.repeat(np.cumsum(own) - own, own)
+        meets = np.minimum(before, window) + np.minimum(np.repeat(own, own) - 1 - before, window)
+        meetings = np.bincount(code, meets, len(coded.dictionary)).astype(np.int64)
+        columns = [pa.array([pack(own, code)], pa.binary()), *(
+            pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (coded.dictionary.cast(pa.string()), pa.array(meetings))
+        )]
+        return pa.RecordBatch.from_arrays(columns, names=["lists", "words", "meetings"])
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             lists = batch.column(0)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends, start = np.cumsum(sizes), 0
-            while start < len(sizes):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-                coded = pc.list_flatten(lists.slice(start, stop - start)).dictionary_encode()
-                code, own = coded.indices.to_numpy(zero_copy_only=False).astype("<u4"), sizes[start:stop]
-                before = np.arange(len(code)) - np.repeat(np.cumsum(own) - own, own)
-                meets = np.minimum(before, window) + np.minimum(np.repeat(own, own) - 1 - before, window)
-                meetings = np.bincount(code, meets, len(coded.dictionary)).astype(np.int64)
-                columns = [
-                    pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([code.tobytes()], pa.binary()),
-                    *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (coded.dictionary.cast(pa.string()), pa.array(meetings))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["sizes", "codes", "words", "meetings"])
+            ends, start = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while start < len(ends):
+                done = int(ends[start - 1]) if start else 0
+                stop = int(np.searchsorted(ends, done + most - n, "right"))
+                if stop == start and not held:
+                    stop += 1  # a longer list has a chunk by itself
+                if stop > start:
+                    held.append(lists.slice(start, stop - start))
+                    n += int(ends[stop - 1]) - done
+                if stop < len(ends):
+                    yield chunk(held)
+                    held, n = [], 0
                 start = stop
+        if held:
+            yield chunk(held)
 
     return run
 
 
-def _chunk_pairs(window: int):
-    """Meetings in each chunk, once for two tokens: the one that meets less, or has the smaller id, is ``a``."""
+def _chunk_pairs(window: int, buckets: int, tokens: int, most: int):
+    """Meetings in a chunk, once for two tokens, as a row of bytes for each bucket: the token with the larger id,
+    which meets less, is dealt by that id; its partners are written as steps."""
+    pack, unpack = _coding()
+    width = -(-tokens // buckets)
+
+    def run(chunk, entries):
+        sizes, code = unpack(chunk["lists"][0].as_py())
+        ids = np.full(int(code.max(initial=-1)) + 1, -1, np.int32 if width * buckets < 1 << 31 else np.int64)
+        ids[entries["at"].to_numpy()] = entries["id"].to_numpy()
+        dealt = ids % buckets * width + ids // buckets  # buckets one after the other
+        at, place, doc = ids[code], dealt[code], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        number, packed = [], []
+        parts = max(1, min(buckets, -(-len(code) * window // most)))
+        bounds = np.arange(parts + 1) * buckets // parts
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            met = []
+            for step in range(1, window + 1):
+                x, y = at[:-step], at[step:]
+                rare = np.where(x > y, place[:-step], place[step:])
+                both = (doc[step:] == doc[:-step]) & (np.minimum(x, y) >= 0) & (rare >= low * width) & (rare < high * width)
+                met.append((rare[both].astype(np.int64) << 32) + np.minimum(x[both], y[both]))
+            pair, n = np.unique(np.concatenate(met), return_counts=True)
+            rare, other = pair >> 32, pair & 0xFFFFFFFF
+            ends = np.searchsorted(rare, np.arange(low, high + 1) * width)
+            for bucket, start, stop in zip(range(low, high), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if stop > start:
+                    own = rare[start:stop] - bucket * width
+                    first = np.flatnonzero(np.diff(own, prepend=-1))
+                    steps = np.diff(other[start:stop], prepend=0)
+                    steps[first] = other[start:stop][first]
+                    number.append(bucket)
+                    packed.append(pack(np.diff(own[first], prepend=0), np.diff(first, append=stop - start), steps, n[start:stop] - 1))
+        return pa.table([pa.array(number, pa.int64()), pa.array(packed, pa.binary())], names=["a_bucket", "pairs"])
+
+    return run
+
+
+def _bucket_pairs(buckets: int, levels: tuple[np.ndarray, np.ndarray]):
+    """Pairs of a bucket with their meetings in all chunks; ``levels`` are meetings of a token and the first id that has so many."""
+    _, unpack = _coding()
+    meetings, first_id = levels
+
+    def counted(chunks):
+        keys, counts = [], []
+        for packed in chunks:
+            own, partners, steps, n = unpack(packed.as_py())
+            sums = np.cumsum(steps)
+            first = np.cumsum(partners) - partners
+            other = sums - np.repeat(sums[first] - steps[first], partners)
+            keys.append((np.repeat(np.cumsum(own), partners) << 32) + other)
+            counts.append(n + 1)
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        start = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[start], np.add.reduceat(counts, start)
+
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                sizes, code = (np.frombuffer(batch.column(c)[row].as_buffer(), "<u4") for c in ("sizes", "codes"))
-                if batch.column("ids")[row].values is None or len(code) < 2:
-                    continue
-                ids, of = (batch.column(c)[row].values.to_numpy() for c in ("ids", "of"))
-                order = np.lexsort((ids, of))
-                place = np.empty(len(ids), np.int64)
-                place[order] = np.arange(len(ids))
-                at, doc = place[code], np.repeat(np.arange(len(sizes)), sizes)
-                met = []
-                for step in range(1, window + 1):
-                    same = doc[step:] == doc[:-step]
-                    x, y = at[:-step][same], at[step:][same]
-                    met.append((np.minimum(x, y) << 32) + np.maximum(x, y))
-                pair, n = np.unique(np.concatenate(met), return_counts=True)
-                a, b = order[pair >> 32], order[pair & 0xFFFFFFFF]
-                for k in range(0, len(pair), 1 << 17):
-                    part = slice(k, k + (1 << 17))
+            for bucket, chunks in zip(batch.column("a_bucket").to_pylist(), batch.column("pairs"), strict=True):
+                keys, counts = counted(chunks.values)
+                for k in range(0, len(keys), 1 << 17):
+                    some = keys[k:k + (1 << 17)]
+                    a, b = (some >> 32) * buckets + bucket, some & 0xFFFFFFFF
+                    of_a, of_b = (meetings[np.searchsorted(first_id, x, "right") - 1] for x in (a, b))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (ids[a[part]], ids[b[part]], of[a[part]], of[b[part]], n[part])], names=["a", "b", "of_a", "of_b", "n"]
+                        [pa.array(x) for x in (a, b, of_a, of_b, counts[k:k + (1 << 17)])], names=["a", "b", "of_a", "of_b", "n"]
                     )
 
     return run
 
 
-def numbered_cooccurrences(df: DataFrame, words: Column, window: int = 5) -> tuple[DataFrame, DataFrame]:
+def _ranked(totals: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """``totals`` with an ``id`` from 0 on in falling order of ``of``, and the levels: each ``of`` with its first id.
+
+    Their number is at most the root of twice the sum of ``of``; they and a number for each partition are all the driver sees.
+    """
+    ordered = totals.orderBy(F.col("of").desc(), "token").withColumn("_id", F.monotonically_increasing_id())
+    names = pinned(ordered, "names")
+    sizes = dict(names.groupBy(F.shiftright("_id", 33)).count().collect())
+    starts, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    start = F.element_at(F.array(*map(F.lit, starts)).cast("array<long>"), (F.shiftright("_id", 33) + 1).cast("int"))
+    levels = np.array(sorted(map(tuple, names.groupBy("of").count().collect()), reverse=True), np.int64).reshape(-1, 2)
+    ids = start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return names.select("token", ids.alias("id"), "of"), (levels[:, 0], np.cumsum(levels[:, 1]) - levels[:, 1])
+
+
+def numbered_cooccurrences(df: DataFrame, words: Column, window: int = 5, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
     """``cooccurrences`` with numbers for tokens, and the table of their names (``token``, ``id``, ``of``).
 
     The pairs carry ``of_a``, ``of_b`` and ``of_all``, the meetings of their tokens and of all, which are known
-    from the tokens' places before any pair is counted: a pair is shuffled once, as numbers, and joined
-    with nothing. Tokens get their numbers by dictionaries of many texts.
+    from the tokens' places before any pair is counted. Tokens get their numbers by dictionaries of many texts, in
+    falling order of their meetings. So a chunk's pairs travel as small steps between numbers, a few bytes each, and
+    their totals are looked up by number where a bucket of pairs is counted, whole and by itself. Tokens that take part
+    in fewer than ``min_count`` meetings stay in the totals and names but have no pair.
     """
     named = df.select(F.filter(words, lambda w: w != "").alias("_words"))
-    lists = named.mapInArrow(_numbered_chunks(window, CHUNK), "sizes binary, codes binary, words array<string>, meetings array<long>")
-    chunks = pinned(lists.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    lists = named.mapInArrow(_numbered_chunks(window, CHUNK), "lists binary, words array<string>, meetings array<long>")
+    chunks = pinned(lists.withColumn("chunk", F.monotonically_increasing_id()), "chunks", 16 << 20)
     met = chunks.select(F.inline(F.arrays_zip("words", "meetings")).alias("token", "n"))
-    totals = met.groupBy("token").agg(F.sum("n").alias("of"))
-    names = pinned(totals.withColumn("id", F.monotonically_increasing_id()), "names")
-    entries = chunks.select("chunk", F.posexplode("words").alias("at", "token")).join(names, "token")
-    known = entries.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "id", "of"))).alias("known"))
-    rows = chunks.select("chunk", "sizes", "codes").join(known, "chunk").select("sizes", "codes", F.col("known.id").alias("ids"), F.col("known.of").alias("of"))
-    met = rows.mapInArrow(_chunk_pairs(window), "a long, b long, of_a long, of_b long, n long")
-    one_way = met.groupBy("a", "b", "of_a", "of_b").agg(F.sum("n").alias("n"))
+    names, levels = _ranked(pinned(met.groupBy("token").agg(F.sum("n").alias("of")), "totals"))
+    of, first_id = levels
+    tokens = names.count()
+    everything = int(of @ np.diff(first_id, append=tokens))
+    buckets = max(1, min(tokens, everything // 2 // HELD))
+    tasks = min(buckets, max(df.sparkSession.sparkContext.defaultParallelism, everything // 2 // TASK))
+    entries = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("at", "token"))
+    entries = entries.join(names.where(F.col("of") >= min_count), "token").select("of_chunk", "at", "id")
+    packed = chunks.select("chunk", "lists").groupBy("chunk").cogroup(entries.groupBy("of_chunk")).applyInArrow(
+        _chunk_pairs(window, buckets, max(1, tokens), HELD), "a_bucket long, pairs binary"
+    )
+    dealt = packed.repartition(tasks, "a_bucket").groupBy("a_bucket").agg(F.collect_list("pairs").alias("pairs"))
+    one_way = dealt.mapInArrow(_bucket_pairs(buckets, levels), "a long, b long, of_a long, of_b long, n long")
     there = F.struct("a", "b", "of_a", "of_b", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
     back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("of_b").alias("of_a"), F.col("of_a").alias("of_b"), "n")
     ends = F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))
-    return one_way.select(F.inline(ends)).withColumn("of_all", names.agg(F.sum("of")).scalar()), names
+    return one_way.select(F.inline(ends)).withColumn("of_all", F.lit(everything).cast("long")), names
 
 
 def positive_pmi(pairs: DataFrame, min_count: int = 1) -> DataFrame:

@@ -392,8 +392,9 @@ def sentence_vectors(spark, sf_dir):
 def token_associations(spark, sf_dir):
     """How many tokens each token meets beyond chance, and how strongly."""
     words = text.content_words(F.col("text"))
-    meetings, names = embeddings.numbered_cooccurrences(bindings.documents(spark, sf_dir), words)
-    found = embeddings.positive_pmi(meetings, min_count=20).groupBy("a").agg(
+    least = 20
+    meetings, names = embeddings.numbered_cooccurrences(bindings.documents(spark, sf_dir), words, min_count=least)
+    found = embeddings.positive_pmi(meetings, min_count=least).groupBy("a").agg(
         F.count("*").alias("partners"), F.sum("n").alias("meetings"), F.sum("ppmi").alias("strength")
     )
     return found.join(names, F.col("a") == F.col("id")).select(

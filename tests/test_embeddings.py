@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,49 @@ def test_pairs_are_shuffled_once(spark, words):
     assert embeddings.positive_pmi(embeddings.numbered_cooccurrences(words.limit(0), F.col("words"))[0]).collect() == []
 
 
+@pytest.mark.parametrize(("window", "chunk", "least"), [(1, 60, 1), (3, 400, 300), (50, 1 << 22, 1)])
+def test_buckets_of_pairs_are_counted_whole(words, monkeypatch, window, chunk, least):
+    for name, value in (("CHUNK", chunk), ("HELD", 150), ("TASK", 900)):
+        monkeypatch.setattr(embeddings, name, value)
+    pairs, names = embeddings.numbered_cooccurrences(words.repartition(3), F.col("words"), window, least)
+    of = {r["token"]: (r["id"], r["of"]) for r in names.collect()}
+    expected, totals = counted(window), Counter()
+    for (a, _), n in expected.items():
+        totals[a] += n
+    assert {t: n for t, (_, n) in of.items()} == {t: totals[t] for t in of} and set(totals) <= set(of)
+    assert sorted(i for i, _ in of.values()) == list(range(len(of)))
+    assert [n for _, n in sorted(of.values())] == sorted((n for _, n in of.values()), reverse=True)
+    name = {i: t for t, (i, _) in of.items()}
+    rows = pairs.collect()
+    frequent = {(a, b): n for (a, b), n in expected.items() if min(totals[a], totals[b]) >= least}
+    assert {(name[r["a"]], name[r["b"]]): r["n"] for r in rows} == frequent and len(rows) == len(frequent) > 10
+    assert all((r["of_a"], r["of_b"], r["of_all"]) == (of[name[r["a"]]][1], of[name[r["b"]]][1], totals.total()) for r in rows)
+
+
+def test_a_chunks_pairs_are_a_few_bytes_each():
+    """A row a pair, as it was, takes 24 bytes and more in a shuffle."""
+    rng = np.random.default_rng(5)
+    texts = [rng.zipf(1.3, 400) % 5000 for _ in range(100)]
+    tokens, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    words, code, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    ids = np.argsort(np.argsort(-times, kind="stable"))
+    pack, _ = embeddings._coding()
+    chunk = pa.table({"lists": pa.array([pack(sizes, code)], pa.binary())})
+    entries = pa.table({"at": np.arange(len(words)), "id": ids})
+    found = embeddings._chunk_pairs(5, 7, len(words), 20_000)(chunk, entries)
+    expected = Counter()
+    for text in texts:
+        own = [int(ids[np.searchsorted(words, w)]) for w in text]
+        for i, x in enumerate(own):
+            for y in own[i + 1:i + 6]:
+                expected[max(x, y), min(x, y)] += 1
+    assert sum(map(len, found["pairs"].to_pylist())) < 3 * len(expected) and found["a_bucket"].to_pylist() == list(range(7))
+    dealt = pa.RecordBatch.from_pylist([{"a_bucket": b, "pairs": [p, p]} for b, p in zip(*found.to_pydict().values(), strict=True)])
+    rows = [r for x in embeddings._bucket_pairs(7, (np.array([3, 2]), np.array([0, 100])))([dealt]) for r in x.to_pylist()]
+    assert {(r["a"], r["b"]): r["n"] for r in rows} == {pair: 2 * n for pair, n in expected.items()} and len(rows) == len(expected)
+    assert all((r["of_a"], r["of_b"]) == tuple(3 if x < 100 else 2 for x in (r["a"], r["b"])) for r in rows)
+
+
 def test_vectors_are_the_leading_eigenvectors(ppmi):
     rows = ppmi.collect()
     names = sorted({r["a"] for r in rows})
