@@ -1,7 +1,7 @@
 """Token vectors trained on what stands near what: counts, PPMI, and its leading eigenvectors.
 
-The vocabulary is a table from first to last. The driver sees ``size`` by ``size`` matrices alone,
-and tokens are joined with vectors by key, so neither the vocabulary nor the pairs need to fit
+The vocabulary is a table from first to last. The driver sees ``size`` by ``size`` matrices and the
+distinct numbers of meetings of tokens alone, and tokens are joined with vectors by key, so neither the vocabulary nor the pairs need to fit
 anywhere whole. Products with the small matrices are numpy's, on Arrow batches.
 """
 
@@ -125,7 +125,7 @@ def _chunk_pairs(window: int, buckets: int, tokens: int, most: int):
 
     def run(chunk, entries):
         sizes, code = unpack(chunk["lists"][0].as_py())
-        ids = np.full(int(code.max(initial=-1)) + 1, -1, np.int32 if width * buckets < 1 << 31 else np.int64)
+        ids = np.full(int(code.max(initial=-1)) + 1, -1, np.int32)
         ids[entries["at"].to_numpy()] = entries["id"].to_numpy()
         dealt = ids % buckets * width + ids // buckets  # buckets one after the other
         at, place, doc = ids[code], dealt[code], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -226,6 +226,8 @@ def numbered_cooccurrences(df: DataFrame, words: Column, window: int = 5, min_co
     tokens = names.count()
     everything = int(of @ np.diff(first_id, append=tokens))
     buckets = max(1, min(tokens, everything // 2 // HELD))
+    if tokens + buckets >= 1 << 31:
+        raise ValueError(f"{tokens} distinct tokens: a pair is held in 64 bits, so there may be 2**31")
     tasks = min(buckets, max(df.sparkSession.sparkContext.defaultParallelism, everything // 2 // TASK))
     entries = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("at", "token"))
     entries = entries.join(names.where(F.col("of") >= min_count), "token").select("of_chunk", "at", "id")
